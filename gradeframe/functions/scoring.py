@@ -7,9 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 from gradeframe import fixed_values as fv
-from gradeframe.functions import extract
 from gradeframe.functions.rounding import clamp, exact_round
-from gradeframe.functions.text import is_blank, strip
 
 
 def weight_warning(weights: Mapping[str, float]) -> str | None:
@@ -50,7 +48,7 @@ def hybrid_score(
 
 
 def final_score(score: Column, max_marks: Column) -> Column:
-    """Clamp to ``[0, max_marks]`` and round to two decimals."""
+    """Clamp to ``[0, max_marks]`` and round to two decimals; pass a plain column."""
     return exact_round(clamp(score, F.lit(0.0), max_marks), 2)
 
 
@@ -85,54 +83,6 @@ def numeric_hit(detected: Column, expected: Column, tolerance: Column) -> Column
     return (gap <= F.abs(expected * tolerance)) | (gap < fv.NUMERIC_FLOOR)
 
 
-def objective_grade(
-    question_type: Column,
-    answer: Column,
-    key: Column,
-    max_marks: Column,
-    confidence: Column | None = None,
-    external_option: Column | None = None,
-    tolerance: Column | None = None,
-) -> Column:
-    """Grade option, truth-value and numeric answers in one struct column.
-
-    Fields: ``handled`` (false means the model path decides), ``detected``,
-    ``expected``, ``is_correct``, ``score``, ``feedback``. An external option is
-    used only when nothing was detected and the page was read with little
-    confidence.
-    """
-    tolerance = F.lit(fv.NUMERIC_TOLERANCE) if tolerance is None else tolerance
-    letter = extract.option_letter(answer)
-    if external_option is not None:
-        sure = F.coalesce(confidence, F.lit(1.0)) if confidence is not None else F.lit(1.0)
-        offered = F.nullif(F.upper(F.trim(external_option)), F.lit(""))
-        letter = F.coalesce(letter, F.when(sure < fv.LOW_OCR_CONFIDENCE, offered))
-    has_key = ~is_blank(key)
-    wanted = F.when(has_key, F.upper(strip(key)))
-    number, target = extract.last_number(answer), extract.number_text(key)
-
-    is_mcq, is_bool = question_type == "mcq", question_type == "true_false"
-    is_num = (question_type == "numerical") & number.isNotNull() & target.isNotNull()
-    detected = (
-        F.when(is_mcq & has_key, letter)
-        .when(is_bool & has_key, extract.truth_value(answer))
-        .when(is_num, number.cast("string"))
-    )
-    expected = F.when(is_mcq | is_bool, wanted).when(is_num, target.cast("string"))
-    correct = F.when(
-        is_mcq | is_bool, F.when(has_key, F.coalesce(detected == expected, F.lit(False)))
-    ).when(is_num, numeric_hit(number, target, tolerance))
-    handled = is_mcq | is_bool | is_num
-    return F.struct(
-        F.coalesce(handled, F.lit(False)).alias("handled"),
-        F.when(handled, F.coalesce(detected, F.lit(""))).alias("detected"),
-        F.when(handled, F.coalesce(expected, F.lit(""))).alias("expected"),
-        correct.alias("is_correct"),
-        F.when(handled, F.when(correct, max_marks).otherwise(F.lit(0.0))).alias("score"),
-        outcome_text(question_type, correct, detected, expected).alias("feedback"),
-    )
-
-
 def outcome_text(
     question_type: Column, correct: Column, detected: Column, expected: Column
 ) -> Column:
