@@ -6,6 +6,8 @@ import importlib
 
 MODULES = [
     "grading_checks",
+    "text_checks",
+    "agreement_checks",
 ]
 
 

@@ -40,5 +40,4 @@ def percent(part: Column, whole: Column) -> Column:
 
 def clamp(value: Column, low, high) -> Column:
     """Limit ``value`` to ``[low, high]``; null stays null."""
-    bounded = F.when(value < low, low).when(value > high, high).otherwise(value)
-    return F.when(value.isNotNull(), bounded)
+    return F.when(value.isNotNull(), F.least(high, F.greatest(low, value)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.rounding import clamp
 from gradeframe.functions.text import is_blank
@@ -14,10 +16,17 @@ def dot(a: Column, b: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
 def unit(vector: Column) -> Column:
     """Vector scaled to length one; a zero vector stays zero."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+    def scaled(v: Column, norm: Column) -> Column:
+        return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+
+    return let(vector, lambda v: let(F.sqrt(dot(v, v)), lambda norm: scaled(v, norm)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,8 +37,8 @@ def cosine(a: Column, b: Column) -> Column:
 def similarity(student_text: Column, teacher_text: Column, a: Column, b: Column) -> Column:
     """Cosine limited to [0, 1]; 0 when either text is blank or a vector is missing."""
     blank = is_blank(student_text) | is_blank(teacher_text)
-    value = clamp(cosine(a, b), F.lit(0.0), F.lit(1.0))
-    return F.when(blank, F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
+    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine(a, b)))
+    return F.when(blank, F.lit(0.0)).otherwise(value)
 
 
 def best_matches(student: Column, teacher: Column) -> Column:
@@ -60,6 +69,23 @@ def best_matches(student: Column, teacher: Column) -> Column:
     )
 
 
+def match_rows(df: DataFrame, keys: Sequence[str], matches: str) -> DataFrame:
+    """One row per student sentence: position, both sentences, shown similarity.
+
+    The generator gets an expression rather than the bare column; for a bare
+    column Spark would add a size filter and evaluate all matches once more.
+    """
+    shown = F.transform(
+        matches,
+        lambda m: F.struct(
+            m["student_sentence"].alias("student_sentence"),
+            m["best_match_teacher"].alias("best_match_teacher"),
+            shown_similarity(m["raw"]).alias("similarity"),
+        ),
+    )
+    return df.select(*keys, F.posexplode(shown).alias("pos", "_m")).select(*keys, "pos", "_m.*")
+
+
 def overall_match(matches: Column) -> Column:
     """Mean of the best scores, limited to [0, 1], three decimals; 0 without sentences."""
     total = F.aggregate(matches, F.lit(0.0), lambda s, m: s + m["raw"])

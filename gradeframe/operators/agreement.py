@@ -245,7 +245,7 @@ def adhoc_pairs(requests: DataFrame, ai: str = "ai_scores", teacher: str = "teac
     ``struct(ai, teacher)`` that is empty for a rejected request.
     """
     def parsed(name: str) -> Column:
-        pieces = F.transform(F.split(F.coalesce(F.col(name), F.lit("")), ","), F.trim)
+        pieces = F.transform(F.split(F.coalesce(F.col(name), F.lit("")), ","), lambda p: F.trim(p))
         return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: p.try_cast("double"))
 
     lists = requests.withColumns({"_ai": parsed(ai), "_gt": parsed(teacher)})

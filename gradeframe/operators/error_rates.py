@@ -10,41 +10,45 @@ from gradeframe import fixed_values as fv
 from gradeframe.functions.text import words
 
 
-def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Word-level edit distance.
+def with_word_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Add ``word_edits`` and ``reference_words``: word-level distance and length.
 
     Every distinct word of the pair is written as one Unicode character, so the
     built-in character distance counts words. Code points skip the surrogate
     range and leave room for more than a million distinct words per pair.
     """
-    ref, hyp = words(reference), words(hypothesis)
-    known = F.array_distinct(F.concat(ref, hyp))
+    carried = pairs.columns
 
-    def as_text(tokens: Column) -> Column:
+    def symbols(tokens: str) -> Column:
         def symbol(token: Column) -> Column:
-            place = F.array_position(known, token) + 0x3400
+            place = F.array_position(F.col("_known"), token) + 0x3400
             point = F.when(place < 0xD800, place).otherwise(place + 0x800)
             return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
         return F.array_join(F.transform(tokens, symbol), "")
 
-    return F.levenshtein(as_text(ref), as_text(hyp))
+    split = pairs.select(
+        *carried, words(F.col(reference)).alias("_r"), words(F.col(hypothesis)).alias("_h")
+    )
+    return (
+        split.select("*", F.array_distinct(F.concat("_r", "_h")).alias("_known"))
+        .select(*carried, F.size("_r").alias("reference_words"), symbols("_r").alias("_rs"),
+                symbols("_h").alias("_hs"))
+        .select(*carried, "reference_words", F.levenshtein("_rs", "_hs").alias("word_edits"))
+    )
 
 
 def error_rates(
     pairs: DataFrame, reference: str, hypothesis: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Corpus-level character and word error rates: summed edits over summed lengths."""
-    ref, hyp = F.col(reference), F.col(hypothesis)
-    measured = pairs.select(
-        *by,
-        F.levenshtein(ref, hyp).alias("_ce"), F.length(ref).alias("_cl"),
-        word_edits(ref, hyp).alias("_we"), F.size(words(ref)).alias("_wl"),
-    )
+    measured = with_word_edits(pairs.select(*by, reference, hypothesis), reference, hypothesis)
     return measured.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.try_divide(F.sum("_ce"), F.sum("_cl")).alias("cer"),
-        F.try_divide(F.sum("_we"), F.sum("_wl")).alias("wer"),
+        F.try_divide(
+            F.sum(F.levenshtein(F.col(reference), F.col(hypothesis))), F.sum(F.length(reference))
+        ).alias("cer"),
+        F.try_divide(F.sum("word_edits"), F.sum("reference_words")).alias("wer"),
     )
 
 
