@@ -8,6 +8,7 @@ MODULES = [
     "grading_checks",
     "text_checks",
     "agreement_checks",
+    "segment_checks",
 ]
 
 
