@@ -9,6 +9,9 @@ MODULES = [
     "text_checks",
     "agreement_checks",
     "segment_checks",
+    "link_checks",
+    "reply_checks",
+    "stream_checks",
 ]
 
 

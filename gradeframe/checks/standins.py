@@ -22,7 +22,8 @@ def qa_pairs(t: Tables) -> DataFrame:
 
 
 def question_id() -> Column:
-    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
+    return line * 10000 + F.col("l_suppkey")
 
 
 def questions(t: Tables) -> DataFrame:

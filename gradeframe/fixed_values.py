@@ -29,6 +29,11 @@ PASS_PERCENT = 60
 BORDERLINE_PERCENT = 40
 
 # --- text -----------------------------------------------------------------
+# every character the Unicode standard counts as white space
+WHITE_SPACE = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003"
+    "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 KEYWORD_STOP_WORDS = [
     "the", "and", "are", "for", "that", "this", "with", "from",
     "was", "not", "but", "can", "will", "also", "its", "used",
@@ -144,6 +149,7 @@ BOOKLET_MARKERS = [
     r"^\s*(\d{1,2})\s*[.)]\s*$()",
     r"^\s*[Qq]\.?\s*(\d{1,2})\s*$()",
 ]
+BOOKLET_CANDIDATE = r"^(?:\(?[0-9]|[Qq]\.?\s*[0-9]|(?i:ans(?:wer)?)\s*\.?\s*[0-9])"
 BOOKLET_LAST_NUMBER = 20
 BOOKLET_MIN_CHARS = 6
 PART_B_FROM = 8
@@ -154,6 +160,8 @@ KEY_MARKERS = [
     r"^\s*(?i:Q)\.?\s*(\d{1,2})\s*[.):]?\s*(.+)",
     r"^\s*(?i:Answer|Ans)\.?\s*(\d{1,2})\s*[.):]\s*(.+)",
 ]
+KEY_CANDIDATE = r"^(?:[0-9]|(?i:Q)\.?\s*[0-9]|(?i:Answer|Ans)\.?\s*[0-9])"
+KEY_SKIP_CANDIDATE = r"^(?i:PART|SET|\(?OR)"
 KEY_SKIP = [
     r"(?iU)^\s*PART\s*[-–—]?\s*[A-Z]\b",
     r"(?iU)^\s*SET\s*[-–—]?\s*[A-Z]\b",
@@ -192,6 +200,7 @@ OTHER_PART_MARKS = 12.0
 MARKS_LINE = r"^\(?\s*\d+\s*[xX×]\s*\d+\s*[=]?\s*\d*\s*\)?$"
 OR_LINE = r"(?i)^\s*\(?OR\)?\s*$"
 COURSE_OUTCOME_TAG = r"(?U)\bC[Oo0][0-9]\b"
+OUTCOME_CANDIDATE = r"C[Oo0][0-9]"
 FLOW_SKIP_WORDS = [
     r"Reg\s*No", r"Q\.?No", r"Questions?", "INSTITUTE", "DEEMED", r"CONTINUOUS\s+ASSESSMENT",
     "Programme", r"Course\s+Code", r"Course\s+Name", "Batch", r"Max\.?\s*Marks", r"Time\s*:",
@@ -211,6 +220,7 @@ LIST_MARKERS = [
     r"^\s*(?i:Q\.?\s*)?(\d{1,2})\s*[.):\]]\s+(.+)",
     r"^\s*\((\d{1,2})\)\s*\.?\s+(.+)",
 ]
+LIST_CANDIDATE = r"^(?:[0-9]|\([0-9]|[Qq]\.?\s*[0-9])"
 LIST_LAST_NUMBER = 50
 LIST_MIN_CHARS = 5
 LIST_PART_LINE = r"(?iU)\bPART\s*[-–]?\s*([A-Z])\b"

@@ -125,7 +125,7 @@ def first_reply(replies: Sequence[Column], names: Sequence[str]) -> Column:
 
 def _escaped(text: Column) -> Column:
     """Double every backslash that starts no valid JSON escape."""
-    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu0-9])', r"\\\\\\\\")
+    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu0-9])', r"\\\\")
 
 
 _ANSWER = "question_number string, answer_text string, part_name string, is_or_option boolean"

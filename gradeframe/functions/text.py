@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
@@ -10,9 +11,26 @@ from gradeframe import fixed_values as fv
 from gradeframe.functions.rounding import exact_round
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
+def digits(text: Column, kind: str = "int") -> Column:
+    """A number from text that is either all digits or empty; empty gives null.
+
+    The test comes first because a failed cast is slow: it raises inside the JVM
+    even when the result is only null. Pass a materialised column or lambda value.
+    """
+    return F.when(text != "", text.cast(kind))
+
+
 def strip(text: Column) -> Column:
-    """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing white space of any kind.
+
+    A trim looks at the ends only; a pattern would scan the whole text.
+    """
+    return F.btrim(text, F.lit(fv.WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:

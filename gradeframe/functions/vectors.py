@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.rounding import clamp
-from gradeframe.functions.text import is_blank
+from gradeframe.functions.text import is_blank, let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -16,11 +16,6 @@ def dot(a: Column, b: Column) -> Column:
     )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
-
-
 def unit(vector: Column) -> Column:
     """Vector scaled to length one; a zero vector stays zero."""
     def scaled(v: Column, norm: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.classify import compact_type
-from gradeframe.functions.text import strip
+from gradeframe.functions.text import digits, let, strip
 from gradeframe.operators.keyed import first_per_key
 from gradeframe.operators.segment import first_marker
 
@@ -48,8 +48,10 @@ def header_fields(lines: str) -> Column:
 
 def marks_per_question(line: Column) -> Column:
     """Marks stated in a part header: ``(7 x 2 = 14)`` or ``12 Marks Each``; else null."""
-    product = F.regexp_extract(line, fv.MARKS_PRODUCT, 2).try_cast("double")
-    return F.coalesce(product, F.regexp_extract(line, fv.MARKS_EACH, 1).try_cast("double"))
+    def found(pattern: str, group: int) -> Column:
+        return let(F.regexp_extract(line, pattern, group), lambda x: digits(x, "double"))
+
+    return F.coalesce(found(fv.MARKS_PRODUCT, 2), found(fv.MARKS_EACH, 1))
 
 
 def _part_headers(lines: str) -> Column:
@@ -88,8 +90,14 @@ def _first_headers(headers: str) -> Column:
 
 
 def without_outcome_tags(text: Column) -> Column:
-    """Drop course-outcome tags and squeeze white space."""
-    return strip(F.regexp_replace(F.regexp_replace(text, fv.COURSE_OUTCOME_TAG, ""), r"\s{2,}", " "))
+    """Drop course-outcome tags and squeeze white space.
+
+    The cheap test keeps the Unicode word-boundary search to texts that need it.
+    """
+    untagged = F.when(
+        text.rlike(fv.OUTCOME_CANDIDATE), F.regexp_replace(text, fv.COURSE_OUTCOME_TAG, "")
+    ).otherwise(text)
+    return strip(F.regexp_replace(untagged, r"\s{2,}", " "))
 
 
 def _starts_with_any(words: Sequence[str], institution: str | None) -> str:
@@ -121,43 +129,47 @@ def paper_lines(
         .filter("line != ''")
     )
     line = F.col("line")
+    # groups first, casts next: only lines that start with a digit are searched
+    numbered = line.rlike("^[0-9]")
+    shapes = {"only": fv.FLOW_NUMBER_ONLY, "inline": fv.FLOW_NUMBER_INLINE, "bare": fv.FLOW_NUMBER_BARE}
+    lines = lines.withColumns(
+        {f"_n_{n}": F.when(numbered, F.regexp_extract(line, p, 1)) for n, p in shapes.items()}
+    ).withColumns({
+        f"_r_{n}": F.when(
+            F.col(f"_n_{n}") != "", without_outcome_tags(F.regexp_extract(line, shapes[n], 2))
+        )
+        for n in ("inline", "bare")
+    })
 
-    def number(pattern: str) -> Column:
-        return F.regexp_extract(line, pattern, 1).try_cast("int")
-
-    def rest(pattern: str) -> Column:
-        return without_outcome_tags(F.regexp_extract(line, pattern, 2))
+    def fits(name: str, min_chars: int = 0) -> Column:
+        in_range = digits(F.col(f"_n_{name}")).between(1, fv.FLOW_LAST_NUMBER)
+        if min_chars:
+            in_range = in_range & (F.length(f"_r_{name}") >= min_chars)
+        return F.coalesce(in_range, F.lit(False))
 
-    last = fv.FLOW_LAST_NUMBER
-    only = number(fv.FLOW_NUMBER_ONLY).between(1, last)
-    inline = number(fv.FLOW_NUMBER_INLINE).between(1, last) & (
-        F.length(rest(fv.FLOW_NUMBER_INLINE)) > 2
-    )
-    bare = number(fv.FLOW_NUMBER_BARE).between(1, last) & (F.length(rest(fv.FLOW_NUMBER_BARE)) > 5)
     kind = (
         F.when(is_header_line(line, institution), None)
         .when(line.rlike(fv.PART_LINE), "part")
         .when(line.rlike(fv.OR_LINE), "or")
-        .when(~line.rlike("^[0-9]"), "text")
-        .when(F.coalesce(only, F.lit(False)), "only")
-        .when(F.coalesce(inline, F.lit(False)), "inline")
-        .when(F.coalesce(bare, F.lit(False)), "bare")
+        .when(fits("only"), "only")
+        .when(fits("inline", 3), "inline")
+        .when(fits("bare", 6), "bare")
         .otherwise("text")
     )
     known = F.array_intersect(
         F.transform(F.regexp_extract_all(line, F.lit(fv.LIST_PART_LINE), F.lit(1)), F.upper),
         F.transform("_parts", lambda p: p["letter"]),
     )
-    list_mark = F.when(line.rlike(r"^[0-9(Qq]"), first_marker(line, fv.LIST_MARKERS, 0, 99))
+    list_mark = F.when(line.rlike(fv.LIST_CANDIDATE), first_marker(line, fv.LIST_MARKERS, 0, 99))
     return (
         lines.withColumn("f_kind", kind)
         .withColumns({
-            "f_number": F.when(
-                F.col("f_kind").isin("only", "inline", "bare"), F.regexp_extract(line, r"^\d{1,2}", 0).try_cast("int")
-            ),
+            "f_number": F.when(F.col("f_kind") == "only", digits(F.col("_n_only")))
+            .when(F.col("f_kind") == "inline", digits(F.col("_n_inline")))
+            .when(F.col("f_kind") == "bare", digits(F.col("_n_bare"))),
             "f_text": F.when(F.col("f_kind") == "text", without_outcome_tags(line))
-            .when(F.col("f_kind") == "inline", rest(fv.FLOW_NUMBER_INLINE))
-            .when(F.col("f_kind") == "bare", rest(fv.FLOW_NUMBER_BARE))
+            .when(F.col("f_kind") == "inline", F.col("_r_inline"))
+            .when(F.col("f_kind") == "bare", F.col("_r_bare"))
             .otherwise(""),
             "f_letter": F.when(
                 F.col("f_kind") == "part", F.upper(F.regexp_extract(line, fv.PART_LINE, 1))
@@ -165,19 +177,21 @@ def paper_lines(
             "l_letter": F.array_max(known),
             "l_mark": list_mark,
             "l_or": line.rlike(fv.OR_LINE),
-            "l_marks": F.regexp_extract(line, fv.LIST_INLINE_MARKS, 1).try_cast("double"),
+            "_stated": F.when(line.endswith(")") | line.rlike(r"(?i)marks?$"),
+                              F.regexp_extract(line, fv.LIST_INLINE_MARKS, 1)),
         })
         .withColumns({
             # text above a number is kept only when it is long enough and no header
             "f_pending": (F.length("f_text") >= fv.FLOW_PENDING_MIN_CHARS)
             & ~line.rlike(noise) & ~F.col("f_text").rlike(noise),
+            "l_marks": digits(F.col("_stated"), "double"),
             "l_mute": F.coalesce(F.col("l_mark.number") > fv.LIST_LAST_NUMBER, F.lit(False))
             | line.rlike(fv.LIST_PART_SKIP),
             "l_number": F.when(
                 F.col("l_mark.number") <= fv.LIST_LAST_NUMBER, F.col("l_mark.number")
             ),
         })
-        .drop("_raw")
+        .drop("_raw", "_stated", *[f"_n_{n}" for n in shapes], "_r_inline", "_r_bare")
     )
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe import fixed_values as fv
-from gradeframe.functions.text import is_blank, strip
+from gradeframe.functions.text import is_blank, let, strip
 
 
 def stripped_lines(text: Column) -> Column:
@@ -23,18 +23,15 @@ def stripped_lines(text: Column) -> Column:
 
 def first_marker(line: Column, patterns: Sequence[str], lowest: int, highest: int) -> Column:
     """``struct(number, rest)`` of the first pattern whose number is in range, else null."""
-    tries = []
-    for pattern in patterns:
-        number = F.regexp_extract(line, pattern, 1).try_cast("int")
-        tries.append(
-            F.when(
-                number.between(lowest, highest),
-                F.struct(
-                    number.alias("number"),
-                    strip(F.regexp_extract(line, pattern, 2)).alias("rest"),
-                ),
-            )
-        )
+    def attempt(pattern: str) -> Column:
+        def parsed(found: Column) -> Column:
+            in_range = (found != "") & found.cast("int").between(lowest, highest)
+            rest = strip(F.regexp_extract(line, pattern, 2))
+            return F.when(in_range, F.struct(found.cast("int").alias("number"), rest.alias("rest")))
+
+        return let(F.regexp_extract(line, pattern, 1), parsed)
+
+    tries = [attempt(pattern) for pattern in patterns]
     return F.coalesce(*tries)
 
 
@@ -82,7 +79,7 @@ def booklet_answers(documents: DataFrame, keys: Sequence[str], text: str = "text
 
     def parse(line: Column) -> Column:
         mark = F.when(
-            line.rlike(r"^[0-9(QqAa]"),
+            line.rlike(fv.BOOKLET_CANDIDATE),
             first_marker(line, fv.BOOKLET_MARKERS, 1, fv.BOOKLET_LAST_NUMBER),
         )
         return F.struct(line.alias("line"), mark.alias("mark"))
@@ -140,14 +137,17 @@ def key_answers(documents: DataFrame, keys: Sequence[str], text: str = "text") -
     skip = fv.KEY_SKIP
 
     def wanted(line: Column) -> Column:
-        return ~(line.rlike(skip[0]) | line.rlike(skip[1]) | line.rlike(skip[2]))
+        return ~(
+            line.rlike(fv.KEY_SKIP_CANDIDATE)
+            & (line.rlike(skip[0]) | line.rlike(skip[1]) | line.rlike(skip[2]))
+        )
 
     def bare(line: Column) -> Column:
         answer = F.regexp_extract(line, fv.KEY_ANSWER_PREFIX, 1)
         return F.when(answer != "", answer).otherwise(line)
 
     def parse(line: Column) -> Column:
-        mark = F.when(line.rlike(r"^[0-9QqAa]"), first_marker(line, fv.KEY_MARKERS, 0, 99))
+        mark = F.when(line.rlike(fv.KEY_CANDIDATE), first_marker(line, fv.KEY_MARKERS, 0, 99))
         return F.struct(F.when(mark.isNull(), bare(line)).alias("line"), mark.alias("mark"))
 
     def segment(start: Column, k: Column) -> Column:

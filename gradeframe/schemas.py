@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql.types import StructType
 
 _DDL = {
@@ -36,7 +38,15 @@ _DDL = {
     "question_number int, part_name string, is_or_option boolean, answer_text string, "
     "raw_ocr_text string, submission_id long, evaluated boolean",
 }
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+TABLES = sorted(_DDL)
+
+
+@lru_cache(maxsize=None)
+def schema_of(table: str) -> StructType:
+    """Schema of a stored table; needs an active session."""
+    return StructType.fromDDL(_DDL[table])
+
+
 
 DEFAULTS: dict[str, dict[str, object]] = {
     "exam_papers": {"total_marks": 0.0, "duration_hours": 2.0},
