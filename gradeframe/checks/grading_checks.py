@@ -11,6 +11,7 @@ from gradeframe.functions import extract, rounding, scoring, text as tx
 from gradeframe.operators import reports
 from gradeframe.plans.grading import grade, objective_grades, prepare_keys
 from gradeframe.plans.scorer import apply_scorer
+from gradeframe.sources.tables import spread
 
 KINDS = ["open_ended", "short_answer", "fill_blank", "diagram", "open_ended"]
 
@@ -246,7 +247,7 @@ def _(t: Tables) -> DataFrame:
         )
     )
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = t.lineitem.select(
+    rows = spread(t.lineitem).select(
         *keys, F.col("l_quantity").alias("marks"), kind.alias("kind"), key.alias("k"), answer.alias("answer")
     )
     graded = objective_grades(rows, "kind", "answer", "k", "marks")

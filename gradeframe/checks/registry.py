@@ -7,7 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeframe.sources.tables import read_table
+from gradeframe.sources.tables import read_table, spread
+
+# tables whose queries do heavy work per row
+TEXT_TABLES = ("documents", "conversations", "pages", "events", "embeddings")
 
 
 class Tables:
@@ -17,7 +20,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        table = read_table(self.spark, self.folder, name)
+        return spread(table) if name in TEXT_TABLES else table
 
 
 @dataclass(frozen=True)

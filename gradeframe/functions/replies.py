@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.rounding import clamp
-from gradeframe.functions.text import strip
+from gradeframe.functions.text import let, strip
 
 REPLY_FIELDS = (
     "score string, confidence string, strengths string, missing_concepts string, "
@@ -38,62 +38,84 @@ def is_json_object(body: Column) -> Column:
 
 def _list(text: Column) -> Column:
     """A JSON array of strings; anything else becomes an empty array."""
-    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(
+        F.from_json(F.when(text.startswith("["), text), "array<string>"),
+        F.array().cast("array<string>"),
+    )
 
 
-def _decoded(body: Column, ok: Column, score, confidence, feedback) -> Column:
-    fields = F.from_json(body, REPLY_FIELDS)
-    has_list = lambda name: F.when(fields[name].startswith("["), fields[name])
-    return F.struct(
-        score.alias("score"),
-        confidence.alias("confidence"),
-        _list(has_list("strengths")).alias("strengths"),
-        _list(has_list("missing_concepts")).alias("missing_concepts"),
-        feedback.alias("feedback"),
-        ok.alias("parsed"),
+def _number(text: Column, default: str) -> Column:
+    """Number from text; the pattern test spares the slow failing cast."""
+    return let(
+        F.trim(F.coalesce(text, F.lit(default))),
+        lambda x: F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), x.cast("double")),
     )
 
 
+def _decoded(raw: Column, outcome) -> Column:
+    """Parse a reply once and build the result struct.
+
+    ``outcome(ok, broken, score, sure)`` returns the final score and confidence.
+    """
+    corrupt = {"columnNameOfCorruptRecord": "_corrupt"}
+    fields = F.from_json(json_body(raw), REPLY_FIELDS + ", _corrupt string", corrupt)
+
+    def parsed(f: Column) -> Column:
+        ok = f.isNotNull() & f["_corrupt"].isNull()
+        return F.struct(
+            ok.alias("ok"), f.alias("f"),
+            _number(F.when(ok, f["score"]), "0").alias("score"),
+            _number(F.when(ok, f["confidence"]), "0.7").alias("sure"),
+        )
+
+    def built(p: Column) -> Column:
+        broken = p["score"].isNull() | p["sure"].isNull()
+        score, sure, unread = outcome(p["ok"], broken, p["score"], p["sure"])
+        feedback = (
+            F.when(broken, F.lit("Evaluation failed: score is not a number."))
+            .when(~p["ok"], F.lit(unread))
+            .otherwise(F.coalesce(p["f"]["feedback"], F.lit("No feedback generated.")))
+        )
+        return F.struct(
+            score.alias("score"),
+            sure.alias("confidence"),
+            _list(F.when(p["ok"], p["f"]["strengths"])).alias("strengths"),
+            _list(F.when(p["ok"], p["f"]["missing_concepts"])).alias("missing_concepts"),
+            feedback.alias("feedback"),
+            p["ok"].alias("parsed"),
+        )
+
+    return let(let(fields, parsed), built)
+
+
 def graded_reply(raw: Column, max_marks: Column) -> Column:
     """Decode a graded reply of the open types.
 
     Unparsable: score 0, confidence 0.3. Parsable with a score that is no number:
     score 0, confidence 0. Otherwise both values are limited to their range.
     """
-    body = json_body(raw)
-    ok = is_json_object(body)
-    fields = F.from_json(body, REPLY_FIELDS)
-    score = F.coalesce(fields["score"], F.lit("0")).try_cast("double")
-    sure = F.coalesce(fields["confidence"], F.lit("0.7")).try_cast("double")
-    broken = score.isNull() | sure.isNull()
-    return _decoded(
-        body, ok,
-        F.when(~ok | broken, F.lit(0.0)).otherwise(clamp(score, F.lit(0.0), max_marks)),
-        F.when(~ok, F.lit(0.3)).when(broken, F.lit(0.0)).otherwise(
-            clamp(sure, F.lit(0.0), F.lit(1.0))
-        ),
-        F.when(~ok, F.lit("Evaluation response could not be parsed."))
-        .when(broken, F.lit("Evaluation failed: score is not a number."))
-        .otherwise(F.coalesce(fields["feedback"], F.lit("No feedback generated."))),
-    )
+    def outcome(ok: Column, broken: Column, score: Column, sure: Column):
+        return (
+            F.when(~ok | broken, F.lit(0.0)).otherwise(clamp(score, F.lit(0.0), max_marks)),
+            F.when(~ok, F.lit(0.3)).when(broken, F.lit(0.0)).otherwise(
+                clamp(sure, F.lit(0.0), F.lit(1.0))
+            ),
+            "Evaluation response could not be parsed.",
+        )
+
+    return _decoded(raw, outcome)
 
 
 def simple_reply(raw: Column, max_marks: Column) -> Column:
     """Decode a reply of the other types: unparsable text scores 0 at confidence 0.7."""
-    body = json_body(raw)
-    ok = is_json_object(body)
-    fields = F.from_json(F.when(ok, body), REPLY_FIELDS)
-    score = F.coalesce(fields["score"], F.lit("0")).try_cast("double")
-    sure = F.coalesce(fields["confidence"], F.lit("0.7")).try_cast("double")
-    broken = score.isNull() | sure.isNull()
-    return _decoded(
-        body, ok,
-        F.when(broken, F.lit(0.0)).otherwise(clamp(score, F.lit(0.0), max_marks)),
-        F.when(broken, F.lit(0.0)).otherwise(sure),
-        F.when(broken, F.lit("Evaluation failed: score is not a number.")).otherwise(
-            F.coalesce(fields["feedback"], F.lit("No feedback generated."))
-        ),
-    )
+    def outcome(ok: Column, broken: Column, score: Column, sure: Column):
+        return (
+            F.when(broken, F.lit(0.0)).otherwise(clamp(score, F.lit(0.0), max_marks)),
+            F.when(broken, F.lit(0.0)).otherwise(sure),
+            "No feedback generated.",
+        )
+
+    return _decoded(raw, outcome)
 
 
 def model_score(question_type: Column, raw: Column, max_marks: Column) -> Column:
@@ -129,6 +151,21 @@ def _escaped(text: Column) -> Column:
 
 
 _ANSWER = "question_number string, answer_text string, part_name string, is_or_option boolean"
+_ANSWERS = (
+    "answers array<struct<question_number:string,answer_text:string,part_name:string,"
+    "is_or_option:boolean>>"
+)
+
+
+def _complete(text: Column) -> Column:
+    """Whether JSON text parses once raw control characters are accepted."""
+    spaced = F.regexp_replace(text, r"[\n\r\t]", " ")
+    return F.coalesce(F.try_parse_json(spaced).isNotNull(), F.lit(False))
+
+
+def _whole_number(text: Column) -> Column:
+    """Integer from text, null for anything else, without a failing cast."""
+    return let(F.trim(text), lambda x: F.when(x.rlike(r"^[+-]?\d{1,9}$"), x.cast("int")))
 
 
 def answer_list(raw: Column) -> Column:
@@ -139,48 +176,49 @@ def answer_list(raw: Column) -> Column:
     field for objects that still do not parse. Array of
     ``struct(question_number, answer_text, part_name, is_or_option)``.
     """
-    body = _escaped(json_body(raw))
-    whole = F.from_json(
-        F.when(_complete(body), body), f"answers array<struct<{_ANSWER.replace(' string', ':string').replace(' boolean', ':boolean')}>>", _LENIENT
-    )["answers"]
-    objects = F.regexp_extract_all(body, F.lit(r"(\{[^{}]+\})"), F.lit(1))
-
-    def rescued(obj: Column) -> Column:
-        parsed = F.from_json(F.when(_complete(obj), obj), _ANSWER, _LENIENT)
-        number = F.nullif(
-            F.regexp_extract(obj, r'"question_number"\s*:\s*(\d+)', 1), F.lit("")
-        )
+    def by_field(obj: Column) -> Column:
         text = F.regexp_extract(obj, r'(?s)"answer_text"\s*:\s*"(.*?)"(?=\s*,\s*"|\s*\})', 1)
         part = F.nullif(F.regexp_extract(obj, r'"part_name"\s*:\s*"(.*?)"', 1), F.lit(""))
-        default_part = F.when(number.try_cast("int") >= fv.PART_B_FROM, "Part-B").otherwise("Part-A")
-        by_field = F.when(
-            number.isNotNull(),
-            F.struct(
-                number.alias("question_number"),
-                F.replace(text, F.lit('\\"'), F.lit('"')).alias("answer_text"),
-                F.coalesce(part, default_part).alias("part_name"),
-                F.lit(False).alias("is_or_option"),
-            ),
+
+        def built(number: Column) -> Column:
+            default = F.when(_whole_number(number) >= fv.PART_B_FROM, "Part-B").otherwise("Part-A")
+            return F.when(
+                number != "",
+                F.struct(
+                    number.alias("question_number"),
+                    F.replace(text, F.lit('\\"'), F.lit('"')).alias("answer_text"),
+                    F.coalesce(part, default).alias("part_name"),
+                    F.lit(False).alias("is_or_option"),
+                ),
+            )
+
+        return let(F.regexp_extract(obj, r'"question_number"\s*:\s*(\d+)', 1), built)
+
+    def rescued(obj: Column) -> Column:
+        return let(
+            F.from_json(F.when(_complete(obj), obj), _ANSWER, _LENIENT),
+            lambda parsed: F.when(parsed["question_number"].isNotNull(), parsed).otherwise(by_field(obj)),
         )
-        return F.coalesce(F.when(parsed["question_number"].isNotNull(), parsed), by_field)
 
-    pieces = F.array_compact(F.transform(objects, rescued))
+    def pieces(body: Column) -> Column:
+        objects = F.regexp_extract_all(body, F.lit(r"(\{[^{}]+\})"), F.lit(1))
+        return F.array_compact(F.transform(objects, lambda o: rescued(o)))
 
     def typed(a: Column) -> Column:
         return F.struct(
-            a["question_number"].try_cast("int").alias("question_number"),
+            _whole_number(a["question_number"]).alias("question_number"),
             F.coalesce(a["answer_text"], F.lit("")).alias("answer_text"),
             F.coalesce(a["part_name"], F.lit("")).alias("part_name"),
             F.coalesce(a["is_or_option"], F.lit(False)).alias("is_or_option"),
         )
 
-    return F.transform(F.coalesce(whole, pieces), typed)
-
-
-def _complete(text: Column) -> Column:
-    """Whether JSON text parses once raw control characters are accepted."""
-    spaced = F.regexp_replace(text, r"[\n\r\t]", " ")
-    return F.coalesce(F.try_parse_json(spaced).isNotNull(), F.lit(False))
+    found = let(
+        _escaped(json_body(raw)),
+        lambda body: F.coalesce(
+            F.from_json(F.when(_complete(body), body), _ANSWERS, _LENIENT)["answers"], pieces(body)
+        ),
+    )
+    return F.transform(found, typed)
 
 
 def answer_map(raw: Column) -> Column:
@@ -190,34 +228,33 @@ def answer_map(raw: Column) -> Column:
     without a whole number are left out, as are blank listed answers. Of repeated
     numbers the last counts.
     """
+    def entry(key: Column, value: Column) -> Column:
+        return F.struct(_whole_number(key).alias("k"), strip(value).alias("v"))
+
+    def entries(body: Column) -> Column:
+        listed = F.from_json(
+            body, "answers array<struct<question_number:string,answer_text:string>>", _LENIENT
+        )["answers"]
+        from_list = F.filter(
+            F.transform(listed, lambda a: entry(a["question_number"], a["answer_text"])),
+            lambda e: e["k"].isNotNull() & (F.coalesce(e["v"], F.lit("")) != ""),
+        )
+        direct = F.map_entries(F.from_json(body, "map<string,string>", _LENIENT))
+        from_map = F.filter(
+            F.transform(direct, lambda e: entry(e["key"], e["value"])), lambda e: e["k"].isNotNull()
+        )
+        return F.coalesce(from_list, from_map)
+
+    def as_map(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda e: e["k"]))
+        last = F.transform(
+            keys, lambda k: F.element_at(F.filter(found, lambda e: e["k"] == k), -1)["v"]
+        )
+        return F.when(found.isNotNull(), F.map_from_arrays(keys, last))
+
     body = json_body(F.regexp_replace(F.coalesce(raw, F.lit("")), r"```json\s*|```\s*", ""))
-    listed = F.from_json(
-        F.when(_complete(body), body), "answers array<struct<question_number:string,answer_text:string>>",
-        _LENIENT,
-    )["answers"]
-    from_list = F.filter(
-        F.transform(
-            listed,
-            lambda a: F.struct(
-                a["question_number"].try_cast("int").alias("k"), strip(a["answer_text"]).alias("v")
-            ),
-        ),
-        lambda e: e["k"].isNotNull() & (F.coalesce(e["v"], F.lit("")) != ""),
-    )
-    direct = F.from_json(F.when(_complete(body), body), "map<string,string>", _LENIENT)
-    from_map = F.filter(
-        F.transform(
-            F.map_entries(direct),
-            lambda e: F.struct(e["key"].try_cast("int").alias("k"), strip(e["value"]).alias("v")),
-        ),
-        lambda e: e["k"].isNotNull(),
-    )
-    entries = F.coalesce(from_list, from_map)
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    last = F.transform(
-        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
-    )
-    return F.when(entries.isNotNull(), F.map_from_arrays(keys, last))
+    usable = let(body, lambda b: F.when(_complete(b), b))
+    return let(let(usable, entries), as_map)
 
 
 def closed_json(raw: Column) -> Column:

@@ -77,17 +77,22 @@ def swaps(word: Column) -> Column:
     )
 
 
-def edit_rank(word: Column, other: Column) -> Column:
-    """1 or 2 for words one or two edits apart (a swap is one edit), else null."""
-    within = lambda a, b, k: F.levenshtein(a, b, k) >= 0
-    one = within(word, other, 1) | F.array_contains(swaps(word), other)
-    two = (
-        within(word, other, 2)
-        | F.exists(swaps(word), lambda s: within(s, other, 1))
-        | F.exists(swaps(other), lambda s: within(s, word, 1))
-        | F.arrays_overlap(swaps(word), swaps(other))
+def edit_rank(word: Column, other: Column, distance: Column) -> Column:
+    """1 or 2 for words one or two edits apart (a swap is one edit), else null.
+
+    ``distance`` is their plain edit distance. A swap costs two plain edits, so
+    the swap tests are needed only at distances 2 to 4.
+    """
+    near = lambda a, b: F.levenshtein(a, b, 1) >= 0
+    swap_and_edit = F.exists(swaps(word), lambda s: near(s, other)) | F.exists(
+        swaps(other), lambda s: near(s, word)
+    )
+    return (
+        F.when(distance <= 1, 1)
+        .when(distance == 2, F.when(F.array_contains(swaps(word), other), 1).otherwise(2))
+        .when(distance == 3, F.when(swap_and_edit, 2))
+        .when(distance == 4, F.when(F.arrays_overlap(swaps(word), swaps(other)), 2))
     )
-    return F.when(one, 1).when(two, 2)
 
 
 def corrections(counts: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -101,9 +106,10 @@ def corrections(counts: DataFrame, vocab: DataFrame) -> DataFrame:
         F.col("word").alias("correction"), "n", F.explode(deletions(F.col("word"))).alias("_stem")
     )
     pairs = left.join(right, "_stem").select("word", "correction", "n").distinct()
-    ranked = pairs.withColumn("edits", edit_rank(F.col("word"), F.col("correction"))).filter(
-        "edits is not null"
-    )
+    measured = pairs.withColumn("_d", F.levenshtein("word", "correction", 4)).filter("_d >= 0")
+    ranked = measured.withColumn(
+        "edits", edit_rank(F.col("word"), F.col("correction"), F.col("_d"))
+    ).filter("edits is not null")
     return ranked.groupBy("word").agg(
         F.min_by("correction", F.struct("edits", -F.col("n"), "correction")).alias("correction")
     )

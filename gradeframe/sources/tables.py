@@ -15,6 +15,23 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+ROW_GROUP_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that is stored in fewer row groups than there are cores.
+
+    A row group is read by one task, so a small single-file table would leave
+    per-row work on one core. Large tables have groups to spare and come back
+    unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * ROW_GROUP_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, properties: Mapping[str, str] | None = None,
     split_on: str | None = None, lower: int = 0, upper: int = 0, partitions: int = 1,
