@@ -276,19 +276,6 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@check(
-    "defaults_and_disposition", "B3 B4 B5 C1",
-    None,
-)
-def _(t: Tables) -> DataFrame:
-    from gradeframe.operators import link
-
-    resolved = link.resolve_questions(link.pending(s.answers(t)), s.questions(t))
-    return link.dispositions(resolved, F.col("score") == 6).groupBy("status", "question_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("max_marks").alias("marks")
-    )
-
-
 @check(
     "diagram_floor", "H17",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,

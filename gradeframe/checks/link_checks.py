@@ -49,6 +49,22 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@check(
+    "dispositions_by_type", "B3 B4 B5 D5",
+    f"""WITH {RESOLVED}, d AS (SELECT CASE WHEN qid IS NULL THEN 'no_question' WHEN trim(answer_text) = '' THEN 'empty_answer'
+        WHEN q.teacher_answer = '' THEN 'no_key' WHEN r.score = 6 THEN 'error' ELSE 'evaluated' END AS status,
+      CASE WHEN qid IS NOT NULL THEN coalesce(nullif(q.marks, 0), 2.0) END AS m,
+      CASE WHEN qid IS NOT NULL THEN coalesce(nullif(q.question_type, ''), 'open_ended') END AS question_type
+      FROM resolved r LEFT JOIN questions q ON q.id = r.qid WHERE NOT r.evaluated)
+    SELECT status, question_type, count(*) AS n, sum(m) AS marks FROM d GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    resolved = link.resolve_questions(link.pending(s.answers(t)), s.questions(t))
+    return link.dispositions(resolved, F.col("score") == 6).groupBy("status", "question_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("max_marks").alias("marks")
+    )
+
+
 @check(
     "linked_at_ingest", "C2",
     f"""WITH {q.QUESTIONS}, {q.ANSWERS}, k AS (SELECT paper_id, question_number, is_or_option, min(id) AS qid FROM questions GROUP BY ALL)

@@ -270,12 +270,30 @@ def _(t: Tables) -> DataFrame:
     return _vocabulary(t)[1]
 
 
-@check("word_corrections", "C11")
+_CORRECTABLE = r"length(l) > 2 AND NOT regexp_matches(w, '\d') AND l <> upper(l)"
+_FIXES = rf"""toks AS (SELECT conv_id, turn, generate_subscripts(k, 1) AS pos, unnest(k) AS w FROM (
+    SELECT conv_id, turn, {q.words(q.normalize('text'))} AS k FROM conversations)),
+  bare AS (SELECT *, regexp_replace(w, '[^a-zA-Z]', '', 'g') AS l FROM toks),
+  cnt AS (SELECT lower(l) AS word, count(*) AS n FROM bare WHERE {_CORRECTABLE} GROUP BY 1),
+  voc AS (SELECT word, sum(n) AS n FROM (SELECT * FROM cnt WHERE n >= 40
+    UNION ALL SELECT unnest([{', '.join(q.quoted(w) for w in fv.TECHNICAL_WORDS)}]), 1) GROUP BY 1),
+  near AS (SELECT c.word, v.word AS correction, v.n, damerau_levenshtein(c.word, v.word) AS d FROM cnt c JOIN voc v
+    ON abs(length(c.word) - length(v.word)) <= 2 WHERE c.word NOT IN (SELECT word FROM voc)),
+  fixes AS (SELECT word, correction FROM near WHERE d <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY d, n DESC, correction) = 1)"""
+
+
+@check("word_corrections", "C11", f"WITH {_FIXES} SELECT word, correction FROM fixes")
 def _(t: Tables) -> DataFrame:
     return spelling.corrections(*_vocabulary(t))
 
 
-@check("corrected_texts", "C11 H46")
+@check(
+    "corrected_texts", "C11 H46",
+    rf"""WITH {_FIXES}, done AS (SELECT conv_id, turn, pos, CASE WHEN correction IS NULL THEN w
+        WHEN regexp_matches(l, '^[A-Z]') THEN replace(w, l, upper(correction[1]) || correction[2:]) ELSE replace(w, l, correction) END AS w
+      FROM bare LEFT JOIN fixes ON {_CORRECTABLE} AND word = lower(l))
+    SELECT conv_id, turn, string_agg(w, ' ' ORDER BY pos) AS text FROM done GROUP BY ALL""",
+)
 def _(t: Tables) -> DataFrame:
     fixes = spelling.corrections(*_vocabulary(t))
     texts = t.conversations.select("conv_id", "turn", tx.normalize(F.col("text")).alias("text"))
