@@ -68,7 +68,9 @@ QA = """qa AS (
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
-QUESTION_ID = "(((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey)"
+QUESTION_ID = (
+    "((((l_orderkey * 8 + l_linenumber) * 200000 + l_partkey) * 5000 + l_suppkey) * 64 + l_quantity::BIGINT)"
+)
 
 QUESTIONS = f"""questions AS (
   SELECT {QUESTION_ID} AS id, l_orderkey AS paper_id, l_linenumber AS question_number,

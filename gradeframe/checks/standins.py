@@ -22,8 +22,8 @@ def qa_pairs(t: Tables) -> DataFrame:
 
 
 def question_id() -> Column:
-    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
-    return line * 10000 + F.col("l_suppkey")
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 200000 + F.col("l_partkey")
+    return (line * 5000 + F.col("l_suppkey")) * 64 + F.col("l_quantity").cast("long")
 
 
 def questions(t: Tables) -> DataFrame:

@@ -23,7 +23,7 @@ def letters_of(word: Column) -> Column:
 def is_correctable(word: Column) -> Column:
     """Words with digits, in capitals, or of two letters or fewer are left alone."""
     bare = letters_of(word)
-    return (F.length(bare) > 2) & ~word.rlike(r"(?U)\d") & (bare != F.upper(bare))
+    return (F.length(bare) > 2) & ~word.rlike(r"(?U)\d") & bare.rlike("[a-z]")
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
