@@ -225,7 +225,7 @@ def _(t: Tables) -> DataFrame:
 
 @check(
     "result_details", "C8",
-    f"""WITH {_ORDER_RESULTS} SELECT l_orderkey AS submission_id, CASE WHEN l_returnflag <> 'N' THEN 50.0 ELSE 10.0 END AS max_marks, c_mktsegment AS course_name, p_name AS question_text
+    f"""WITH {_ORDER_RESULTS} SELECT l_orderkey AS submission_id, CASE WHEN l_returnflag <> 'N' THEN 50.0 ELSE 10.0 END::DOUBLE AS max_marks, c_mktsegment AS course_name, p_name AS question_text
     FROM res JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN part ON p_partkey = o_orderkey""",
 )
 def _(t: Tables) -> DataFrame:

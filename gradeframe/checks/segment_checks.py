@@ -269,7 +269,7 @@ MINIMAL = f"""mini AS (SELECT doc_id, TRY_CAST(n AS INT) AS question_number, {q.
 
 @check(
     "minimal_questions", "E11",
-    f"WITH {s.marked_sql(PAPER)}, {MINIMAL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, question_number, question_text FROM mini",
+    f"WITH {s.marked_sql(PAPER)}, {MINIMAL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, question_number, question_text FROM mini",
 )
 def _(t: Tables) -> DataFrame:
     return s.marked(t, PAPER).select(

@@ -49,7 +49,7 @@ def _(t: Tables) -> DataFrame:
 @check(
     "sentences", "H3",
     rf"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents)
-    SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS sentence FROM (
+    SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS sentence FROM (
       SELECT doc_id, list_filter(list_transform(l, lambda x: {q.strip('x')}), lambda x: x <> '') AS l FROM p)""",
 )
 def _(t: Tables) -> DataFrame:
@@ -117,7 +117,7 @@ def _(t: Tables) -> DataFrame:
 def _chunk_sql(size: int, overlap: int) -> str:
     step = size - overlap
     return (
-        f"SELECT doc_id, i AS chunk_no, substr(text, i * {step} + 1, {size}) AS chunk FROM ("
+        f"SELECT doc_id, i::INT AS chunk_no, substr(text, i * {step} + 1, {size}) AS chunk FROM ("
         f"SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - {size})::DOUBLE / {step})::BIGINT) + 1)) AS i "
         "FROM documents)"
     )
@@ -139,7 +139,7 @@ def _(t: Tables) -> DataFrame:
 
 @check(
     "typed_pages", "H28",
-    rf"""SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS page FROM (
+    rf"""SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS page FROM (
       SELECT doc_id, list_filter(list_transform(string_split(
         regexp_replace(replace(replace(text, chr(10) || 'T', chr(10) || chr(10) || chr(10) || 'T'), chr(10) || 'E', chr(12) || 'E'),
           '\f|\n{{3,}}', chr(1), 'g'), chr(1)), lambda x: {q.strip('x')}), lambda x: x <> '') AS l FROM documents)""",
@@ -234,7 +234,7 @@ _MATCH = f"""{q.QA}, n AS (SELECT conv_id, turn,
 
 @check(
     "best_sentence_matches", "C10",
-    f"WITH {_MATCH} SELECT conv_id, turn, pos - 1 AS pos, round(sim, 3) AS similarity FROM best",
+    f"WITH {_MATCH} SELECT conv_id, turn, (pos - 1)::INT AS pos, round(sim, 3) AS similarity FROM best",
 )
 def _(t: Tables) -> DataFrame:
     return vx.match_rows(_matches(t), ["conv_id", "turn"], "m").select(
@@ -354,7 +354,7 @@ def _(t: Tables) -> DataFrame:
 
 @check(
     "page_scores", "H39 F1",
-    rf"SELECT page_id, round(len(list_filter({q.words('html')}, lambda w: regexp_matches(w, '\p{{L}}'))) * 0.7 + 0.5 * 0.3, 6) AS score FROM pages",
+    rf"SELECT page_id, round(len(list_filter({q.words('html')}, lambda w: regexp_matches(w, '\p{{L}}'))) * 0.7::DOUBLE + 0.5::DOUBLE * 0.3::DOUBLE, 6) AS score FROM pages",
 )
 def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.round(pg.page_score(F.col("html"), F.lit(0.5)), 6).alias("score"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeframe.functions.scoring import marks_or_default, type_or_default
 from gradeframe.functions.text import is_blank
 from gradeframe.operators.keyed import first_per_key
+from gradeframe.operators.skew import optional_lookup
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -44,7 +45,7 @@ def resolve_questions(answers: DataFrame, questions: DataFrame) -> DataFrame:
         lowest(None).alias("_any"),
     )
     same_flag = F.when(F.col("is_or_option"), F.col("_alternative")).otherwise(F.col("_plain"))
-    joined = answers.join(by_id, "exam_question_id", "left").join(
+    joined = optional_lookup(answers, by_id, "exam_question_id", answers.columns).join(
         folded, ["paper_id", "question_number"], "left"
     )
     matched_by = (
@@ -135,7 +136,8 @@ def apply_question(requests: DataFrame, questions: DataFrame) -> DataFrame:
         F.lit(True).alias("_hit"),
     )
     given = F.when(F.size("rubric") > 0, F.col("rubric"))
-    joined = requests.join(side, "exam_question_id", "left")
+    spread_by = [c for c in requests.columns if c != "rubric"]
+    joined = optional_lookup(requests, side, "exam_question_id", spread_by)
     filled = {
         "max_marks": F.when(F.col("_hit"), F.col("_marks")).otherwise(F.col("max_marks")),
         "question": F.coalesce(F.nullif(F.col("question"), F.lit("")), F.col("_text")),
@@ -150,16 +152,13 @@ def apply_question(requests: DataFrame, questions: DataFrame) -> DataFrame:
 def lookup_papers(requests: DataFrame, papers: DataFrame, ref: str = "paper_ref") -> DataFrame:
     """Resolve a paper reference: its slug, else its numeric id when all digits."""
     slugs = papers.groupBy("paper_id").agg(F.min("id").alias("_by_slug"))
-    ids = papers.select(F.col("id").alias("_id"), F.col("id").alias("_by_id"))
+    ids = papers.select(F.col("id").alias("_number"), F.col("id").alias("_by_id"))
     number = F.when(F.col(ref).rlike(r"^\d+$"), F.col(ref).try_cast("long"))
-    return (
-        requests.join(slugs, F.col(ref) == F.col("paper_id"), "left")
-        .withColumn("_number", F.when(F.col("_by_slug").isNull(), number))
-        .join(ids, F.col("_number") == F.col("_id"), "left")
-        .select(
-            *requests.columns,
-            F.coalesce(F.col("_by_slug"), F.col("_by_id")).alias("paper_fk"),
-        )
+    by_slug = requests.join(slugs, F.col(ref) == F.col("paper_id"), "left").withColumn(
+        "_number", F.when(F.col("_by_slug").isNull(), number)
+    )
+    return optional_lookup(by_slug, ids, "_number", requests.columns).select(
+        *requests.columns, F.coalesce(F.col("_by_slug"), F.col("_by_id")).alias("paper_fk")
     )
 
 
@@ -167,17 +166,14 @@ def paper_of_booklet(
     booklets: DataFrame, papers: DataFrame, override: str = "paper_override"
 ) -> DataFrame:
     """The caller's paper when it exists, else the stored one; ``rejected`` when neither."""
-    slugs = papers.groupBy("paper_id").agg(F.min("id").alias("_override_fk"))
+    slugs = papers.groupBy(F.col("paper_id").alias(override)).agg(F.min("id").alias("_override_fk"))
     stored = papers.select(F.col("id").alias("exam_paper_id"), F.col("id").alias("_stored_fk"))
     resolved = F.coalesce(F.col("_override_fk"), F.col("_stored_fk"))
-    return (
-        booklets.join(slugs, F.col(override) == F.col("paper_id"), "left")
-        .join(stored, "exam_paper_id", "left")
-        .select(
-            *booklets.columns,
-            resolved.alias("resolved_paper_id"),
-            resolved.isNull().alias("rejected"),
-        )
+    overridden = optional_lookup(booklets, slugs, override, booklets.columns)
+    return optional_lookup(overridden, stored, "exam_paper_id", booklets.columns).select(
+        *booklets.columns,
+        resolved.alias("resolved_paper_id"),
+        resolved.isNull().alias("rejected"),
     )
 
 
@@ -191,7 +187,8 @@ def submissions_with_results(
         F.col("submission_id").alias("id"),
         F.struct(*shown).alias("result"),
     )
-    return submissions.join(codes, "student_id", "left").join(graded, "id", "left")
+    coded = optional_lookup(submissions, codes, "student_id", submissions.columns)
+    return coded.join(graded, "id", "left")
 
 
 def result_detail(
@@ -208,12 +205,11 @@ def result_detail(
     question = questions.select(
         F.col("id").alias("exam_question_id"), "question_number", "question_text"
     )
-    return (
-        results.withColumn("max_marks", F.coalesce("max_marks", F.lit(default_marks)))
-        .join(subs, "submission_id")
-        .join(paper, "exam_paper_id", "left")
-        .join(question, "exam_question_id", "left")
+    found = results.withColumn("max_marks", F.coalesce("max_marks", F.lit(default_marks))).join(
+        subs, "submission_id"
     )
+    papered = optional_lookup(found, paper, "exam_paper_id", ["submission_id"])
+    return optional_lookup(papered, question, "exam_question_id", ["submission_id"])
 
 
 def linked(answers: DataFrame, questions: DataFrame) -> DataFrame:

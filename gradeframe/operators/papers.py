@@ -124,8 +124,9 @@ def paper_lines(
         documents.select(*keys, F.split(text, fv.LINE_BREAK).alias("_lines"))
         .select(*keys, "_lines", _part_headers("_lines").alias("_headers"))
         .select(*keys, "_lines", _first_headers("_headers").alias("_parts"))
-        .select(*keys, "_parts", F.posexplode("_lines").alias("line_no", "_raw"))
-        .withColumn("line", strip(F.col("_raw")))
+        # an expression, not the bare column: for that Spark would add a size filter
+        # and split the text once more below it
+        .select(*keys, "_parts", F.posexplode(F.transform("_lines", strip)).alias("line_no", "line"))
         .filter("line != ''")
     )
     line = F.col("line")
@@ -191,7 +192,7 @@ def paper_lines(
                 F.col("l_mark.number") <= fv.LIST_LAST_NUMBER, F.col("l_mark.number")
             ),
         })
-        .drop("_raw", "_stated", *[f"_n_{n}" for n in shapes], "_r_inline", "_r_bare")
+        .drop("_stated", *[f"_n_{n}" for n in shapes], "_r_inline", "_r_bare")
     )
 
 

@@ -22,3 +22,20 @@ def salted_left_join(
     )
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
+def optional_lookup(
+    facts: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str], buckets: int = 1024
+) -> DataFrame:
+    """Left join on a key that is often null.
+
+    Null keys never match but would all be sent to one task; a second join column
+    that is 0 for real keys spreads them. The result is that of a plain left join.
+    """
+    salt = F.when(
+        F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int")
+    ).otherwise(F.lit(0))
+    spread = facts.withColumn("_null_salt", salt)
+    return spread.join(
+        lookup.withColumn("_null_salt", F.lit(0)), [key, "_null_salt"], "left"
+    ).drop("_null_salt")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeframe.operators import agreement as ag, error_rates as er, link, maintain as mt, pages as pg
 from gradeframe.operators import papers as pp, regions as ro, reports, rubric, segment as sg
-from gradeframe.operators.skew import salted_left_join
+from gradeframe.operators.skew import optional_lookup, salted_left_join
 from gradeframe.schemas import DEFAULTS, TABLES, schema_of
 from gradeframe.sources import labels as lb, tables as tb
 from gradeframe.sources.score_sheets import read_score_sheet, scored_sheet
@@ -144,6 +144,13 @@ def test_salted_join_equals_plain_join_on_a_hot_key(spark):
     assert plain.exceptAll(salted.select(*plain.columns)).count() == 0 and salted.count() == 3000
 
 
+def test_optional_lookup_equals_plain_join_with_null_keys(spark):
+    facts = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 40).alias("k"))
+    lookup = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    plain, spread = facts.join(lookup, "k", "left"), optional_lookup(facts, lookup, "k", ["id"])
+    assert plain.exceptAll(spread.select(*plain.columns)).count() == 0 and spread.count() == 2000
+
+
 def test_upsert_twice_changes_nothing(spark):
     papers = spark.createDataFrame([("a", 1), ("b", 2)], "paper_id string, v int")
     parts = spark.createDataFrame([("a", "x"), ("b", "y")], "paper_id string, p string")
