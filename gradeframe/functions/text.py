@@ -8,7 +8,6 @@ from itertools import chain
 from pyspark.sql import Column, functions as F
 
 from gradeframe import fixed_values as fv
-from gradeframe.functions.rounding import exact_round
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -174,7 +173,3 @@ def page_texts(text: Column) -> Column:
     """Pages of typed text: form feeds or three or more line ends part pages."""
     parts = F.transform(F.split(text, r"\f|\n{3,}"), strip)
     return F.filter(parts, lambda p: p != "")
-
-
-def rounded_score(score: Column) -> Column:
-    return exact_round(score, 2)
