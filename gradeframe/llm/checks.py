@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import line_dedup, quality_rules, sharding, url_filter
+from gradeframe.llm import decontaminate, line_dedup, quality_rules, sharding, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(pages).drop("url")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.match(docs, table(spark, folder, "benchmark"), into="x", carry=["doc_id"])
+    return found.select(
+        "doc_id", "x.n_words", "x.n_hit", F.size("x.item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("x.item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("x.n_hit") > 0).alias("contaminated"))
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     kept = line_dedup.drop_repeated_lines(docs, into="lines")
@@ -39,10 +48,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op5_line_dedup, op7_sharding, op10_quality_rules)
+    f.__name__: f for f in (op2_url_filter, op4_decontamination, op5_line_dedup, op7_sharding, op10_quality_rules)
 }
 SQL: dict[str, str] = {
     "op2_url_filter": url_filter.filter_sql(),
+    "op4_decontamination": decontaminate.contamination_sql(),
     "op5_line_dedup": line_dedup.dedup_sql(),
     "op7_sharding": sharding.shards_sql(),
 }

@@ -63,7 +63,8 @@ def measured(docs: DataFrame, text: str, into: str) -> DataFrame:
         F.filter(F.split(part, "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias("lines"),
         F.regexp_replace(part, "[^#*$%&|<>]+", "").alias("symbols"),
         F.length(F.regexp_replace(part, "\\P{Lu}+", "")).alias("upper"),
-        F.length(F.regexp_replace(part, "\\P{Ll}+", "")).alias("lower"),
+        F.regexp_count(part, F.lit("([^\\p{L}\\p{N}\\s])\\1++")).alias("doubled"),
+        F.regexp_count(part, F.lit("(?<![^ \\t-\\r])[\\p{L}\\p{N}]++[.,;:!?]?(?![^ \\t-\\r])")).alias("plain"),
     ))
     get = lambda name: F.col(f"{part}.{name}")
     long = lambda c: c.cast("long")
@@ -75,8 +76,8 @@ def measured(docs: DataFrame, text: str, into: str) -> DataFrame:
         F.coalesce(repeated_words(get("words")), F.lit(0).cast("long")).alias("n_repeat_words"),
         long(F.size(get("lines"))).alias("n_lines"),
         long(F.size(F.filter(get("lines"), lambda x: x.rlike("[.!?:;\"'’”)。][ \\t-\\r]*$")))).alias("n_closed_lines"),
-        long(get("upper")).alias("n_upper"), long(get("lower")).alias("n_lower"),
-        long(F.size(F.filter(get("words"), lambda w: w.rlike("\\p{L}")))).alias("n_letter_words"),
+        long(get("upper")).alias("n_upper"), long(get("doubled")).alias("n_doubled"),
+        long(get("plain")).alias("n_plain_words"),
     )).drop(part)
 
 
@@ -108,14 +109,16 @@ RULES: tuple[Rule, ...] = (
     Rule("length", "@n_words", "1", (40, math.inf), (MIN_WORDS, math.inf)),
     Rule("word_length", "@word_chars", "@n_words", (2.5, 11), (1.8, 18)),
     Rule("symbols", "@n_symbols", "@n_words", (0, 0.05), (0, 0.1)),
-    Rule("letters", "@n_letter_words", "@n_words", (0.85, 1), (0.7, 1)),
-    Rule("capitals", "@n_upper", "@n_upper + @n_lower", (0, 0.25), (0, 0.5)),
+    Rule("doubled_marks", "@n_doubled", "@n_words", (0, 0.03), (0, 0.1)),
+    Rule("plain_words", "@n_plain_words", "@n_words", (0.8, 1), (0.6, 1)),
+    Rule("capitals", "@n_upper", "@word_chars", (0, 0.15), (0, 0.4)),
     Rule("closed_lines", "@n_closed_lines", "@n_lines", (0.5, 1), (0.1, 1)),
     Rule("repeated_lines", "@n_dup_lines", "@n_lines", (0, 0.1), (0, 0.3)),
     Rule("repeated_words", "@n_repeat_words", "@n_words", (0, 0.1), (0, 0.2)),
 )
-#: Pseudo counts: a rule's guess before any document is seen, and how many documents it weighs.
-PRIOR_GOOD, PRIOR_RIGHT, PRIOR_WRONG, PRIOR_WEIGHT = 0.8, 0.7, 0.1, 20.0
+#: What a rule is taken to be worth before any document is seen, and how many documents that weighs.
+PRIOR_GOOD, PRIOR_WEIGHT = 0.8, 20.0
+PRIOR_VOTES = {True: {1: 0.85, 0: 0.12, -1: 0.03}, False: {1: 0.35, 0: 0.25, -1: 0.4}}
 
 
 @dataclass(frozen=True)
@@ -138,9 +141,7 @@ def estimate(patterns: Mapping[tuple[int, ...], int], n_rules: int, rounds: int
     The classes are named by the prior: in neither does a rule vote against the
     class more often than for it, so good and bad cannot change places.
     """
-    prior = {True: {1: PRIOR_RIGHT, -1: PRIOR_WRONG}, False: {1: PRIOR_WRONG, -1: PRIOR_RIGHT}}
-    for p in prior.values():
-        p[0] = 1 - p[1] - p[-1]
+    prior = PRIOR_VOTES
     share, given = PRIOR_GOOD, [{c: dict(prior[c]) for c in prior} for _ in range(n_rules)]
 
     def model() -> Model:
