@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontaminate, line_dedup, packing, quality_rules, sharding, url_filter
+from gradeframe.llm import decontaminate, line_dedup, packing, quality_model, quality_rules, sharding, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(pages).drop("url")
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = quality_model.held_out("doc_id")
+    scored = quality_model.score_documents(docs, table(spark, folder, "labels"), ~held, carry=["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "score",
+                         (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.match(docs, table(spark, folder, "benchmark"), into="x", carry=["doc_id"])
@@ -52,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op4_decontamination, op5_line_dedup, op7_sharding, op8_packing, op10_quality_rules)
+    f.__name__: f for f in (op2_url_filter, op3_quality_classifier, op4_decontamination, op5_line_dedup, op7_sharding, op8_packing, op10_quality_rules)
 }
 SQL: dict[str, str] = {
     "op2_url_filter": url_filter.filter_sql(),
