@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontaminate, line_dedup, packing, quality_model, quality_rules, sharding, url_filter
+from gradeframe.llm import decontaminate, line_dedup, minhash, packing, quality_model, quality_rules, sharding, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     q = quality_rules.judge_documents(docs, into="q", carry=["doc_id"])
@@ -60,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op3_quality_classifier, op4_decontamination, op5_line_dedup, op7_sharding, op8_packing, op10_quality_rules)
+    f.__name__: f for f in (op2_url_filter, op3_quality_classifier, op4_decontamination, op5_line_dedup, op7_sharding, op8_packing, op9_minhash, op10_quality_rules)
 }
 SQL: dict[str, str] = {
     "op2_url_filter": url_filter.filter_sql(),

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows with at most ``most`` bytes, or one row."""
+    """(first row, bytes, offsets) of runs of at most SLICE_ROWS rows with at most ``most`` bytes, or one row."""
     whole = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(whole, pa.ChunkedArray):
         whole = whole.combine_chunks()
@@ -54,6 +54,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
     row = 0
     while row < len(whole):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+        end = min(end, row + SLICE_ROWS)
         at = offsets[row:end + 1]
         yield row, data[at[0]:at[-1]], at - at[0]
         row = end
