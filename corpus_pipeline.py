@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeframe.llm.common import staged
+from gradeframe.llm.decontaminate import drop_contaminated
 from gradeframe.llm.line_dedup import drop_repeated_lines
+from gradeframe.llm.minhash import keep_one
+from gradeframe.llm.packing import pack
 from gradeframe.llm.quality_rules import keep_good
 
 
@@ -23,7 +26,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their places in training sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality), ("line_dedup", lines), ("minhash", near_duplicates),
+    ("decontamination", decontamination), ("packing", packing),
+]
 
 #: The first stage estimates its rules by iteration, which plain SQL does not express.
 ORACLE_SQL = None
