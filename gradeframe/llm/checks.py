@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontaminate, line_dedup, minhash, packing, quality_model, quality_rules, sharding, url_filter
+from gradeframe.llm import decontaminate, line_dedup, minhash, packing, pii, quality_model, quality_rules, sharding, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, into="x", carry=["doc_id"])
+    base = pii.listed({k: F.col(f"x.{k}") for k in pii.KINDS})
+    return found.select(
+        "doc_id", *[F.size(f"x.{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        pii.listed({k: F.col(f"x.{k}_all") for k in pii.KINDS}).alias("spans"))
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages).drop("url")
@@ -64,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op3_quality_classifier, op4_decontamination, op5_line_dedup, op7_sharding, op8_packing, op9_minhash, op10_quality_rules)
+    f.__name__: f for f in (op1_pii, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_line_dedup, op7_sharding, op8_packing, op9_minhash, op10_quality_rules)
 }
 SQL: dict[str, str] = {
     "op2_url_filter": url_filter.filter_sql(),
