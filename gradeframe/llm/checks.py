@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontaminate, line_dedup, minhash, packing, pii, quality_model, quality_rules, sharding, url_filter
+from gradeframe.llm import decontaminate, line_dedup, minhash, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,13 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs, into="x", carry=["doc_id"])
+    return found.select("doc_id", "x.n_bytes", "x.n_removed", F.size("x.spans").cast("long").alias("n_spans"),
+                        F.sha2("x.kept", 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents").select("doc_id", "text"), carry=["doc_id"])
 
@@ -74,7 +81,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_line_dedup, op7_sharding, op8_packing, op9_minhash, op10_quality_rules)
+    f.__name__: f for f in (op1_pii, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_line_dedup, op6_suffix_dedup, op7_sharding, op8_packing, op9_minhash, op10_quality_rules)
 }
 SQL: dict[str, str] = {
     "op2_url_filter": url_filter.filter_sql(),
