@@ -222,28 +222,47 @@ def _(t: Tables) -> DataFrame:
     return reports.system_stats(results(t))
 
 
+_MEASURES = {
+    "mae": "list_sum(list_transform(range(1, 5), lambda i: abs(a[i] - g[i]))) / 4",
+    "within_1": "len(list_filter(range(1, 5), lambda i: abs(a[i] - g[i]) <= 1)) / 4",
+    "within_0_5": "len(list_filter(range(1, 5), lambda i: abs(a[i] - g[i]) <= 0.5)) / 4",
+    "right_": "len(list_filter(range(1, 5), lambda i: a[i] = g[i]))",
+    "mean_a": "list_avg(a)", "mean_g": "list_avg(g)",
+}
+
+
 @check(
     "adhoc_metrics", "D21",
-    """WITH r AS (SELECT event_id, string_agg(v, ',') AS dummy FROM (SELECT event_id, '1' AS v FROM events) GROUP BY 1),
-    l AS (SELECT event_id, [value, value + 1, user_id] AS ai, CASE event_type WHEN 'error' THEN [user_id::DOUBLE, value]
-        ELSE [user_id, value, value + 0.25] END AS gt, event_type FROM events)
-    SELECT event_id, CASE WHEN event_type = 'error' THEN 'Length mismatch: 3 vs 2'
-        WHEN event_type = 'signup' THEN 'Scores must be comma-separated floats.' END AS problem,
-      CASE WHEN event_type NOT IN ('error', 'signup') THEN round((abs(ai[1] - gt[1]) + abs(ai[2] - gt[2]) + abs(ai[3] - gt[3])) / 3, 6) END AS mae
-    FROM l""",
+    f"""WITH l AS (SELECT event_id, event_type, [value % 10, value % 10 + 1, user_id % 10, 5] AS a, [user_id % 10, value % 10, value % 10 + 0.25, 5] AS g FROM events),
+    m AS (SELECT event_id, event_type, {', '.join(f"{sql} AS {name}" for name, sql in _MEASURES.items())} FROM l),
+    u AS (SELECT event_id, unnest(a) AS x, unnest(g) AS y FROM l), r AS (SELECT event_id, coalesce(corr(x, y), 0) AS r FROM u GROUP BY 1),
+    d AS (SELECT event_id, round_even(x, 0)::INT AS x, round_even(y, 0)::INT AS y FROM u), k AS (SELECT * FROM d WHERE x BETWEEN 0 AND 10 AND y BETWEEN 0 AND 10),
+    e AS (SELECT p.event_id, avg(abs(p.x - o.y)) AS e FROM k p JOIN k o USING (event_id) GROUP BY 1), o AS (SELECT event_id, avg(abs(x - y)) AS o FROM k GROUP BY 1),
+    c AS (SELECT event_id, 1 - o / e AS c FROM e JOIN o USING (event_id))
+    SELECT event_id, CASE event_type WHEN 'error' THEN 'Length mismatch: 4 vs 2' WHEN 'signup' THEN 'Scores must be comma-separated floats.' END AS problem,
+      CASE WHEN ok THEN round(mae, 6) END AS mae, CASE WHEN ok THEN within_1 END AS accuracy_within_1,
+      CASE WHEN cont THEN round(r, 6) END AS pearson_r, CASE WHEN cont THEN round(c, 6) END AS cohen_kappa,
+      CASE WHEN cont THEN within_0_5 END AS accuracy_within_0_5, CASE WHEN cont THEN round(mean_a, 6) END AS mean_ai_score,
+      CASE WHEN cont THEN round(mean_g, 6) END AS mean_teacher_score, CASE WHEN ok AND NOT cont THEN right_ / 4 END AS mcq_accuracy,
+      CASE WHEN ok AND NOT cont THEN right_::BIGINT END AS mcq_n_correct, CASE WHEN ok AND NOT cont THEN 4 - right_::BIGINT END AS mcq_n_wrong
+    FROM (SELECT *, event_type NOT IN ('error', 'signup') AS ok, event_type NOT IN ('error', 'signup', 'click') AS cont FROM m) JOIN r USING (event_id) JOIN c USING (event_id)""",
 )
 def _(t: Tables) -> DataFrame:
-    v, u = F.col("value").cast("string"), F.col("user_id").cast("string")
-    plus = lambda x: (F.col("value") + x).cast("string")
+    value, user = F.col("value") % 10, F.col("user_id") % 10
+    v, u = value.cast("string"), user.cast("string")
+    plus = lambda x: (value + x).cast("string")
     teacher = (
         F.when(F.col("event_type") == "error", F.concat_ws(", ", u, v))
-        .when(F.col("event_type") == "signup", F.concat_ws(",", u, F.lit("x"), v))
-        .otherwise(F.concat_ws(" ,", u, v, F.lit(""), plus(0.25)))
+        .when(F.col("event_type") == "signup", F.concat_ws(",", u, F.lit("x"), v, F.lit("5")))
+        .otherwise(F.concat_ws(" ,", u, v, F.lit(""), plus(0.25), F.lit("5")))
     )
     requests = t.events.select(
-        "event_id", F.concat_ws(",", v, plus(1), u).alias("ai_scores"), teacher.alias("teacher_scores")
+        "event_id", F.concat_ws(",", v, plus(1), u, F.lit("5")).alias("ai_scores"), teacher.alias("teacher_scores"),
+        F.when(F.col("event_type") == "click", "mcq").otherwise("open_ended").alias("question_type"),
     )
-    return ag.adhoc_report(requests, "event_id").select("event_id", "problem", F.round("mae", 6).alias("mae"))
+    report = ag.adhoc_report(requests, "event_id", question_type="question_type").drop("n_samples")
+    rounded = ["mae", "pearson_r", "cohen_kappa", "mean_ai_score", "mean_teacher_score"]
+    return report.withColumns({c: F.round(c, 6) for c in rounded})
 
 
 @check(

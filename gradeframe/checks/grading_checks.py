@@ -11,7 +11,6 @@ from gradeframe.functions import extract, rounding, scoring, text as tx
 from gradeframe.operators import reports
 from gradeframe.plans.grading import grade, objective_grades, prepare_keys
 from gradeframe.plans.scorer import apply_scorer
-from gradeframe.sources.tables import spread
 
 KINDS = ["open_ended", "short_answer", "fill_blank", "diagram", "open_ended"]
 
@@ -247,7 +246,7 @@ def _(t: Tables) -> DataFrame:
         )
     )
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = spread(t.lineitem).select(
+    rows = t.lineitem.select(
         *keys, F.col("l_quantity").alias("marks"), kind.alias("kind"), key.alias("k"), answer.alias("answer")
     )
     graded = objective_grades(rows, "kind", "answer", "k", "marks")
@@ -339,9 +338,8 @@ def _(t: Tables) -> DataFrame:
             raise ValueError("cannot score")
         return (rows["student"].str.len() / rows["teacher"].str.len()).clip(upper=1.0) * 10
 
-    scored = apply_scorer(s.qa_pairs(t), scorer, "ai_score").select(
-        "turn", "ai_score",
+    scored = apply_scorer(s.qa_pairs(t).select("turn", "student", "teacher"), scorer, "ai_score").select(
+        "turn", F.col("ai_score").alias("score"),
         F.when(F.col("problem").isNotNull(), "error").otherwise("evaluated").alias("status"),
     )
-    counts = reports.batch_summary(scored, ["turn"])
-    return counts.join(scored.groupBy("turn").agg(F.round(F.sum("ai_score"), 4).alias("score")), "turn")
+    return reports.batch_summary(scored, ["turn"], "score").withColumn("score", F.round("score", 4))

@@ -249,10 +249,15 @@ def _(t: Tables) -> DataFrame:
     return best.select("page", (real_word_count(F.col("text")) + F.col("confidence")).alias("best"))
 
 
+# an empty page beside each third one, which only its number shows in the result
+_PAGES = """pages AS (SELECT conv_id, turn AS page_no, role AS engine, text, turn / 10 AS confidence FROM conversations
+    UNION ALL SELECT conv_id, turn + 100, role, '', turn / 10 FROM conversations WHERE turn = 3)"""
+
+
 @check(
     "documents_from_pages", "D22",
-    """WITH f AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL), e AS (SELECT conv_id, string_agg(role, '+' ORDER BY first) AS engine FROM f GROUP BY 1),
-    p AS (SELECT conv_id, string_agg(CASE WHEN turn <> 3 THEN text END, chr(10) || chr(10) ORDER BY turn) AS text, round_even(avg(turn / 10), 4) AS confidence FROM conversations GROUP BY 1)
+    f"""WITH {_PAGES}, f AS (SELECT conv_id, engine, min(page_no) AS first FROM pages GROUP BY ALL), e AS (SELECT conv_id, string_agg(engine, '+' ORDER BY first) AS engine FROM f GROUP BY 1),
+    p AS (SELECT conv_id, string_agg(CASE WHEN text <> '' THEN text END, chr(10) || chr(10) ORDER BY page_no) AS text, round_even(avg(confidence), 4) AS confidence FROM pages GROUP BY 1)
     SELECT conv_id, text, confidence, engine FROM p JOIN e USING (conv_id)""",
 )
 def _(t: Tables) -> DataFrame:
@@ -260,16 +265,17 @@ def _(t: Tables) -> DataFrame:
 
 
 def _page_rows(t: Tables) -> DataFrame:
-    return t.conversations.select(
-        "conv_id", F.col("turn").alias("page_no"), F.col("role").alias("engine"),
-        F.when(F.col("turn") == 3, "").otherwise(F.col("text")).alias("text"), (F.col("turn") / 10).alias("confidence"),
+    pages = t.conversations.select(
+        "conv_id", F.col("turn").alias("page_no"), F.col("role").alias("engine"), "text", (F.col("turn") / 10).alias("confidence"),
     )
+    empty = pages.filter("page_no = 3").withColumns({"page_no": F.col("page_no") + 100, "text": F.lit("")})
+    return pages.unionByName(empty)
 
 
 @check(
     "stitched_booklets", "H27",
-    """SELECT conv_id, string_agg('[Page ' || (turn + 1) || ']' || chr(10) || CASE WHEN turn = 3 THEN '' ELSE text END,
-      chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE turn > 0 GROUP BY 1""",
+    f"""WITH {_PAGES} SELECT conv_id, string_agg('[Page ' || (page_no + 1) || ']' || chr(10) || text,
+      chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10) ORDER BY page_no) AS text FROM pages WHERE page_no > 0 GROUP BY 1""",
 )
 def _(t: Tables) -> DataFrame:
     return pg.stitch_booklet(_page_rows(t), "conv_id")

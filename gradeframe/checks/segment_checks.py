@@ -410,13 +410,12 @@ def _(t: Tables) -> DataFrame:
 
 @check(
     "merged_chunk_answers", "G2 H26",
-    """WITH c AS (SELECT conv_id, role, turn, CASE WHEN turn % 4 < 2 THEN left(text, 20) ELSE text END AS text FROM conversations),
-    p AS (SELECT a.conv_id, a.role, a.turn, trim(a.text, ' ' || chr(10)) AS text FROM c a)
-    SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS answer_text FROM p GROUP BY ALL""",
+    """WITH p AS (SELECT conv_id, role, turn, trim(text, ' ' || chr(10)) AS text FROM conversations)
+    SELECT conv_id, role, list_reduce(list(text ORDER BY turn), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || chr(10) || x END) AS answer_text
+    FROM p GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
-    first = F.when(F.col("turn") % 4 < 2, F.left("text", F.lit(20))).otherwise(F.col("text"))
-    rows = t.conversations.select("conv_id", "role", "turn", first.alias("answer_text"))
+    rows = t.conversations.select("conv_id", "role", "turn", F.col("text").alias("answer_text"))
     # the same piece again under a later number must not be appended twice
     again = rows.withColumn("turn", F.col("turn") + 100)
     return pg.merge_chunks(rows.unionByName(again), ["conv_id", "role"], "turn")

@@ -165,8 +165,8 @@ def slug(course: Column, exam: Column, set_name: Column) -> Column:
 
 
 def discretize(score: Column, step: float = 0.5) -> Column:
-    """Truncate a score to a step and scale by ten to an integer."""
-    return F.rint((score / F.lit(step)).cast("int") * F.lit(step) * 10).cast("int")
+    """Truncate a score to a step and scale by ten to an integer; null if it is no number."""
+    return F.rint((score / F.lit(step)).try_cast("int") * F.lit(step) * 10).cast("int")
 
 
 def page_texts(text: Column) -> Column:

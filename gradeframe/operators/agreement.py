@@ -63,7 +63,7 @@ def weighted_kappa(
 ) -> DataFrame:
     """Linear-weighted kappa on half-even rounded scores, labels 0…⌊max_marks⌋.
 
-    Pairs with a label outside the range are left out. The expected distance
+    Pairs with a label outside the range, or a score that is no number, are left out. The expected distance
     between two independent labels equals the sum over label boundaries t of
     P(a≤t)P(b>t) + P(b≤t)P(a>t), so running totals over the (few) labels replace
     any pairing of labels. Groups without a pair in range score 0; a group whose
@@ -71,7 +71,7 @@ def weighted_kappa(
     """
     by = list(by)
     labelled = df.select(
-        *by, F.rint(ai).cast("long").alias("_a"), F.rint(teacher).cast("long").alias("_b")
+        *by, F.rint(ai).try_cast("long").alias("_a"), F.rint(teacher).try_cast("long").alias("_b")
     )
     in_range = F.col("_a").between(0, int(max_marks)) & F.col("_b").between(0, int(max_marks))
     counts = _label_counts(labelled.filter(in_range), by)
@@ -264,12 +264,61 @@ def adhoc_pairs(requests: DataFrame, ai: str = "ai_scores", teacher: str = "teac
     ).drop("_ai", "_gt")
 
 
+def _row_kappa(pairs: Column, max_marks: float) -> Column:
+    """Weighted kappa of one array of pairs, from the counts of its labels."""
+    labelled = F.filter(
+        F.transform(pairs, lambda p: F.struct(
+            F.rint(p["ai"]).try_cast("long").alias("a"), F.rint(p["teacher"]).try_cast("long").alias("b"))),
+        lambda p: p["a"].between(0, int(max_marks)) & p["b"].between(0, int(max_marks)),
+    )
+    n = F.size(labelled)
+    upto = lambda side, edge: F.size(F.filter(labelled, lambda p: p[side] <= edge)) / n
+
+    def crossing(total: Column, edge: Column) -> Column:
+        a, b = upto("a", edge), upto("b", edge)
+        return total + a * (1 - b) + b * (1 - a)
+
+    expected = F.aggregate(F.sequence(F.lit(0), F.lit(int(max_marks))), F.lit(0.0), crossing)
+    observed = F.aggregate(labelled, F.lit(0.0), lambda total, p: total + F.abs(p["a"] - p["b"])) / n
+    return F.when(n == 0, 0.0).otherwise(F.coalesce(1 - F.try_divide(observed, expected), F.lit(float("nan"))))
+
+
 def adhoc_report(
     requests: DataFrame, key: str, ai: str = "ai_scores", teacher: str = "teacher_scores",
-    max_marks: float = 10.0,
+    max_marks: float = 10.0, question_type: str | None = None,
 ) -> DataFrame:
-    """Measures for every valid request; rejected requests keep only ``problem``."""
+    """Measures for every valid request; rejected requests keep only ``problem``.
+
+    ``question_type`` names a column: requests of type ``mcq`` get the right/wrong
+    measures of their scores, all others the continuous ones. A request's lists are
+    one row, so everything is computed there: no shuffle.
+    """
     checked = adhoc_pairs(requests, ai, teacher)
-    rows = checked.select(key, F.inline("pairs"))
-    scored = score_summary(rows, "ai", "teacher", [key], max_marks)
-    return checked.select(key, "problem").join(scored, key, "left")
+    pairs, n = F.col("pairs"), F.size("pairs")
+    mcq = F.coalesce(F.col(question_type) == "mcq", F.lit(False)) if question_type else F.lit(False)
+    valid = F.col("problem").isNull()
+    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda x, p: x + f(p))
+    share = lambda test: total(lambda p: test(p).cast("double")) / n
+    sums = checked.withColumn("_m", F.when(valid, F.struct(
+        (total(lambda p: p["ai"]) / n).alias("a"), (total(lambda p: p["teacher"]) / n).alias("t"))))
+    off = lambda p, side, mean: p[side] - F.col(f"_m.{mean}")
+    spread = lambda side, mean: F.sqrt(total(lambda p: off(p, side, mean) * off(p, side, mean)) / n)
+    both = sums.withColumn("_s", F.when(valid, F.struct(
+        spread("ai", "a").alias("a"), spread("teacher", "t").alias("t"),
+        (total(lambda p: off(p, "ai", "a") * off(p, "teacher", "t")) / n).alias("c"))))
+    varied = (F.col("_s.a") > 1e-9) & (F.col("_s.t") > 1e-9)
+    pearson_r = F.when(varied, F.try_divide(F.col("_s.c"), F.col("_s.a") * F.col("_s.t"))).otherwise(0.0)
+    right = total(lambda p: (p["ai"] == p["teacher"]).cast("double"))
+    gap = lambda p: F.abs(p["ai"] - p["teacher"])
+    continuous, letters = valid & ~mcq, valid & mcq
+    at = lambda when, value: F.when(when, F.bround(value, 10))
+    return both.select(
+        key, "problem", F.when(valid, n).alias("n_samples"),
+        at(valid, total(gap) / n).alias("mae"), at(continuous, pearson_r).alias("pearson_r"),
+        at(valid, share(lambda p: gap(p) <= 1.0)).alias("accuracy_within_1"),
+        at(continuous, share(lambda p: gap(p) <= 0.5)).alias("accuracy_within_0_5"),
+        at(continuous, F.col("_m.a")).alias("mean_ai_score"), at(continuous, F.col("_m.t")).alias("mean_teacher_score"),
+        at(continuous, _row_kappa(pairs, max_marks)).alias("cohen_kappa"),
+        at(letters, right / n).alias("mcq_accuracy"), F.when(letters, right.cast("long")).alias("mcq_n_correct"),
+        F.when(letters, n - right.cast("long")).alias("mcq_n_wrong"),
+    )

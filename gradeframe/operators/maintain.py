@@ -3,6 +3,10 @@
 Each function returns the new state of a table; the caller writes it. Changed
 keys come in as a batch that is small next to the table, so the joins against it
 are anti or left joins on the key that Spark broadcasts when they fit.
+
+A batch may hold several rows for one key. ``arrived`` names the column that orders
+them; the last one wins, as if the rows had been applied one by one. Without it the
+batch must be unique per key.
 """
 
 from __future__ import annotations
@@ -27,15 +31,29 @@ def keep_missing(table: DataFrame, removed: DataFrame, keys: Sequence[str]) -> D
     return table.join(removed.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def final_rows(batch: DataFrame, keys: Sequence[str], arrived: str | None) -> DataFrame:
+    """One row per key of a batch: the last to arrive, without the order column."""
+    return batch if arrived is None else last_per_key(batch, keys, F.col(arrived)).drop(arrived)
+
+
 def upsert_papers(
     papers: DataFrame, parts: DataFrame, questions: DataFrame,
     new_papers: DataFrame, new_parts: DataFrame, new_questions: DataFrame,
+    arrived: str | None = None,
 ) -> dict[str, DataFrame]:
     """Replace papers by slug together with their parts and questions.
 
     Headers of known slugs are overwritten, their children are dropped and
-    inserted anew. ``status`` lists each incoming slug as created or updated.
+    inserted anew. ``status`` lists each incoming slug as created or updated. With
+    ``arrived``, which then orders all three batches, a slug that comes twice keeps
+    its last header and the children that came with it.
     """
+    if arrived is not None:
+        last = new_papers.groupBy("paper_id").agg(F.max(arrived).alias(arrived))
+        new_parts, new_questions = (
+            children.join(last, ["paper_id", arrived], "left_semi").drop(arrived) for children in (new_parts, new_questions)
+        )
+        new_papers = final_rows(new_papers, ["paper_id"], arrived)
     known = papers.select("paper_id").distinct().withColumn("_known", F.lit(True))
     status = new_papers.join(known, "paper_id", "left").select(
         "paper_id", F.when(F.col("_known"), "updated").otherwise("created").alias("status")
@@ -49,12 +67,13 @@ def upsert_papers(
     }
 
 
-def link_answer_key(questions: DataFrame, keys: DataFrame) -> DataFrame:
+def link_answer_key(questions: DataFrame, keys: DataFrame, arrived: str | None = None) -> DataFrame:
     """Set the key text on all questions of a paper with that number, both alternatives.
 
-    ``keys`` holds (paper_id, question_number, answer_text), one row per number.
+    ``keys`` holds (paper_id, question_number, answer_text).
     Adds ``key_linked`` to tell touched rows apart.
     """
+    keys = final_rows(keys, ["paper_id", "question_number"], arrived)
     new = keys.select("paper_id", "question_number", F.col("answer_text").alias("_new"))
     return (
         questions.join(new, ["paper_id", "question_number"], "left")
@@ -79,15 +98,19 @@ def key_link_counts(linked_questions: DataFrame, keys: DataFrame) -> DataFrame:
 
 def patch_rows(
     table: DataFrame, patches: DataFrame, keys: Sequence[str], order: str,
-    always: Mapping[str, Column] | None = None,
+    always: Mapping[str, Column] | None = None, arrived: str | None = None,
 ) -> DataFrame:
     """Overwrite non-null patch fields on the first row of each key.
 
     ``order`` decides which row is first. ``always`` sets further columns on the
-    patched row, such as resetting a flag.
+    patched row, such as resetting a flag. Of several patches for one key the last
+    value of each field wins.
     """
     keys = list(keys)
-    fields = [c for c in patches.columns if c not in keys]
+    fields = [c for c in patches.columns if c not in keys and c != arrived]
+    if arrived is not None:
+        latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrived))).alias(c) for c in fields]
+        patches = patches.groupBy(*keys).agg(*latest) if latest else patches.select(*keys).distinct()
     first = table.groupBy(*keys).agg(F.min(order).alias("_first"))
     side = (
         patches.join(first, keys)
@@ -100,14 +123,14 @@ def patch_rows(
     return table.join(side, [*keys, order], "left").withColumns(changes).select(*table.columns)
 
 
-def patch_questions(questions: DataFrame, patches: DataFrame) -> DataFrame:
-    return patch_rows(questions, patches, ["paper_id", "question_number"], "id")
+def patch_questions(questions: DataFrame, patches: DataFrame, arrived: str | None = None) -> DataFrame:
+    return patch_rows(questions, patches, ["paper_id", "question_number"], "id", arrived=arrived)
 
 
-def patch_answers(answers: DataFrame, patches: DataFrame) -> DataFrame:
+def patch_answers(answers: DataFrame, patches: DataFrame, arrived: str | None = None) -> DataFrame:
     """Correct an answer's text; the answer becomes pending again."""
     return patch_rows(
-        answers, patches, ["booklet_id", "question_number"], "id", {"evaluated": F.lit(False)}
+        answers, patches, ["booklet_id", "question_number"], "id", {"evaluated": F.lit(False)}, arrived
     )
 
 
@@ -143,9 +166,9 @@ def replace_rubrics(
     )
 
 
-def replace_results(results: DataFrame, batch: DataFrame) -> DataFrame:
+def replace_results(results: DataFrame, batch: DataFrame, arrived: str | None = None) -> DataFrame:
     """One result per submission: the batch replaces what is stored."""
-    return replace_by_key(results, batch, ["submission_id"])
+    return replace_by_key(results, final_rows(batch, ["submission_id"], arrived), ["submission_id"])
 
 
 def newest_results(history: DataFrame, version: str) -> DataFrame:

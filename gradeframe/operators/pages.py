@@ -24,8 +24,9 @@ def choose_page_result(results: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     The first authoritative engine with more than ten characters wins. Otherwise
     the best-scoring local result; the last-resort engine joins only when no other
-    local result exists or all of them are below 0.4 confidence. One aggregation
-    with partial merging, no window.
+    local result exists or all of them are below 0.4 confidence. Several results of
+    one engine go by score, confidence and text, so row order never decides. One
+    aggregation with partial merging, no window.
     """
     keys = list(keys)
     row = F.struct("engine", "text", "confidence", "_score")
@@ -33,14 +34,14 @@ def choose_page_result(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     trusted = F.col("_authority") > 0
     last = F.col("engine") == fv.LAST_RESORT_ENGINE
     local = (F.col("_local") > 0) & ~last & long_enough
-    best = F.struct("_score", -F.col("_local"))
+    best = F.struct("_score", -F.col("_local"), "confidence", "text")
     scored = results.withColumns({
         "_authority": _rank(F.col("engine"), fv.AUTHORITATIVE_ENGINES),
         "_local": _rank(F.col("engine"), fv.LOCAL_ENGINES),
         "_score": page_score(F.col("text"), F.col("confidence")),
     })
     picked = scored.groupBy(*keys).agg(
-        F.min_by(row, F.when(trusted & long_enough, F.col("_authority"))).alias("_trusted"),
+        F.max_by(row, F.when(trusted & long_enough, F.struct(-F.col("_authority"), "_score", "confidence", "text"))).alias("_trusted"),
         F.max_by(row, F.when(local, best)).alias("_best"),
         F.max(F.when(local, F.col("confidence"))).alias("_sure"),
         F.max_by(row, F.when(last & ~is_blank(F.col("text")), best)).alias("_last"),

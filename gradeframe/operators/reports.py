@@ -76,9 +76,11 @@ def booklet_totals(graded: DataFrame, key: str = "booklet_id") -> DataFrame:
     )
 
 
-def batch_summary(graded: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Evaluated, failed and total rows."""
+def batch_summary(graded: DataFrame, by: Sequence[str] = (), score: str | None = None) -> DataFrame:
+    """Evaluated, failed and total rows, and the sum of ``score`` if one is named."""
+    sums = [F.sum(score).alias(score)] if score else []
     return graded.groupBy(*by).agg(
+        *sums,
         F.count_if(F.col("status") == "evaluated").alias("evaluated"),
         F.count_if(F.col("status") == "error").alias("errors"),
         F.count(F.lit(1)).alias("total"),

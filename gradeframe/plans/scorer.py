@@ -17,8 +17,8 @@ def apply_scorer(
     """Add ``output`` (double) and ``problem`` (string) to every row.
 
     The scorer gets a pandas batch and returns one value per row. When a batch
-    fails it is retried row by row, so only the failing rows score 0 and carry
-    their reason. ``setup`` runs once per Python task, for loading a model; its
+    fails its halves are tried, and so on, so only the failing rows score 0 and
+    carry their reason, and a few of them cost a few calls each. ``setup`` runs once per Python task, for loading a model; its
     result is passed to the scorer as a second argument.
     """
     schema = StructType(
@@ -31,17 +31,18 @@ def apply_scorer(
             model = setup()
             call = lambda rows: scorer(rows, model)
         for batch in batches:
-            try:
-                scores = pd.Series(call(batch), index=batch.index, dtype="float64")
-                problems = pd.Series(None, index=batch.index, dtype="object")
-            except Exception:
-                scores = pd.Series(0.0, index=batch.index)
-                problems = pd.Series(None, index=batch.index, dtype="object")
-                for label in batch.index:
-                    try:
-                        scores.loc[label] = float(pd.Series(call(batch.loc[[label]])).iloc[0])
-                    except Exception as reason:
-                        problems.loc[label] = str(reason) or type(reason).__name__
+            scores = pd.Series(0.0, index=batch.index)
+            problems = pd.Series(None, index=batch.index, dtype="object")
+            parts = [batch] if len(batch) else []
+            while parts:
+                part = parts.pop()
+                try:
+                    scores.loc[part.index] = pd.Series(call(part), index=part.index, dtype="float64")
+                except Exception as reason:
+                    if len(part) == 1:
+                        problems.loc[part.index] = str(reason) or type(reason).__name__
+                    else:
+                        parts += [part.iloc[: len(part) // 2], part.iloc[len(part) // 2:]]
             yield batch.assign(**{output: scores, "problem": problems})
 
     return df.mapInPandas(run, schema)

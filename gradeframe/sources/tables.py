@@ -4,40 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from gradeframe.session import configure
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Scan one Parquet table of a folder."""
-    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
-
-
-ROW_GROUP_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that is stored in fewer row groups than there are cores.
-
-    A row group is read by one task, so a small single-file table would leave
-    per-row work on one core. Large tables have groups to spare and come back
-    unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * ROW_GROUP_BYTES or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def read_jdbc(
     spark: SparkSession, url: str, table: str, properties: Mapping[str, str] | None = None,
     split_on: str | None = None, lower: int = 0, upper: int = 0, partitions: int = 1,
 ) -> DataFrame:
-    """Scan a database table; give ``split_on`` with bounds to read it in parallel."""
-    reader = configure(spark).read.format("jdbc").option("url", url).option("dbtable", table)
+    """Scan a database table in ``partitions`` ranges of ``split_on``.
+
+    Without ``split_on`` the table is read by one task, which suits small tables only;
+    more than one partition is refused then.
+    """
+    if partitions > 1 and not split_on:
+        raise ValueError("give split_on with its bounds to read in several partitions")
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
     if split_on:
         reader = (
             reader.option("partitionColumn", split_on).option("lowerBound", lower)
@@ -61,13 +48,24 @@ def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Read a headed CSV by column name; columns outside ``schema`` are ignored."""
-    header = spark.read.option("header", True).csv(path)
-    return header.select(
-        *[header[f.name].try_cast(f.dataType).alias(f.name) for f in schema if f.name in header.columns]
+def read_csv(spark: SparkSession, path: str, schema: StructType, problems: str | None = None) -> DataFrame:
+    """Read a headed CSV by column name; columns outside ``schema`` are ignored.
+
+    Quoted cells may hold commas, line ends and doubled quotes. ``problems`` names an
+    array column to add, with the columns whose cells could not be cast (these are null).
+    """
+    header = (
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
+    found = [f for f in schema if f.name in header.columns]
+    cast = [header[f.name].try_cast(f.dataType).alias(f.name) for f in found]
+    if problems:
+        bad = [F.when(header[f.name].isNotNull() & header[f.name].try_cast(f.dataType).isNull(), F.lit(f.name)) for f in found]
+        cast.append(F.array_compact(F.array(*bad)).alias(problems))
+    return header.select(*cast)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Write a headed CSV whose quotes are doubled inside quoted cells, as other readers expect."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
