@@ -17,11 +17,11 @@ RESULT = (
 
 
 def _grade(rows: DataFrame) -> DataFrame:
-    """Grade conversation turns on length and on the letters they name."""
-    kind = F.when(F.col("role") == "user", "open_ended").when(F.col("role") == "system", "mcq").otherwise("short_answer")
+    """Grade conversation turns on length, or on the letters they name."""
     asked = rows.select(
         *KEYS, "version", F.col("text").alias("answer_text"), F.lit("a key of several words").alias("teacher_answer"),
-        kind.alias("question_type"), F.lit(10.0).alias("max_marks"), F.lit("B").alias("correct_option"),
+        F.when(F.col("role") == "system", "mcq").otherwise("diagram").alias("question_type"),
+        F.lit(10.0).alias("max_marks"), F.lit("B").alias("correct_option"),
         (F.length("text") % 11).cast("double").alias("llm_score"),
         (F.col("conv_id") % 10 / 10).alias("similarity_score"),
     )
@@ -31,41 +31,59 @@ def _grade(rows: DataFrame) -> DataFrame:
 
 
 def _run(t: Tables) -> str:
-    """Grade the conversation table as a stream, twice; returns the result folder."""
+    """Grade the conversation table as a stream; later, user turns come again, patched.
+
+    Returns the result folder.
+    """
     from pyspark.sql.types import StructType
 
-    folder = fresh_dir(t.spark, "graded")
+    folder, source = fresh_dir(t.spark, "graded"), fresh_dir(t.spark, "arriving")
     schema = StructType.fromDDL(RESULT)
-    for _ in range(2):
-        stream = inc.stream_table(t.spark, t.folder, "conversations", t.conversations.schema)
-        inc.grade_stream(stream.withColumn("version", F.lit(1).cast("long")), _grade, schema, KEYS, folder)
+    turns = t.conversations.withColumn("version", F.lit(1).cast("long"))
+    patched = turns.filter("role = 'user'").withColumns(
+        {"text": F.concat(F.lit("patched "), F.col("text")), "version": F.lit(2).cast("long")}
+    )
+    for rows in (turns.repartition(3, *KEYS), patched):
+        rows.write.mode("append").parquet(f"{source}/conversations.parquet")
+        stream = inc.stream_table(t.spark, source, "conversations", turns.schema, 2)
+        inc.grade_stream(stream, _grade, schema, KEYS, folder)
     return folder
 
 
+_TURNS = """turns AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 'patched ' || text ELSE text END AS text,
+    CASE role WHEN 'user' THEN 2 ELSE 1 END AS version FROM conversations),
+  scored AS (SELECT *, CASE WHEN trim(text) = '' THEN 0.0 ELSE least(length(text) % 11, 10)::DOUBLE END AS score FROM turns)"""
+
+
 @check(
     "incremental_grading", "I1",
-    """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'open_ended' WHEN 'system' THEN 'mcq' ELSE 'short_answer' END AS question_type, 1 AS batches FROM conversations""",
+    f"""WITH {_TURNS} SELECT conv_id, turn, CASE role WHEN 'system' THEN 'mcq' ELSE 'diagram' END AS question_type, version::BIGINT AS version,
+      version::INT AS batches, CASE WHEN role <> 'system' THEN score END AS final_score FROM scored""",
 )
 def _(t: Tables) -> DataFrame:
-    """Every turn is graded once although the stream is started twice."""
+    """Every turn is graded once for each version; the newest grade counts."""
     from pyspark.sql.types import StructType
 
     folder = _run(t)
     schema = StructType.fromDDL(RESULT)
     counts = inc.read_history(t.spark, folder, schema).groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("batches"))
     return inc.current_results(t.spark, folder, schema, KEYS).join(counts, KEYS).select(
-        *KEYS, "question_type", "batches"
+        *KEYS, "question_type", "version", "batches",
+        F.when(F.col("question_type") == "diagram", F.col("final_score")).alias("final_score"),
     )
 
 
 @check(
     "incremental_snapshot", "I2 A10 D20",
-    """SELECT count(*) AS total_evaluated, count(*) FILTER (role <> 'system') AS n_open FROM conversations""",
+    f"""WITH {_TURNS}, p AS (SELECT score AS a, 10 * coalesce(nullif(conv_id % 10 / 10, 0), 0.5) AS g FROM scored WHERE role <> 'system')
+    SELECT (SELECT count(*) FROM scored) AS total_evaluated, count(*) AS n_open, round(avg(abs(a - g)), 6) AS mae, round(corr(a, g), 6) AS pearson_r FROM p""",
 )
 def _(t: Tables) -> DataFrame:
     stored = inc.stored_snapshot(t.spark, _run(t))
-    return stored.select(
-        "total_evaluated", F.get_json_object("open_ended", "$.n_samples").cast("long").alias("n_open")
+    opened = F.from_json("open_ended", "n_samples long, mae double, pearson_r double")
+    return stored.withColumn("o", opened).select(
+        "total_evaluated", F.col("o.n_samples").alias("n_open"), F.round("o.mae", 6).alias("mae"),
+        F.round("o.pearson_r", 6).alias("pearson_r"),
     )
 
 

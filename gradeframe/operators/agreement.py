@@ -201,43 +201,97 @@ def with_teacher_proxy(results: DataFrame) -> DataFrame:
     )
 
 
-def snapshot(results: DataFrame, max_marks: float = 10.0) -> DataFrame:
-    """The one-row metric snapshot over all stored results, JSON parts null when empty."""
-    open_rows = score_summary(with_teacher_proxy(results), "final_score", "teacher_proxy",
-                              max_marks=max_marks)
-    open_json = open_rows.filter("n_samples >= 2").select(
-        F.to_json(F.struct(
-            "n_samples", "mae", "pearson_r", "cohen_kappa",
-            F.col("accuracy_within_1").alias("accuracy_within_1_mark"),
-            F.col("accuracy_within_0_5").alias("accuracy_within_0_5_mark"),
-            "mean_ai_score", "mean_teacher_score",
-        )).alias("j")
+def snapshot_parts(results: DataFrame, max_marks: float = 10.0) -> DataFrame:
+    """What the snapshot needs, as sums by kind of row and pair of labels.
+
+    Parts of disjoint sets of results may be added, and subtracted with
+    ``negated``, so a snapshot can be kept up to date without the old results.
+    """
+    kinds = results.withColumn("_open", F.coalesce(
+        F.col("question_type").isin(fv.JSON_REPLY_TYPES) & F.col("final_score").isNotNull()
+        & (F.coalesce(F.col("max_marks"), F.lit(0.0)) != 0), F.lit(False)))
+    answered = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    lettered = (F.col("question_type") == "mcq") & answered("mcq_detected_answer") & answered("mcq_correct_answer")
+    similarity = F.coalesce(F.nullif(F.col("similarity_score"), F.lit(0.0)), F.lit(0.5))
+    a, t = F.col("final_score"), F.col("max_marks") * similarity
+    label = lambda c: F.rint(c).try_cast("long")
+    ranged = F.col("_open") & label(a).between(0, int(max_marks)) & label(t).between(0, int(max_marks))
+    gap = F.abs(a - t)
+    hit = F.upper("mcq_detected_answer") == F.upper("mcq_correct_answer")
+    sums = {
+        "gap": gap, "a": a, "t": t, "aa": a * a, "tt": t * t, "at": a * t,
+        "within_1": (gap <= 1.0).cast("double"), "within_05": (gap <= 0.5).cast("double"),
+    }
+    rows = kinds.select(
+        F.when(F.col("_open"), "open").when(lettered, "mcq").otherwise("other").alias("kind"),
+        F.when(ranged, label(a)).alias("label_a"), F.when(ranged, label(t)).alias("label_t"),
+        *[F.when(F.col("_open"), v).otherwise(0.0).alias(n) for n, v in sums.items()],
+        F.when(lettered & hit, 1).otherwise(0).cast("long").alias("right"),
     )
-    lettered = results.filter(
-        (F.col("question_type") == "mcq")
-        & (F.coalesce(F.col("mcq_detected_answer"), F.lit("")) != "")
-        & (F.coalesce(F.col("mcq_correct_answer"), F.lit("")) != "")
+    return rows.groupBy("kind", "label_a", "label_t").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in (*sums, "right")]
     )
-    mcq_json = (
-        option_accuracy(lettered, "mcq_detected_answer", "mcq_correct_answer")
-        .filter("n_samples > 0")
-        .select(F.to_json(F.struct(
-            "n_samples",
-            F.col("mcq_accuracy").alias("accuracy"),
-            F.bround(F.col("mcq_accuracy") * 100, 1).alias("accuracy_pct"),
-            F.col("mcq_n_correct").alias("n_correct"),
-            F.col("mcq_n_wrong").alias("n_wrong"),
-        )).alias("j"))
+
+
+PART_KEYS = ("kind", "label_a", "label_t")
+
+
+def negated(parts: DataFrame) -> DataFrame:
+    return parts.select(*PART_KEYS, *[(-F.col(c)).alias(c) for c in parts.columns if c not in PART_KEYS])
+
+
+def added(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """Parts of both sets together; a few hundred rows at most."""
+    both = parts.unionByName(more)
+    return both.groupBy(*PART_KEYS).agg(*[F.sum(c).alias(c) for c in both.columns if c not in PART_KEYS])
+
+
+def snapshot_of(parts: DataFrame, max_marks: float = 10.0) -> DataFrame:
+    """The one-row metric snapshot of some parts, JSON fields null when empty."""
+    opened, mcq = F.col("kind") == "open", F.col("kind") == "mcq"
+    of = lambda when, c: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    ranged = opened & F.col("label_a").isNotNull()
+    labels = range(int(max_marks) + 1)
+    sums = parts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), of(opened, "n").alias("n"), of(ranged, "n").alias("m"),
+        *[of(opened, c).alias(c) for c in ("gap", "a", "t", "aa", "tt", "at", "within_1", "within_05")],
+        of(mcq, "n").alias("n_mcq"), of(mcq, "right").alias("right"),
+        F.coalesce(F.sum(F.when(ranged, F.col("n") * F.abs(F.col("label_a") - F.col("label_t")))), F.lit(0)).alias("distance"),
+        F.array(*[of(ranged & (F.col("label_a") <= k), "n") for k in labels]).alias("upto_a"),
+        F.array(*[of(ranged & (F.col("label_t") <= k), "n") for k in labels]).alias("upto_t"),
     )
-    return results.agg(F.count(F.lit(1)).alias("total_evaluated")).select(
+    n, m = F.col("n"), F.col("m")
+    mean = lambda c: F.try_divide(F.col(c), n)
+    spread = lambda c, cc: mean(cc) - mean(c) * mean(c)
+    # a variance this far below the squares is rounding
+    varied = lambda c, cc: spread(c, cc) > 1e-12 * F.greatest(F.lit(1.0), mean(cc))
+    pearson_r = F.when(varied("a", "aa") & varied("t", "tt"), F.try_divide(
+        mean("at") - mean("a") * mean("t"), F.sqrt(spread("a", "aa")) * F.sqrt(spread("t", "tt")))).otherwise(0.0)
+    share = F.zip_with("upto_a", "upto_t", lambda x, y: (x * (m - y) + y * (m - x)) / (m * m))
+    expected = F.aggregate(share, F.lit(0.0), lambda x, y: x + y)
+    kappa_value = F.when(m == 0, 0.0).otherwise(
+        F.coalesce(1 - F.try_divide(F.col("distance") / m, expected), F.lit(float("nan"))))
+    ten = lambda c, name: F.bround(c, 10).alias(name)
+    accuracy = F.coalesce(F.try_divide("right", "n_mcq"), F.lit(0.0))
+    return sums.select(
         F.lit(1).alias("id"),
-        open_json.scalar().alias("open_ended"),
-        mcq_json.scalar().alias("mcq"),
-        "total_evaluated",
+        F.when(n >= 2, F.to_json(F.struct(
+            n.alias("n_samples"), ten(mean("gap"), "mae"), ten(pearson_r, "pearson_r"), ten(kappa_value, "cohen_kappa"),
+            ten(mean("within_1"), "accuracy_within_1_mark"), ten(mean("within_05"), "accuracy_within_0_5_mark"),
+            ten(mean("a"), "mean_ai_score"), ten(mean("t"), "mean_teacher_score")))).alias("open_ended"),
+        F.when(F.col("n_mcq") > 0, F.to_json(F.struct(
+            F.col("n_mcq").alias("n_samples"), ten(accuracy, "accuracy"), F.bround(accuracy * 100, 1).alias("accuracy_pct"),
+            F.col("right").alias("n_correct"), (F.col("n_mcq") - F.col("right")).alias("n_wrong")))).alias("mcq"),
+        F.col("total").alias("total_evaluated"),
         F.current_timestamp().alias("computed_at"),
     )
 
 
+def snapshot(results: DataFrame, max_marks: float = 10.0) -> DataFrame:
+    """The one-row metric snapshot over all stored results, in one pass over them."""
+    return snapshot_of(snapshot_parts(results, max_marks), max_marks)
+
+
 def adhoc_pairs(requests: DataFrame, ai: str = "ai_scores", teacher: str = "teacher_scores") -> DataFrame:
     """Validate two comma lists per request.
 

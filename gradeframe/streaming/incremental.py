@@ -1,40 +1,50 @@
 """Incremental grading: each run grades only what is new or was changed.
 
-Results live in an append-only history, one folder per micro-batch, so replaying
-a batch overwrites its own folder and nothing else. The current state is the
-newest row per key.
+Results live in an append-only history, one folder per micro-batch and bucket of
+keys, so replaying a batch overwrites its own folders and nothing else. The current
+state is the newest row per key. A batch reads the history of the buckets it touches
+only, and metric snapshots are kept as sums that a batch adds to, so the cost of a
+batch follows its own size and its buckets, not the whole history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from gradeframe.operators.agreement import snapshot
+from gradeframe.operators.agreement import added, negated, snapshot_of, snapshot_parts
 from gradeframe.operators.keyed import last_per_key
 
+BUCKETS = 64
 
-def history_schema(result_schema: StructType) -> StructType:
-    return StructType(list(result_schema.fields)).add("batch_id", LongType())
 
+def bucket_of(keys: Sequence[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-def read_history(spark: SparkSession, folder: str, result_schema: StructType) -> DataFrame:
-    """All graded rows with the batch that wrote them; empty before the first batch."""
-    schema = history_schema(result_schema)
+
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored table, empty before its first batch."""
     try:
-        return spark.read.schema(schema).parquet(f"{folder}/results")
+        return spark.read.schema(schema).parquet(path)
     except Exception as missing:
         if "PATH_NOT_FOUND" in str(missing):
             return spark.createDataFrame([], schema)
         raise
 
 
+def read_history(spark: SparkSession, folder: str, result_schema: StructType) -> DataFrame:
+    """All graded rows with the batch that wrote them and their bucket."""
+    schema = StructType(list(result_schema.fields)).add("batch_id", LongType()).add("bucket", IntegerType())
+    return _stored(spark, f"{folder}/results", schema)
+
+
 def current_results(spark: SparkSession, folder: str, result_schema: StructType,
                     keys: Sequence[str]) -> DataFrame:
     """Newest graded row per key."""
-    return last_per_key(read_history(spark, folder, result_schema), keys, F.col("batch_id"))
+    history = read_history(spark, folder, result_schema)
+    return last_per_key(history, keys, F.col("batch_id")).drop("bucket")
 
 
 def not_yet_graded(batch: DataFrame, history: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
@@ -55,27 +65,35 @@ def grade_stream(
     folder: str,
     version: str = "version",
     metrics: bool = True,
+    buckets: int = BUCKETS,
 ) -> None:
     """Grade everything available on the answer stream, then stop.
 
     ``folder`` must be reachable by every executor; it holds the results, the
     metric snapshots and the stream's checkpoint. ``grade`` must keep the key and
-    version columns and yield the columns of ``result_schema``.
+    version columns and yield the columns of ``result_schema``. ``buckets`` must not
+    change between runs.
     """
     columns = [f.name for f in result_schema]
+    bucket = bucket_of(keys, buckets)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = read_history(spark, folder, result_schema).filter(F.col("batch_id") < batch_id)
-        fresh = not_yet_graded(batch, earlier, keys, version)
-        grade(fresh).select(*columns).write.mode("overwrite").parquet(
-            f"{folder}/results/batch_id={batch_id}"
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]
+        earlier = read_history(spark, folder, result_schema).filter(
+            (F.col("batch_id") < batch_id) & F.col("bucket").isin(touched)
         )
+        fresh = not_yet_graded(batch, earlier, keys, version)
+        graded = grade(fresh).select(*columns).withColumn("bucket", bucket)
+        graded.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/results/batch_id={batch_id}")
         if metrics:
-            state = current_results(spark, folder, result_schema, keys)
-            snapshot(state).write.mode("overwrite").parquet(
-                f"{folder}/snapshots/batch_id={batch_id}"
-            )
+            written = read_history(spark, folder, result_schema).filter(F.col("batch_id") == batch_id)
+            replaced = last_per_key(earlier, keys, F.col("batch_id")).join(written.select(*keys), list(keys), "left_semi")
+            change = added(snapshot_parts(written), negated(snapshot_parts(replaced)))
+            before = _stored(spark, f"{folder}/sums/batch_id={batch_id - 1}", change.schema)
+            added(before, change).coalesce(1).write.mode("overwrite").parquet(f"{folder}/sums/batch_id={batch_id}")
+            state = spark.read.schema(change.schema).parquet(f"{folder}/sums/batch_id={batch_id}")
+            snapshot_of(state).write.mode("overwrite").parquet(f"{folder}/snapshots/batch_id={batch_id}")
 
     query = (
         answers.writeStream.foreachBatch(process)
@@ -98,8 +116,8 @@ def stored_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType,
                  files_per_batch: int | None = None) -> DataFrame:
-    """Stream the Parquet files of one table in a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """Stream one Parquet table of a folder, stored as one file or as a folder of part files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parquet")
