@@ -10,10 +10,13 @@ of a coordinate with a probability equal to their weighted Jaccard similarity. B
 of four coordinates make the keys of the join.
 
 Texts that are equal share one id, a 128-bit hash, and are one node from then on. In
-each bucket members are compared with a hub instead of with each other. Buckets whose
-members are not all in one component are compared again with more hubs, up to all of
-them, so no link that the bands propose is lost to the shortcut, while a large group of
-copies costs one comparison each. Comparisons count shared cells (32-bit fingerprints,
+each bucket members are compared with a hub instead of with each other: the one with
+the largest share of cells that others have too. Buckets whose members are not all in
+one component are compared again with more hubs, up to all of them, so no link that the
+bands propose is lost to the shortcut, while a large group of copies costs one
+comparison each. Cells that no other text of the larger buckets has bound what two texts
+can share; pairs that this bound puts below the similarity are not formed, which spares
+most comparisons within a family of loosely related texts and none that could succeed. Comparisons count shared cells (32-bit fingerprints,
 wrong in about n * n / 2**32 of them), so a link is a similarity of 0.8 or more; see
 ``BANDS`` for how rarely such a pair meets in no band. Groups are the components of
 the links.
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.common import free_name, staged
@@ -172,6 +175,14 @@ def fingerprints(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "id binary, cells array<int>")
 
 
+def shared_cells(ids: DataFrame, cells: DataFrame) -> DataFrame:
+    """(id, n, s): how many cells each text has, and how many of them another of the texts has too."""
+    units = cells.join(ids, "id", "left_semi").select("id", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
+    common = staged(units.groupBy("cell").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("cell"), "common-cells")
+    return units.join(common.withColumn("common", F.lit(1)), "cell", "left").groupBy("id").agg(
+        F.first("n").alias("n"), F.coalesce(F.sum("common"), F.lit(0)).cast("int").alias("s"))
+
+
 def links(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that are as similar as asked for."""
     a = cells.select(F.col("id").alias("a"), F.col("cells").alias("cells_a"))
@@ -208,16 +219,27 @@ def grouped_texts(docs: DataFrame, key: str, text: str, similarity: float) -> tu
     texts = staged(rows.groupBy("id").agg(
         F.min(key).alias("copy_of"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     banded = texts.select("id", "n", F.xxhash64("id").alias("r"), F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("r", "id", "n")).alias("hub"))
-    hubs = staged(hubs.filter("m > 1"), "buckets")
-    members = staged(banded.join(hubs.select("band", "m"), "band"), "members")
-    alike = lambda n, other: F.least(n, other) >= similarity * F.greatest(n, other)
+    buckets = staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
+    members = staged(banded.join(buckets, "band"), "members")
     candidates = members.select("id").distinct()
     cells = fingerprints(docs, text).join(candidates, "id", "left_semi").groupBy("id").agg(F.first("cells").alias("cells"))
     cells = staged(cells, "cells")
-
-    pairs = members.join(hubs.select("band", F.col("hub.id").alias("a"), F.col("hub.n").alias("hub_n")), "band").filter(
-        (F.col("id") != F.col("a")) & alike(F.col("n"), F.col("hub_n"))).select("a", F.col("id").alias("b")).distinct()
+    shared = staged(shared_cells(members.filter("m > 2").select("id").distinct(), cells), "shared-cells")
+    members = members.filter("m = 2").withColumn("s", F.col("n")).unionByName(
+        members.filter("m > 2").drop("n").join(shared, "id").filter(F.col("s") >= similarity * F.col("n")).select(
+            "id", "n", "r", "band", "m", "s"))
+    members = staged(members, "members")
+
+    def alike(n: str, s: str, other_n: str, other_s: str) -> Column:
+        """Whether two texts can be similar enough, by their sizes and shared cells."""
+        most = F.least(s, other_s)
+        return (F.least(n, other_n) >= similarity * F.greatest(n, other_n)) & (
+            most >= similarity * (F.col(n) + F.col(other_n) - most))
+
+    hubs = members.groupBy("band").agg(F.max(F.struct(F.col("s") / F.col("n"), "r", "id", "n", "s")).alias("hub"))
+    hubs = hubs.select("band", F.col("hub.id").alias("a"), F.col("hub.n").alias("hub_n"), F.col("hub.s").alias("hub_s"))
+    pairs = members.join(staged(hubs, "hubs"), "band").filter(
+        (F.col("id") != F.col("a")) & alike("n", "s", "hub_n", "hub_s")).select("a", F.col("id").alias("b")).distinct()
     roots = components(links(pairs, cells, similarity))
     tested, share = 0.0, float(HUB_GROWTH)
     while True:
@@ -230,9 +252,9 @@ def grouped_texts(docs: DataFrame, key: str, text: str, similarity: float) -> tu
             break
         part = F.shiftrightunsigned(F.col("r"), 11) * F.lit(2.0**-53) * F.col("m")
         hub = more.filter((part < share) & (part >= tested)).select(
-            "band", F.col("id").alias("a"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+            "band", F.col("id").alias("a"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("root").alias("hub_root"))
         pairs = more.join(hub, "band").filter(
-            (F.col("root") != F.col("hub_root")) & alike(F.col("n"), F.col("hub_n"))).select(
+            (F.col("root") != F.col("hub_root")) & alike("n", "s", "hub_n", "hub_s")).select(
             F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         found = staged(links(pairs, cells, similarity), "found")
         # join components: their roots are the nodes now
