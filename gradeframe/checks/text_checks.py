@@ -255,7 +255,7 @@ def _(t: Tables) -> DataFrame:
 
 def _vocabulary(t: Tables) -> tuple[DataFrame, DataFrame]:
     counts = spelling.word_counts(t.conversations.select(tx.normalize(F.col("text")).alias("text")), "text")
-    return counts, spelling.vocabulary(counts, 40)
+    return counts, spelling.vocabulary(counts, 2000)
 
 
 @check(
@@ -263,7 +263,7 @@ def _vocabulary(t: Tables) -> tuple[DataFrame, DataFrame]:
     rf"""WITH w AS (SELECT unnest({q.words(q.normalize('text'))}) AS w FROM conversations),
     c AS (SELECT lower(l) AS word, count(*) AS n FROM (SELECT w, regexp_replace(w, '[^a-zA-Z]', '', 'g') AS l FROM w)
       WHERE length(l) > 2 AND NOT regexp_matches(w, '\d') AND l <> upper(l) GROUP BY 1)
-    SELECT word, sum(n)::BIGINT AS n FROM (SELECT * FROM c WHERE n >= 40
+    SELECT word, sum(n)::BIGINT AS n FROM (SELECT * FROM c WHERE n * 2000 >= (SELECT sum(n) FROM c)
       UNION ALL SELECT unnest([{', '.join(q.quoted(w) for w in fv.TECHNICAL_WORDS)}]), 1) GROUP BY 1""",
 )
 def _(t: Tables) -> DataFrame:
@@ -275,7 +275,7 @@ _FIXES = rf"""toks AS (SELECT conv_id, turn, generate_subscripts(k, 1) AS pos, u
     SELECT conv_id, turn, {q.words(q.normalize('text'))} AS k FROM conversations)),
   bare AS (SELECT *, regexp_replace(w, '[^a-zA-Z]', '', 'g') AS l FROM toks),
   cnt AS (SELECT lower(l) AS word, count(*) AS n FROM bare WHERE {_CORRECTABLE} GROUP BY 1),
-  voc AS (SELECT word, sum(n) AS n FROM (SELECT * FROM cnt WHERE n >= 40
+  voc AS (SELECT word, sum(n) AS n FROM (SELECT * FROM cnt WHERE n * 2000 >= (SELECT sum(n) FROM cnt)
     UNION ALL SELECT unnest([{', '.join(q.quoted(w) for w in fv.TECHNICAL_WORDS)}]), 1) GROUP BY 1),
   near AS (SELECT c.word, v.word AS correction, v.n, damerau_levenshtein(c.word, v.word) AS d FROM cnt c JOIN voc v
     ON abs(length(c.word) - length(v.word)) <= 2 WHERE c.word NOT IN (SELECT word FROM voc)),

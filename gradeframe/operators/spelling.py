@@ -1,8 +1,10 @@
 """Nearest-word correction against a vocabulary, without comparing all pairs.
 
-Two words within two edits share a string left after deleting at most two
-letters from each, so candidates come from an equi-join on those strings. The
-work is linear in the number of distinct words.
+Candidates come from equi-joins. Two words within two edits share a string left after
+deleting at most two letters from each; short words are joined on those strings, whose
+number their length bounds. Two edits, swaps included, are at most four plain edits, so
+of five pieces of a word one stays whole and moves by two places at most; long words
+are joined on pieces, so a word gives a fixed number of keys however long it is.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.text import words
-from gradeframe.operators.skew import salted_left_join
 
 
 def letters_of(word: Column) -> Column:
@@ -36,14 +37,18 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
     )
 
 
-def vocabulary(counts: DataFrame, min_count: int) -> DataFrame:
-    """Words seen at least ``min_count`` times, plus the technical terms."""
+def vocabulary(counts: DataFrame, one_in: int) -> DataFrame:
+    """Words that are at least one in ``one_in`` of all counted words, plus the technical terms.
+
+    A share keeps its meaning at every size; counts are compared as integers.
+    """
     extra = counts.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(w) for w in fv.TECHNICAL_WORDS])).alias("word"),
         F.lit(1).cast("long").alias("n"),
     )
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     return (
-        counts.filter(F.col("n") >= min_count)
+        counts.filter(F.col("n") * one_in >= total.scalar())
         .select("word", "n")
         .unionByName(extra)
         .groupBy("word")
@@ -95,17 +100,50 @@ def edit_rank(word: Column, other: Column, distance: Column) -> Column:
     )
 
 
+# Pairs of up to SHORT letters meet on deletions. Longer pairs meet on pieces, which words
+# of LONG letters have: the lengths of a pair differ by two at most, so none is missed.
+SHORT, LONG, PIECES = 17, 16, 5
+
+
+def _piece(word: Column, length: Column, i: int, shift: int) -> Column:
+    """Key for piece ``i`` of a word of ``length`` letters, read ``shift`` places further on in ``word``."""
+    low, high = F.floor(length * i / PIECES), F.floor(length * (i + 1) / PIECES)
+    text = F.when(low + shift >= 0, F.substring(word, (low + shift + 1).cast("int"), (high - low).cast("int")))
+    return F.when(F.length(text) == high - low, F.concat_ws(":", length.cast("string"), F.lit(i), text))
+
+
+def own_pieces(word: Column) -> Column:
+    """The five pieces of a word with its length."""
+    return F.array(*[_piece(word, F.length(word), i, 0) for i in range(PIECES)])
+
+
+def piece_probes(word: Column) -> Column:
+    """What the pieces of a word two edits away can be."""
+    keys = [_piece(word, F.length(word) + longer, i, shift)
+            for longer in range(-2, 3) for i in range(PIECES) for shift in range(-2, 3)]
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
+def candidate_pairs(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(word, correction, n) for all words that can be within two edits, and some more."""
+    word, correction = F.col("word"), F.col("word").alias("correction")
+    short, long_ = F.length(word) <= SHORT, F.length(word) >= LONG
+    found = [
+        unknown.filter(short).select(word, F.explode(deletions(word)).alias("_key")).join(
+            vocab.filter(short).select(correction, "n", F.explode(deletions(word)).alias("_key")), "_key"),
+        unknown.filter(long_).select(word, F.explode(piece_probes(word)).alias("_key")).join(
+            vocab.filter(long_).select(correction, "n", F.explode(own_pieces(word)).alias("_key")), "_key"),
+    ]
+    return found[0].unionByName(found[1]).select("word", "correction", "n").distinct()
+
+
 def corrections(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(word, correction)`` for unknown words that have a neighbour in the vocabulary.
 
     Fewest edits first, then the most frequent word, then alphabetical order.
     """
     unknown = counts.select("word").join(vocab.select("word"), "word", "left_anti")
-    left = unknown.select("word", F.explode(deletions(F.col("word"))).alias("_stem"))
-    right = vocab.select(
-        F.col("word").alias("correction"), "n", F.explode(deletions(F.col("word"))).alias("_stem")
-    )
-    pairs = left.join(right, "_stem").select("word", "correction", "n").distinct()
+    pairs = candidate_pairs(unknown, vocab)
     measured = pairs.withColumn("_d", F.levenshtein("word", "correction", 4)).filter("_d >= 0")
     ranked = measured.withColumn(
         "edits", edit_rank(F.col("word"), F.col("correction"), F.col("_d"))
@@ -120,23 +158,26 @@ def correct_texts(
 ) -> DataFrame:
     """Apply corrections word by word, keeping the initial capital and punctuation.
 
-    Words are split on white space and joined by single blanks. The lookup is
-    salted because a few words make up much of any text.
+    Words are split on white space and joined by single blanks. Only the distinct
+    correctable words of a text meet the corrections; what is found comes back as one
+    map for the text and is applied inside its row.
     """
     keys = list(keys)
-    exploded = texts.select(*keys, F.posexplode_outer(words(F.col(text))).alias("_pos", "_w"))
-    bare = letters_of(F.col("_w"))
-    looked_up = exploded.withColumn(
-        "word", F.when(is_correctable(F.col("_w")), F.lower(bare))
-    )
-    joined = salted_left_join(looked_up, fixes, ["word"], [*keys, "_pos"])
-    cased = F.when(bare.rlike("^[A-Z]"), F.initcap("correction")).otherwise(F.col("correction"))
-    fixed = F.when(F.col("correction").isNull(), F.col("_w")).otherwise(
-        F.replace(F.col("_w"), bare, cased)
-    )
-    return (
-        joined.select(*keys, F.struct("_pos", fixed.alias("w")).alias("_piece"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_piece")).alias("_pieces"))
-        .select(*keys, F.array_join(F.transform("_pieces", lambda p: p["w"]), " ").alias(text))
+    every = words(F.coalesce(F.col(text), F.lit("")))
+    plain = lambda w: F.lower(letters_of(w))
+    wanted = F.array_distinct(F.transform(F.filter(every, is_correctable), plain))
+    found = (
+        texts.select(*keys, F.explode(wanted).alias("word")).join(fixes, "word")
+        .groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("_fixes"))
     )
+
+    def fixed(w: Column) -> Column:
+        bare = letters_of(w)
+        new = F.when(is_correctable(w), F.get(F.transform(F.array(plain(w)), lambda k: F.col("_fixes")[k]), F.lit(0)))
+        cased = F.when(bare.rlike("^[A-Z]"), F.initcap(new)).otherwise(new)
+        return F.when(new.isNull(), w).otherwise(F.replace(w, bare, cased))
+
+    joined = texts.select(*keys, text).join(found, keys, "left")
+    # a text without fixes keeps its words
+    return joined.select(*keys, F.when(F.col("_fixes").isNull(), F.array_join(every, " ")).otherwise(
+        F.array_join(F.transform(every, fixed), " ")).alias(text))
