@@ -202,14 +202,14 @@ def _(t: Tables) -> DataFrame:
         CASE l_partkey % 3 WHEN 0 THEN 'mcq' WHEN 1 THEN 'true_false' ELSE 'numerical' END AS kind,
         CASE l_partkey % 3 WHEN 0 THEN CASE WHEN l_tax = 0 THEN '' ELSE substr('ABCDE', (l_partkey % 5 + 1)::INT, 1) END
           WHEN 1 THEN CASE WHEN l_linestatus = 'O' THEN 'True' ELSE 'false' END
-          ELSE l_extendedprice::BIGINT::VARCHAR END AS k,
+          ELSE (l_extendedprice::BIGINT * 1000)::VARCHAR END AS k,
         CASE l_partkey % 3 WHEN 0 THEN CASE WHEN l_returnflag = 'N' THEN '42' ELSE 'Ans: ' || substr('abcde', (l_suppkey % 5 + 1)::INT, 1) END
           WHEN 1 THEN CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'N' THEN 'no way' ELSE 'maybe' END
-          ELSE CASE WHEN l_returnflag = 'R' THEN 'none' ELSE 'R = ' || (l_extendedprice::BIGINT + l_suppkey) END END AS answer
+          ELSE CASE WHEN l_returnflag = 'R' THEN 'none' ELSE 'R = ' || (l_extendedprice::BIGINT * 1000 + l_suppkey) || '.25' END END AS answer
       FROM lineitem), d AS (SELECT *,
         CASE WHEN kind = 'mcq' AND k <> '' THEN upper(nullif(regexp_extract(answer, 'Ans: ([a-e])', 1), ''))
           WHEN kind = 'true_false' THEN CASE answer WHEN 'yes' THEN 'TRUE' WHEN 'no way' THEN 'FALSE' END
-          WHEN kind = 'numerical' AND answer <> 'none' THEN regexp_extract(answer, '\\d+') END AS detected
+          WHEN kind = 'numerical' AND answer <> 'none' THEN regexp_extract(answer, '\\d+\\.\\d+') END AS detected
       FROM a), g AS (SELECT *, CASE WHEN kind = 'mcq' AND k = '' THEN NULL
           WHEN kind IN ('mcq', 'true_false') THEN coalesce(detected = upper(k), false)
           WHEN detected IS NOT NULL THEN abs(detected::DOUBLE - k::DOUBLE) <= abs(k::DOUBLE * 0.01)
@@ -221,6 +221,8 @@ def _(t: Tables) -> DataFrame:
         WHEN kind = 'mcq' AND ok THEN '✅ Correct! You selected option ' || detected || '.'
         WHEN kind = 'true_false' AND ok THEN '✅ Correct! The answer is ' || upper(k) || '.'
         WHEN kind <> 'numerical' THEN '❌ Incorrect. Detected ''' || coalesce(detected, 'unclear') || ''', correct answer is ''' || upper(k) || '''.'
+        WHEN ok THEN '✅ Correct numerical answer: ' || detected::DOUBLE || ' (expected ' || k::DOUBLE || ').'
+        WHEN detected IS NOT NULL THEN '❌ Numerical answer ' || detected::DOUBLE || ' outside tolerance. Expected ' || k::DOUBLE || '.'
       END AS feedback FROM g""",
 )
 def _(t: Tables) -> DataFrame:
@@ -231,7 +233,7 @@ def _(t: Tables) -> DataFrame:
     key = (
         F.when(part % 3 == 0, F.when(F.col("l_tax") == 0, "").otherwise(letter("ABCDE", "l_partkey")))
         .when(part % 3 == 1, F.when(F.col("l_linestatus") == "O", "True").otherwise("false"))
-        .otherwise(price.cast("string"))
+        .otherwise((price * 1000).cast("string"))
     )
     answer = (
         F.when(
@@ -241,7 +243,7 @@ def _(t: Tables) -> DataFrame:
         .when(part % 3 == 1, F.when(flag == "A", "yes").when(flag == "N", "no way").otherwise("maybe"))
         .otherwise(
             F.when(flag == "R", "none").otherwise(
-                F.concat(F.lit("R = "), (price + F.col("l_suppkey")).cast("string"))
+                F.concat(F.lit("R = "), (price * 1000 + F.col("l_suppkey")).cast("string"), F.lit(".25"))
             )
         )
     )
@@ -252,7 +254,7 @@ def _(t: Tables) -> DataFrame:
     graded = objective_grades(rows, "kind", "answer", "k", "marks")
     return graded.select(
         *keys, "kind", "is_correct", "handled", F.col("objective_score").alias("score"),
-        F.when(F.col("kind") != "numerical", F.col("feedback")).alias("feedback"),
+        "feedback",
     )
 
 

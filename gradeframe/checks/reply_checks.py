@@ -50,7 +50,7 @@ def _(t: Tables) -> DataFrame:
 @check(
     "repaired_answer_lists", "H31",
     """WITH p AS (SELECT conv_id, turn, role, replace(text, chr(10), ' | ') AS txt FROM conversations)
-    SELECT conv_id, turn, (turn + 1)::INT AS question_number, CASE role WHEN 'user' THEN txt || chr(10) || 'C:\\y' WHEN 'assistant' THEN txt || ' "q" ' ELSE txt END AS answer_text,
+    SELECT conv_id, turn, (turn + 1)::BIGINT AS question_number, CASE role WHEN 'user' THEN txt || chr(10) || 'C:\\y' WHEN 'assistant' THEN txt || ' "q" ' ELSE txt END AS answer_text,
       CASE role WHEN 'assistant' THEN CASE WHEN turn + 1 >= 8 THEN 'Part-B' ELSE 'Part-A' END ELSE 'Part-A' END AS part_name FROM p
     UNION ALL SELECT conv_id, turn, 9, '', 'Part-B' FROM p WHERE role NOT IN ('user', 'assistant')""",
 )
@@ -79,8 +79,8 @@ def _(t: Tables) -> DataFrame:
 @check(
     "answer_maps", "H32",
     """WITH p AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS txt FROM conversations)
-    SELECT conv_id, turn, (turn + 1)::INT AS question_number, txt AS answer_text FROM p
-    UNION ALL SELECT conv_id, turn, 90, 'second' FROM p WHERE role <> 'user'""",
+    SELECT conv_id, turn, (turn + 1)::BIGINT AS question_number, txt AS answer_text FROM p
+    UNION ALL SELECT conv_id, turn, 90123456789, 'second' FROM p WHERE role <> 'user'""",
 )
 def _(t: Tables) -> DataFrame:
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
@@ -89,7 +89,7 @@ def _(t: Tables) -> DataFrame:
         F.lit('```json\n{"answers": [{"question_number": '), number, F.lit(', "answer_text": " '), text,
         F.lit('\n"}, {"question_number": "x", "answer_text": "no"}, {"question_number": 5, "answer_text": " "}]}\n```'),
     )
-    direct = F.concat(F.lit('{"'), number, F.lit('": "'), text, F.lit('", "90": "second", "note": "skip"}'))
+    direct = F.concat(F.lit('{"'), number, F.lit('": "'), text, F.lit('", "90123456789": "second", "note": "skip"}'))
     raw = F.when(F.col("role") == "user", listed).otherwise(direct)
     return t.conversations.select("conv_id", "turn", F.explode(F.map_entries(rp.answer_map(raw))).alias("e")).select(
         "conv_id", "turn", F.col("e.key").alias("question_number"), F.col("e.value").alias("answer_text")
@@ -228,14 +228,15 @@ _RESULTS = f"""res AS (SELECT event_id % 5000 AS page, event_id, CASE (user_id *
     "chosen_page_results", "F1",
     f"""WITH {_RESULTS}, c AS (SELECT *, n * 0.7 + confidence * 0.3 AS score, length(trim(text)) > 10 AS ok,
         CASE engine WHEN 'google' THEN 1 WHEN 'mistral' THEN 2 WHEN 'azure' THEN 3 END AS auth FROM res),
-    b AS (SELECT page, arg_min({{'e': engine, 's': score}}, auth) FILTER (ok AND auth IS NOT NULL) AS a,
-        arg_max({{'e': engine, 's': score}}, score + CASE engine WHEN 'paddle' THEN 1e-9 ELSE 0 END) FILTER (ok AND engine IN ('paddle', 'tesseract')) AS l,
+    b AS (SELECT page, arg_max({{'e': engine, 's': score, 't': text, 'c': confidence}}, (-auth, score, confidence, text)) FILTER (ok AND auth IS NOT NULL) AS a,
+        arg_max({{'e': engine, 's': score, 't': text, 'c': confidence}}, (score, CASE engine WHEN 'paddle' THEN 1 ELSE 0 END, confidence, text)) FILTER (ok AND engine IN ('paddle', 'tesseract')) AS l,
         max(confidence) FILTER (ok AND engine IN ('paddle', 'tesseract')) AS conf,
-        arg_max({{'e': engine, 's': score}}, score) FILTER (n > 0 AND engine = 'trocr') AS t FROM c GROUP BY page)
-    SELECT page, coalesce(a.e, CASE WHEN l IS NULL OR (conf < 0.4 AND t.s > l.s) THEN coalesce(t.e, l.e) ELSE l.e END, 'none') AS engine FROM b""",
+        arg_max({{'e': engine, 's': score, 't': text, 'c': confidence}}, (score, confidence, text)) FILTER (n > 0 AND engine = 'trocr') AS t FROM c GROUP BY page)
+    SELECT page, coalesce(w.e, 'none') AS engine, coalesce(w.t, '') AS text, coalesce(w.c, 0.0) AS confidence
+    FROM (SELECT page, coalesce(a, CASE WHEN l IS NULL OR (conf < 0.4 AND t.s > l.s) THEN coalesce(t, l) ELSE l END) AS w FROM b)""",
 )
 def _(t: Tables) -> DataFrame:
-    return pg.choose_page_result(_results(t), ["page"]).select("page", "engine")
+    return pg.choose_page_result(_results(t), ["page"])
 
 
 @check(
@@ -312,7 +313,18 @@ def _(t: Tables) -> DataFrame:
     return kept.select("id", "area_ratio", rg.heuristic_confidence(F.col("area_ratio")).alias("heuristic_confidence"))
 
 
-@check("regions_without_overlaps", "H43")
+_AREA = "({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1)"
+_SHARED = "greatest(0, least(k.x2, b[1].x2) - greatest(k.x1, b[1].x1)) * greatest(0, least(k.y2, b[1].y2) - greatest(k.y1, b[1].y1))"
+
+
+@check(
+    "regions_without_overlaps", "H43",
+    f"""WITH {_BOXES}, d AS (SELECT DISTINCT page_id, x1, y1, x2, y2 FROM boxes),
+    o AS (SELECT page_id, list([{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY (x2 - x1) * (y2 - y1) DESC, x1, y1, x2, y2) AS bs FROM d GROUP BY 1),
+    f AS (SELECT page_id, unnest(list_reduce(bs, lambda kept, b: CASE WHEN len(list_filter(kept, lambda k:
+        {_SHARED} / ({_AREA.format("k")} + {_AREA.format("b[1]")} - {_SHARED} + 1e-6) >= {fv.OVERLAP_THRESHOLD})) > 0 THEN kept ELSE list_concat(kept, b) END)) AS k FROM o)
+    SELECT page_id, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM f""",
+)
 def _(t: Tables) -> DataFrame:
     return ro.suppress_overlaps(_boxes(t), ["page_id"])
 

@@ -164,8 +164,8 @@ def _complete(text: Column) -> Column:
 
 
 def _whole_number(text: Column) -> Column:
-    """Integer from text, null for anything else, without a failing cast."""
-    return let(F.trim(text), lambda x: F.when(x.rlike(r"^[+-]?\d{1,9}$"), x.cast("int")))
+    """Integer from text, null for anything else or beyond 64 bits, without a failing cast."""
+    return let(F.trim(text), lambda x: F.when(x.rlike(r"^[+-]?\d+$"), x.try_cast("long")))
 
 
 def answer_list(raw: Column) -> Column:

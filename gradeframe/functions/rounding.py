@@ -41,3 +41,20 @@ def percent(part: Column, whole: Column) -> Column:
 def clamp(value: Column, low, high) -> Column:
     """Limit ``value`` to ``[low, high]``; null stays null."""
     return F.when(value.isNotNull(), F.least(high, F.greatest(low, value)))
+
+
+def float_text(x: Column) -> Column:
+    """A double in the shortest digits that read back as it, an exponent only below 1e-4 or from 1e16 on."""
+    size = F.abs(x)
+    digits = F.regexp_replace(F.when(size < 1e16, x).cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    java = F.split(x.cast("string"), "E")
+    power = F.get(java, F.lit(1))
+    sign = F.when(power.startswith("-"), "-").otherwise("+")
+    places = F.replace(power, F.lit("-"), F.lit(""))
+    padded = F.when(F.length(places) < 2, F.lpad(places, 2, "0")).otherwise(places)
+    exponent = F.concat(F.regexp_replace(F.get(java, F.lit(0)), r"\.0$", ""), F.lit("e"), sign, padded)
+    return (
+        F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .when((size >= 1e-4) & (size < 1e16), plain).when(size == 0, x.cast("string")).otherwise(exponent)
+    )

@@ -10,19 +10,24 @@ from gradeframe import fixed_values as fv
 from gradeframe.functions.text import words
 
 
+FIRST_POINT, SURROGATES, LAST_POINT = 0x3400, 0x800, 0x10FFFF
+MOST_WORDS = LAST_POINT - FIRST_POINT - SURROGATES
+
+
 def with_word_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """Add ``word_edits`` and ``reference_words``: word-level distance and length.
 
     Every distinct word of the pair is written as one Unicode character, so the
-    built-in character distance counts words. Code points skip the surrogate
-    range and leave room for more than a million distinct words per pair.
+    built-in character distance counts words. Code points skip the surrogate range.
+    A pair of more than ``MOST_WORDS`` different words has no code point for each, and
+    its ``word_edits`` is null rather than too small.
     """
     carried = pairs.columns
 
     def symbols(tokens: str) -> Column:
         def symbol(token: Column) -> Column:
-            place = F.array_position(F.col("_known"), token) + 0x3400
-            point = F.when(place < 0xD800, place).otherwise(place + 0x800)
+            place = F.array_position(F.col("_known"), token) + FIRST_POINT
+            point = F.when(place < 0xD800, place).otherwise(place + SURROGATES)
             return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
         return F.array_join(F.transform(tokens, symbol), "")
@@ -32,8 +37,9 @@ def with_word_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFr
     )
     return (
         split.select("*", F.array_distinct(F.concat("_r", "_h")).alias("_known"))
-        .select(*carried, F.size("_r").alias("reference_words"), symbols("_r").alias("_rs"),
-                symbols("_h").alias("_hs"))
+        .withColumn("_fit", F.size("_known") <= MOST_WORDS)
+        .select(*carried, F.size("_r").alias("reference_words"), F.when(F.col("_fit"), symbols("_r")).alias("_rs"),
+                F.when(F.col("_fit"), symbols("_h")).alias("_hs"))
         .select(*carried, "reference_words", F.levenshtein("_rs", "_hs").alias("word_edits"))
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions import extract, scoring
-from gradeframe.functions.rounding import clamp, exact_round
+from gradeframe.functions.rounding import clamp, exact_round, float_text
 from gradeframe.functions.text import (
     is_blank, keyword_coverage, keywords, length_norm, normalize, strip, word_count,
 )
@@ -90,9 +90,9 @@ def objective_grades(
         "handled": F.coalesce(coded | (is_num & comparable), F.lit(False)),
         "detected_answer": F.when(
             coded, F.when(F.col("_wanted").isNotNull(), F.col("_read"))
-        ).when(comparable, F.col("_number").cast("string")),
+        ).when(comparable, float_text(F.col("_number"))),
         "expected_answer": F.when(coded, F.col("_wanted")).when(
-            comparable, F.col("_target").cast("string")
+            comparable, float_text(F.col("_target"))
         ),
         "is_correct": F.when(
             coded,
