@@ -68,4 +68,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, problems: str |
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a headed CSV whose quotes are doubled inside quoted cells, as other readers expect."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    (
+        df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )

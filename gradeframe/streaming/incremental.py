@@ -120,4 +120,5 @@ def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{folder}/{name}.parquet")
+    # a pattern that only this name fits: Spark takes a file there as well as a folder
+    return reader.parquet(f"{folder}/{name}.parque[t]")

@@ -207,3 +207,34 @@ def test_correct_texts_keeps_case_and_marks(spark):
     fixes = spark.createDataFrame([("algoritm", "algorithm")], "word string, correction string")
     got = {r.k: r.text for r in spelling.correct_texts(texts, ["k"], "text", fixes).collect()}
     assert got == {1: "The Algorithm, works NASA x1y fine.", 2: ""}
+
+
+def test_long_words_meet_on_pieces(spark):
+    """Two edits anywhere in a long word, swaps included, leave one of its pieces whole."""
+    rng = random.Random(11)
+    pairs = []
+    for i in range(60):
+        word = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(14, 40) if i else 5000))
+        other = list(word)
+        for _ in range(2):
+            at = rng.randrange(len(other) - 1)
+            kind = rng.randrange(4)
+            if kind == 0:
+                del other[at]
+            elif kind == 1:
+                other.insert(at, "z")
+            elif kind == 2:
+                other[at] = "y"
+            else:
+                other[at], other[at + 1] = other[at + 1], other[at]
+        pairs.append((word, "".join(other)))
+    unknown = spark.createDataFrame([(o,) for _, o in pairs], "word string").distinct()
+    vocab = spark.createDataFrame([(w, 1) for w, _ in pairs], "word string, n long")
+    found = {(r.correction, r.word) for r in spelling.candidate_pairs(unknown, vocab).collect()}
+    assert set(pairs) <= found
+
+
+def test_float_text(spark):
+    values = [1.0, -0.5, 12000000.0, 0.0, 123456789.125, 1e15, 1e16, 1.5e-5, 0.0001, 1e22, 3.3333333333333335]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in rows.select(rounding.float_text(F.col("x"))).collect()] == [repr(v) for v in values]

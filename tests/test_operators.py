@@ -1,19 +1,24 @@
 """Table operators on small fixtures with hand-computed results."""
 
+import csv
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gradeframe.operators import agreement as ag, error_rates as er, link, maintain as mt, pages as pg
 from gradeframe.operators import papers as pp, regions as ro, reports, rubric, segment as sg
 from gradeframe.operators.skew import optional_lookup, salted_left_join
+from gradeframe.plans.scorer import apply_scorer
 from gradeframe.schemas import DEFAULTS, TABLES, schema_of
 from gradeframe.sources import labels as lb, tables as tb
 from gradeframe.sources.score_sheets import read_score_sheet, scored_sheet
+from gradeframe.streaming import incremental as inc
 
-TEACHER = [8, 7, 9, 6, 5, 10, 4, 7, 8, 6]
-AI = [7.5, 6.8, 8.7, 6.2, 5.1, 9.8, 4.3, 7.2, 7.9, 6.0]
+TEACHER = [2, 4, 6, 8]
+AI = [2.5, 4, 5, 8.5]
 
 
 def scores(spark, ai, teacher):
@@ -22,10 +27,18 @@ def scores(spark, ai, teacher):
 
 def test_score_list_metrics(spark):
     got = ag.score_summary(scores(spark, AI, TEACHER), "a", "t").first()
-    assert got.n_samples == 10 and got.mae == 0.21 and round(got.pearson_r, 6) == 0.994558
-    assert (got.accuracy_within_1, got.accuracy_within_0_5, got.cohen_kappa) == (1.0, 1.0, 1.0)
+    # deviations (-2.5, -1, 0, 3.5) and (-3, -1, 1, 3); labels (2, 4, 5, 8) and (2, 4, 6, 8)
+    assert got.n_samples == 4 and got.mae == 0.5 and round(got.pearson_r, 6) == round(19 / (20 * 19.5) ** 0.5, 6)
+    assert (got.accuracy_within_1, got.accuracy_within_0_5, got.cohen_kappa) == (1.0, 0.75, 0.9)
     sheet = scores(spark, AI, TEACHER).toDF("ai_score", "teacher_score")
-    assert ag.score_sheet_report(sheet).first().cohen_kappa == 0.4565
+    assert ag.score_sheet_report(sheet).first().cohen_kappa == 0.2
+
+
+def test_scores_that_are_no_numbers_stop_nothing(spark):
+    pairs = scores(spark, [7, 8, float("nan")], [7, 7, 5])
+    assert ag.weighted_kappa(pairs, "a", "t").first()[0] == ag.weighted_kappa(pairs.limit(2), "a", "t").first()[0]
+    sheet = pairs.toDF("ai_score", "teacher_score")
+    assert ag.score_sheet_report(sheet).first().n == 3
 
 
 def test_weighted_kappa_drops_labels_out_of_range(spark):
@@ -296,8 +309,100 @@ def test_upload_manifest(spark, tmp_path):
 
 
 def test_table_and_csv_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (2, 'q"uote,')], "k int, v string")
+    rows = spark.createDataFrame([(1, "a"), (2, 'q"uote,'), (3, 'two\nlines, "x"'), (4, " b ")], "k int, v string")
     tb.save_table(rows, str(tmp_path / "t.parquet"))
     assert sorted(tb.open_table(spark, str(tmp_path), "t").collect()) == sorted(rows.collect())
-    tb.write_csv(rows, str(tmp_path / "csv"))
+    tb.write_csv(rows.coalesce(1), str(tmp_path / "csv"))
     assert sorted(tb.read_csv(spark, str(tmp_path / "csv"), rows.schema).collect()) == sorted(rows.collect())
+    with open(next((tmp_path / "csv").glob("part-*.csv")), newline="") as file:
+        assert sorted((int(r["k"]), r["v"]) for r in csv.DictReader(file)) == sorted(map(tuple, rows.collect()))
+
+
+def test_csv_of_another_writer(spark, tmp_path):
+    cells = ['plain', 'a "quoted" word', 'first line\nsecond, line', '']
+    with open(tmp_path / "sheet.csv", "w", newline="") as file:
+        writer = csv.writer(file)
+        writer.writerow(["student_id", "teacher_score", "student_answer"])
+        writer.writerows([f"s{i}", "8" if i else "eight", c] for i, c in enumerate(cells))
+    schema = StructType.fromDDL("student_id string, teacher_score double, student_answer string")
+    got = tb.read_csv(spark, str(tmp_path / "sheet.csv"), schema, "problems").orderBy("student_id").collect()
+    assert [r.student_answer or "" for r in got] == cells
+    assert [(r.teacher_score, r.problems) for r in got] == [(None, ["teacher_score"])] + [(8.0, [])] * 3
+
+
+def test_jdbc_reader_refuses_partitions_without_a_column(spark):
+    with pytest.raises(ValueError):
+        tb.read_jdbc(spark, "jdbc:none", "t", partitions=4)
+
+
+# --- one row per key within a batch ----------------------------------------------
+
+
+def test_last_row_of_a_batch_wins(spark):
+    batch = spark.createDataFrame([(1, 5.0, 1), (1, 7.0, 2), (2, 3.0, 1)], "submission_id int, final_score double, arrived int")
+    stored = spark.createDataFrame([(1, 0.0), (3, 9.0)], "submission_id int, final_score double")
+    assert sorted(map(tuple, mt.replace_results(stored, batch, "arrived").collect())) == [(1, 7.0), (2, 3.0), (3, 9.0)]
+    table = spark.createDataFrame([(1, 1, 10, "old", "A"), (1, 1, 11, "old", "A")], "paper_id int, question_number int, id int, teacher_answer string, correct_option string")
+    patches = spark.createDataFrame([(1, 1, "x", "B", 1), (1, 1, "y", None, 2)], "paper_id int, question_number int, teacher_answer string, correct_option string, arrived int")
+    assert sorted(map(tuple, mt.patch_questions(table, patches, "arrived").collect())) == [(1, 1, 10, "y", "B"), (1, 1, 11, "old", "A")]
+    keys = spark.createDataFrame([(1, 1, "x", 1), (1, 1, "y", 2)], "paper_id int, question_number int, answer_text string, arrived int")
+    linked = mt.link_answer_key(table, keys, "arrived").collect()
+    assert len(linked) == 2 and {r.teacher_answer for r in linked} == {"y"}
+    papers = spark.createDataFrame([("p", "a", 1), ("p", "b", 2), ("q", "c", 1)], "paper_id string, name string, arrived int")
+    children = spark.createDataFrame([("p", 1, 1), ("p", 2, 2), ("q", 3, 1)], "paper_id string, id int, arrived int")
+    state = mt.upsert_papers(papers.limit(0).drop("arrived"), children.limit(0).drop("arrived"), children.limit(0).drop("arrived"),
+                             papers, children, children, "arrived")
+    assert sorted(map(tuple, state["papers"].collect())) == [("p", "b"), ("q", "c")]
+    assert sorted(map(tuple, state["questions"].collect())) == [("p", 2), ("q", 3)]
+
+
+def test_page_choice_does_not_depend_on_row_order(spark):
+    rows = [(1, "google", "a long enough text", 0.5), (1, "google", "another long text b", 0.5), (1, "paddle", "words and words", 0.9)]
+    schema = "page int, engine string, text string, confidence double"
+    both = [pg.choose_page_result(spark.createDataFrame(r, schema).coalesce(1), ["page"]).first() for r in (rows, rows[::-1])]
+    assert both[0] == both[1] and both[0].engine == "google"
+
+
+def test_failing_rows_are_found_by_halving(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(batch):
+        calls.add(1)
+        if (batch["id"] == 700).any():
+            raise ValueError("bad row")
+        return batch["id"] * 1.0
+
+    scored = apply_scorer(spark.range(0, 1000, 1, 1), scorer, "score").collect()
+    assert [(r.id, r.score, r.problem) for r in scored if r.problem] == [(700, 0.0, "bad row")]
+    assert sum(r.score for r in scored) == sum(range(1000)) - 700 and calls.value < 40
+
+
+# --- streams of tables ------------------------------------------------------------
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_reads_a_table_in_a_folder_or_a_file(spark, tmp_path, parts):
+    rows = spark.range(50).selectExpr("id", "id % 5 AS version", "'a' AS text")
+    rows.repartition(parts).write.parquet(str(tmp_path / "t.parquet"))
+    if parts == 1:
+        part = next((tmp_path / "t.parquet").glob("part-*.parquet"))
+        part.rename(tmp_path / "file.parquet")
+    rows.limit(1).write.parquet(str(tmp_path / "t2.parquet"))  # a table whose name begins alike
+    stream = inc.stream_table(spark, str(tmp_path), "file" if parts == 1 else "t", rows.schema, 1)
+    out, seen = str(tmp_path / "out"), str(tmp_path / "seen")
+    stream.writeStream.format("parquet").option("checkpointLocation", seen).trigger(availableNow=True).start(out).awaitTermination()
+    assert spark.read.parquet(out).count() == 50
+
+
+def test_snapshot_parts_add_up(spark):
+    schema = ("question_type string, final_score double, max_marks double, similarity_score double, "
+              "mcq_detected_answer string, mcq_correct_answer string")
+    rows = [("open_ended", float(i % 7), 10.0, (i % 10) / 10, None, None) for i in range(40)]
+    rows += [("mcq", 1.0, 1.0, None, "A", "ab"[i % 2]) for i in range(9)]
+    first, second = spark.createDataFrame(rows[:25], schema), spark.createDataFrame(rows[25:], schema)
+    show = lambda df: df.select("open_ended", "mcq", "total_evaluated").first()
+    whole = ag.snapshot(first.unionByName(second))
+    merged = ag.snapshot_of(ag.added(ag.snapshot_parts(first), ag.snapshot_parts(second)))
+    assert show(whole) == show(merged)
+    back = ag.added(ag.snapshot_parts(first.unionByName(second)), ag.negated(ag.snapshot_parts(second)))
+    assert json.loads(show(ag.snapshot_of(back)).open_ended) == pytest.approx(json.loads(show(ag.snapshot(first)).open_ended))
