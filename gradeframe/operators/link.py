@@ -26,38 +26,30 @@ def resolve_questions(answers: DataFrame, questions: DataFrame) -> DataFrame:
 
     A stored ``exam_question_id`` wins; then the question of the answer's paper
     with the same number and alternative flag; then any with the same number.
-    The last two share one join: the questions are first folded to one row per
-    (paper, number) that holds the best candidate for either flag. Among equals
-    the lowest id wins.
+    Among equals the lowest id wins. Only ids are folded and looked up; the
+    question rows, whose ``id`` is unique, are joined once, by the id that was found.
     """
-    row = F.struct(*questions.columns)
-    by_id = first_per_key(questions, ["id"], F.col("paper_id"), F.col("question_number")).select(
-        F.col("id").alias("exam_question_id"), row.alias("_stored")
-    )
-
-    def lowest(only: Column | None) -> Column:
-        rank = F.col("id") if only is None else F.when(only, F.col("id"))
-        return F.min_by(row, rank)
-
+    spread_by = list(answers.columns)
+    known = questions.select(F.col("id").alias("exam_question_id"), F.lit(True).alias("_known"))
     folded = questions.groupBy("paper_id", "question_number").agg(
-        lowest(~F.col("is_or_option")).alias("_plain"),
-        lowest(F.col("is_or_option")).alias("_alternative"),
-        lowest(None).alias("_any"),
+        F.min(F.when(~F.col("is_or_option"), F.col("id"))).alias("_plain"),
+        F.min(F.when(F.col("is_or_option"), F.col("id"))).alias("_alternative"),
+        F.min("id").alias("_any"),
     )
+    stored = F.when(F.col("_known"), F.col("exam_question_id"))
     same_flag = F.when(F.col("is_or_option"), F.col("_alternative")).otherwise(F.col("_plain"))
-    joined = optional_lookup(answers, by_id, "exam_question_id", answers.columns).join(
-        folded, ["paper_id", "question_number"], "left"
-    )
     matched_by = (
-        F.when(F.col("_stored").isNotNull(), "stored_id")
+        F.when(stored.isNotNull(), "stored_id")
         .when(same_flag.isNotNull(), "number_and_flag")
         .when(F.col("_any").isNotNull(), "number")
     )
-    return joined.select(
-        *answers.columns,
-        F.coalesce(F.col("_stored"), same_flag, F.col("_any")).alias("question"),
-        matched_by.alias("matched_by"),
+    found = (
+        optional_lookup(answers, known, "exam_question_id", spread_by)
+        .join(folded, ["paper_id", "question_number"], "left")
+        .select(*answers.columns, F.coalesce(stored, same_flag, F.col("_any")).alias("_found"), matched_by.alias("matched_by"))
     )
+    rows = questions.select(F.col("id").alias("_found"), F.struct(*questions.columns).alias("question"))
+    return optional_lookup(found, rows, "_found", spread_by).select(*answers.columns, "question", "matched_by")
 
 
 def dispositions(resolved: DataFrame, failed: Column | None = None) -> DataFrame:
