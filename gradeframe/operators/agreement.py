@@ -6,7 +6,7 @@ the kappas work on the table of observed label pairs, never on row pairs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -58,6 +58,24 @@ def _label_counts(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+#: Up to this many marks the labels are counted one by one, in the aggregate of the other measures.
+MOST_LABELS = 100
+
+
+def kappa_of_labels(ai: Column, teacher: Column, max_marks: float) -> Column:
+    """Linear-weighted kappa as one aggregate expression over counts up to each label."""
+    a, b = F.rint(ai).try_cast("long"), F.rint(teacher).try_cast("long")
+    labels = range(int(max_marks) + 1)
+    ranged = F.coalesce(a.between(0, int(max_marks)) & b.between(0, int(max_marks)), F.lit(False))
+    m = F.count_if(ranged).cast("double")
+    upto = lambda side: [F.count_if(ranged & (side <= k)) for k in labels]
+    crossings = [x * (m - y) + y * (m - x) for x, y in zip(upto(a), upto(b))]
+    expected = F.aggregate(F.array(*crossings), F.lit(0.0), lambda total, x: total + x) / (m * m)
+    observed = F.coalesce(F.sum(F.when(ranged, F.abs(a - b))), F.lit(0)) / m
+    kappa = F.coalesce(1 - F.try_divide(F.when(m > 0, observed), F.when(m > 0, expected)), F.lit(float("nan")))
+    return F.when(m == 0, 0.0).otherwise(kappa)
+
+
 def weighted_kappa(
     df: DataFrame, ai: str, teacher: str, by: Sequence[str] = (), max_marks: float = 10.0
 ) -> DataFrame:
@@ -114,9 +132,18 @@ def plain_kappa(df: DataFrame, a: Column, b: Column, by: Sequence[str] = ()) ->
 def score_summary(
     df: DataFrame, ai: str, teacher: str, by: Sequence[str] = (), max_marks: float = 10.0
 ) -> DataFrame:
-    """All continuous-score measures per group, each rounded to ten decimals."""
+    """All continuous-score measures per group, each rounded to ten decimals, in one pass."""
+    return score_summary_with(df, ai, teacher, by, max_marks, {})
+
+
+def score_summary_with(
+    df: DataFrame, ai: str, teacher: str, by: Sequence[str], max_marks: float, more: Mapping[str, Column]
+) -> DataFrame:
+    """The same with further aggregates of the caller's."""
     by = list(by)
     a, t = F.col(ai), F.col(teacher)
+    small = int(max_marks) <= MOST_LABELS
+    counted = [F.bround(kappa_of_labels(a, t, max_marks), 10).alias("cohen_kappa")] if small else []
     stats = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.bround(mae(a, t), 10).alias("mae"),
@@ -125,7 +152,11 @@ def score_summary(
         F.bround(within(a, t, 0.5), 10).alias("accuracy_within_0_5"),
         F.bround(F.avg(a), 10).alias("mean_ai_score"),
         F.bround(F.avg(t), 10).alias("mean_teacher_score"),
+        *counted,
+        *[c.alias(name) for name, c in more.items()],
     )
+    if small:
+        return stats
     kappa = weighted_kappa(df, ai, teacher, by, max_marks).withColumn(
         "cohen_kappa", F.bround("cohen_kappa", 10)
     )
@@ -165,10 +196,21 @@ def report_by_type(
     max_marks: float = 10.0,
 ) -> DataFrame:
     """One report row per question type; ``mcq`` is compared as right or wrong."""
+    a, t = F.col(ai), F.col(teacher)
     is_mcq = F.col(question_type) == "mcq"
-    open_rows = score_summary(df.filter(~is_mcq), ai, teacher, [question_type], max_marks)
-    mcq_rows = binary_summary(df.filter(is_mcq), ai, teacher, [question_type])
-    return open_rows.unionByName(mcq_rows, allowMissingColumns=True)
+    both = df.filter(F.col(question_type).isNotNull()).withColumn("_right", a == t)
+    rows = score_summary_with(both, ai, teacher, [question_type], max_marks, {
+        "_n_right": F.count_if("_right"),
+        "_accuracy": F.bround(F.avg(F.coalesce(F.col("_right"), F.lit(False)).cast("double")), 10),
+    })
+    shared = ["n_samples", "mae", "accuracy_within_1"]
+    continuous = [c for c in rows.columns if c not in (question_type, *shared, "_n_right", "_accuracy")]
+    return rows.select(
+        question_type, *shared, *[F.when(~is_mcq, F.col(c)).alias(c) for c in continuous],
+        F.when(is_mcq, F.col("_n_right")).alias("mcq_n_correct"),
+        F.when(is_mcq, F.col("n_samples") - F.col("_n_right")).alias("mcq_n_wrong"),
+        F.when(is_mcq, F.col("_accuracy")).alias("mcq_accuracy"),
+    )
 
 
 def score_sheet_report(df: DataFrame, ai: str = "ai_score", teacher: str = "teacher_score") -> DataFrame:
