@@ -9,6 +9,7 @@ from gradeframe.checks import sqltext as q, standins as s
 from gradeframe.checks.registry import Tables, check
 from gradeframe.functions import extract, rounding, scoring, text as tx
 from gradeframe.operators import reports
+from gradeframe.operators.skew import salted_left_join
 from gradeframe.plans.grading import grade, objective_grades, prepare_keys
 from gradeframe.plans.scorer import apply_scorer
 
@@ -105,7 +106,9 @@ def _(t: Tables) -> DataFrame:
         .agg(F.max_by("text", F.struct(F.length("text"), -F.col("doc_id"))).alias("teacher"))
         .select("source", tx.keywords(F.col("teacher")).alias("kt"))
     )
-    sets = docs.select("doc_id", "source", tx.keywords(F.col("text")).alias("ks")).join(keys, "source")
+    # few sources, one of which may hold much of the table: its documents are spread over many tasks
+    rows = docs.filter("source is not null").select("doc_id", "source", tx.keywords(F.col("text")).alias("ks"))
+    sets = salted_left_join(rows, keys, ["source"], ["doc_id"], 64)
     return sets.select(
         "doc_id",
         F.size(F.array_intersect("kt", "ks")).cast("long").alias("shared"),

@@ -169,7 +169,6 @@ KEY_SKIP = [
 ]
 KEY_ANSWER_PREFIX = r"(?i)^\s*(?:Answer|Ans|Sol(?:ution)?)\s*[.:]\s*(.+)"
 KEY_MIN_CHARS = 4
-KEY_LOOKAHEAD_LINES = 4
 KEY_QUESTION_MAX_CHARS = 200
 
 # --- question papers ------------------------------------------------------
