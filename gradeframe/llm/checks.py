@@ -87,5 +87,7 @@ SQL: dict[str, str] = {
     "op2_url_filter": url_filter.filter_sql(),
     "op4_decontamination": decontaminate.contamination_sql(),
     "op5_line_dedup": line_dedup.dedup_sql(),
+    "op6_suffix_dedup": suffix_dedup.repeats_sql(),
     "op7_sharding": sharding.shards_sql(),
+    "op9_minhash": minhash.groups_sql(),
 }

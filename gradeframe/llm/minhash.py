@@ -293,3 +293,32 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     rows = docs.groupBy(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("id")).agg(
         F.min_by(F.struct(*docs.columns), first).alias("row"))
     return rows.join(kept, "id", "left_semi").select("row.*")
+
+
+def groups_sql(similarity: float = SIMILARITY) -> str:
+    """The groups of ``documents`` with unique ids from all pairs that share a shingle, in SQL."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS x, count(*) AS m
+  FROM (SELECT doc_id, w, least({SHINGLE}, len(w)) AS k, unnest(range(1, len(w) - least({SHINGLE}, len(w)) + 2)) AS i
+        FROM w WHERE len(w) > 0) GROUP BY ALL
+), n AS (SELECT doc_id, sum(m) AS n FROM s GROUP BY 1
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.m, b.m)) AS i
+  FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE i::DOUBLE >= {similarity}::DOUBLE * (na.n + nb.n - i)::DOUBLE
+  UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b
+    ON coalesce(a.text, '') = coalesce(b.text, '') AND a.doc_id < b.doc_id
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS id, doc_id AS r FROM documents
+  UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a
+)
+SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy_of, class_id
+FROM documents d JOIN (SELECT id, min(r) AS class_id FROM reach GROUP BY 1) ON id = d.doc_id"""

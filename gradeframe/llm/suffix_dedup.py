@@ -259,3 +259,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
         StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
         StructField("spans", spans_type), StructField("kept", BinaryType())]))])
     return rows.mapInArrow(run, schema)
+
+
+def repeats_sql() -> str:
+    """The digest of the query over ``documents`` with unique ids, every window by itself, in SQL."""
+    return f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+  SELECT doc_id, b, substr(h, 1000 * b + 1, {2 * (500 + LENGTH - 1)}) AS p
+  FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 1000 + 1)::BIGINT)) AS b FROM h)
+), windows AS (
+  SELECT doc_id, 500 * b + j AS i, md5(substr(p, 2 * j + 1, {2 * LENGTH})) AS s
+  FROM (SELECT doc_id, b, p, unnest(range(0, least(500, len(p) // 2 - {LENGTH - 1})::BIGINT)) AS j FROM blocks)
+), hits AS (
+  SELECT doc_id, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)
+), edges AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM hits
+), islands AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM edges
+), spans AS (
+  SELECT doc_id, min(i) AS s, max(i) + {LENGTH} AS e FROM islands GROUP BY doc_id, island
+), gaps AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS k,
+         sum(e - s) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN h USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM h LEFT JOIN kept USING (doc_id)"""
