@@ -46,7 +46,7 @@ K = BANDS * ROWS
 #: The first level holds ranks up to this; each next level doubles the rank.
 LOWEST_RANK = 2.0**-6
 ROW_BITS = np.uint64(12)
-HUB_GROWTH = 16
+HUB_GROWTH = 8
 
 
 def cells_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +183,11 @@ def shared_cells(ids: DataFrame, cells: DataFrame) -> DataFrame:
         F.first("n").alias("n"), F.coalesce(F.sum("common"), F.lit(0)).cast("int").alias("s"))
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, its smaller id first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that are as similar as asked for."""
     a = cells.select(F.col("id").alias("a"), F.col("cells").alias("cells_a"))
@@ -238,9 +243,14 @@ def grouped_texts(docs: DataFrame, key: str, text: str, similarity: float) -> tu
 
     hubs = members.groupBy("band").agg(F.max(F.struct(F.col("s") / F.col("n"), "r", "id", "n", "s")).alias("hub"))
     hubs = hubs.select("band", F.col("hub.id").alias("a"), F.col("hub.n").alias("hub_n"), F.col("hub.s").alias("hub_s"))
-    pairs = members.join(staged(hubs, "hubs"), "band").filter(
-        (F.col("id") != F.col("a")) & alike("n", "s", "hub_n", "hub_s")).select("a", F.col("id").alias("b")).distinct()
-    roots = components(links(pairs, cells, similarity))
+    near = members.join(staged(hubs, "hubs"), "band").filter(
+        (F.col("id") != F.col("a")) & alike("n", "s", "hub_n", "hub_s"))
+    # of its hubs a text meets the best one first, which settles most buckets with one comparison
+    best = near.filter("m > 2").groupBy("id").agg(F.max(F.struct(F.col("hub_s") / F.col("hub_n"), "a")).alias("best"))
+    pairs = ordered(near.filter("m = 2").select("a", F.col("id").alias("b")).unionByName(
+        best.select("best.a", F.col("id").alias("b"))))
+    seen = staged(pairs, "pairs")
+    roots = components(links(seen, cells, similarity))
     tested, share = 0.0, float(HUB_GROWTH)
     while True:
         rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -254,8 +264,9 @@ def grouped_texts(docs: DataFrame, key: str, text: str, similarity: float) -> tu
         hub = more.filter((part < share) & (part >= tested)).select(
             "band", F.col("id").alias("a"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("root").alias("hub_root"))
         pairs = more.join(hub, "band").filter(
-            (F.col("root") != F.col("hub_root")) & alike("n", "s", "hub_n", "hub_s")).select(
-            F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+            (F.col("root") != F.col("hub_root")) & alike("n", "s", "hub_n", "hub_s")).select("a", F.col("id").alias("b"))
+        pairs = staged(ordered(pairs).join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = seen.unionByName(pairs)
         found = staged(links(pairs, cells, similarity), "found")
         # join components: their roots are the nodes now
         name = lambda end: found.select(F.col(end).alias("id"), *found.columns).join(roots, "id", "left")

@@ -210,11 +210,16 @@ def expression(trees: boosting.Trees, x: Column) -> Column:
 
 
 def calibrated(score: np.ndarray, label: np.ndarray, weight: np.ndarray, precision: float) -> float:
-    """The lowest score from which on at least ``precision`` of the weight is positive."""
+    """A score from which on at least ``precision`` of the weight is positive.
+
+    It lies half way between the lowest such score that occurs and the next one below.
+    """
     levels, at = np.unique(score, return_inverse=True)
     good, total = (np.bincount(at, w)[::-1].cumsum()[::-1] for w in (weight * label, weight)) if len(levels) else ((), ())
     fine = np.flatnonzero(np.asarray(good) >= precision * np.asarray(total)) if len(levels) else []
-    return float(levels[fine[0]]) if len(fine) else 2.0
+    if not len(fine):
+        return 2.0
+    return float(levels[fine[0]] + (levels[fine[0] - 1] if fine[0] else 0.0)) / 2
 
 
 def masked(rows: np.ndarray) -> np.ndarray:
