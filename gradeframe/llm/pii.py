@@ -53,6 +53,8 @@ CANDIDATES = {
 }
 #: A cheap test that must hold before a pattern is tried on a text.
 NEEDS = {"email": "(?i)@|[\\[({]\\x20?at\\x20?[\\])}]|\\x20dot\\x20", "ip": "[0-9A-Fa-f][.:]+[0-9A-Fa-f]", "card": "[0-9][0-9]", "phone": "[0-9]"}
+#: The same for the base patterns; every match of a base pattern implies its test.
+BASE_NEEDS = NEEDS | {"card": r"[0-9][\x20-]?[0-9]"}
 CUES = {"email": "mail|contact|write|@", "ip": "ip|host|server|addr|login", "card": "card|visa|pay|credit|konto|iban",
         "phone": "tel|call|phone|fax|mobil|t.l.f"}
 TRAIN_DOCS, PRECISION, N_TREES, DEPTH = 10_000, 0.95, 16, 3
@@ -174,7 +176,7 @@ def with_spans(docs: DataFrame, text: str, into: str) -> DataFrame:
     whole = whole_text(text)
     fields = []
     for kind in KINDS:
-        base = F.filter(spans_of(whole, BASE[kind], NEEDS[kind]), is_valid(kind))
+        base = F.filter(spans_of(whole, BASE[kind], BASE_NEEDS[kind]), is_valid(kind))
         fields += [F.transform(base, lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"))).alias(kind),
                    spans_of(whole, CANDIDATES[kind], NEEDS[kind]).alias(f"{kind}_c")]
     return docs.withColumn(into, F.struct(*fields))

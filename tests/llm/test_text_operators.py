@@ -312,6 +312,15 @@ def test_base_spans_match_plain_patterns(spark):
     assert found == want
 
 
+def test_cards_written_digit_by_digit(spark):
+    card = "4" + " 1" * 15
+    rows = [(1, card, "en"), (2, f"pay {card.replace(' ', '-')} now", "en"), (3, card[:-1] + "2", "en"), (4, f"{card} or 10", "en")]
+    none = pii.Model({}, dict.fromkeys(pii.KINDS, 2.0))
+    got = {r.doc_id: [(s.s, s.e) for s in r.pii.card] for r in pii.find_spans(documents(spark, rows), model=none).collect()}
+    want = {d: [m.span() for m in re.finditer(PLAIN["card"], t) if allowed("card", m.group())] for d, t, _ in rows}
+    assert got == want and [len(got[d]) for d in (1, 2, 3)] == [1, 1, 0]
+
+
 def test_trees_add_spans_and_leave_prose_alone(spark):
     rows = [(i, f"{prose(i, 20)} +1 ({200 + i}) 555-{1000 + i} {prose(i + 500, 9)} a{i}.b@mail.example.com", "en") for i in range(120)]
     rows += [(500, "call (803) 555-5351 now", "en"), (501, "write to jo_9 [at] mail7.example.com, or", "en"), (502, prose(9, 200), "en"),
