@@ -4,15 +4,21 @@ Strict patterns give the base spans. Beside them, generators of high recall prop
 overlapping candidates: written-out or spaced addresses, dotted quads and groups of
 hexadecimal digits, long and short digit groups. Boosted trees judge a candidate by its
 format (digits, groups, separators) and its context (what stands around it, words such
-as "call" or "card" before it). They learn on a bounded number of documents which
-candidates are base spans, partly on copies whose strict mark is masked (the plus of a
-phone number, the checksum of a card, the at sign), so that format and context must
-carry the decision, and on a short list of written examples of other forms. A threshold for each kind is calibrated on documents kept apart: the lowest score
-from which on the wanted precision holds. Candidates that reach it and do not overlap a
-base span of their kind are added; base spans always stay.
-
-Training sees counts by feature row, whose number the number of training documents
-bounds. The trees become one CASE expression each, so scoring stays in generated code.
+as "call" or "card" before it). Positives are base spans of the corpus, in their context
+but rewritten without the mark that makes them base spans (the plus of a phone number,
+the at sign, a card's usual separators), and written examples of such forms. Negatives
+are candidates that cannot be of their kind (a failed checksum, an octet over 255, a
+date, a version, an address without a dotted domain) and written examples; numbers with a
+failed checksum also in the forms that cards are rewritten to. All other
+candidates, frequent or not, have no label: they are what is to be judged, so they
+count neither for nor against. A threshold for each kind is calibrated on all documents
+that were not fitted on, and the written examples: the lowest score from which on the
+wanted precision holds. Candidates that reach it and do not overlap a base span of their
+kind are added; base spans always stay.
+
+Fitting sees counts by feature row, whose number the number of training documents
+bounds; calibration counts by rounded score, of which there are ``SCORE_LEVELS``. The
+trees become one CASE expression each, so scoring stays in generated code.
 Every step works within the row: no shuffle, and no key to be hot.
 
 Patterns are written so that a text is read in linear time, with possessive repeats and
@@ -45,6 +51,9 @@ BASE = {
 #: Generators of candidates; more than the base on purpose.
 AT, DOT = r"(?:@|\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20(?=[A-Za-z0-9-]+\x20dot\x20))", \
     r"(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20)"
+DOMAIN = rf"(?i){AT}[A-Za-z0-9-]++{DOT}"
+DATE = (r"(?<![0-9])(?:19|20)[0-9]{2}[-./](?:0?[1-9]|1[0-2])[-./]|"
+        r"(?<![0-9])[0-3]?[0-9][./](?:0?[1-9]|1[0-2])[./](?:19|20)[0-9]{2}")
 CANDIDATES = {
     "email": rf"(?<!{LOCAL}){LOCAL}++(?i:{AT})[A-Za-z0-9-]++(?i:{DOT}[A-Za-z0-9-]++)*+",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}+(?:\.[0-9]{1,3}+){3,5}+(?![0-9])|[0-9A-Fa-f]{1,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){3,7}+)",
@@ -59,8 +68,10 @@ CUES = {"email": "mail|contact|write|@", "ip": "ip|host|server|addr|login", "car
         "phone": "tel|call|phone|fax|mobil|t.l.f"}
 TRAIN_DOCS, PRECISION, N_TREES, DEPTH = 10_000, 0.95, 16, 3
 #: Written examples, personal or not, for forms that the strict patterns do not show. Each
-#: counts as much as SEED_WEIGHT candidates of the corpus.
-SEED_WEIGHT, LEAST_SCORE = 10.0, 0.5
+#: counts as much as SEED_WEIGHT candidates of the corpus, and those of one label together
+#: at least as much as SEED_SHARE of the labelled candidates.
+SEED_WEIGHT, SEED_SHARE, LEAST_SCORE = 10.0, 0.1, 0.5
+SCORE_LEVELS = 10_000
 SEEDS = {
     ("email", True): (
         "write to anna.berg (at) example (dot) com today", "jo_9 [at] mail7.example.com, or", "contact max{at}mail{dot}net now",
@@ -155,7 +166,7 @@ def features(kind: str, span: Column) -> Column:
     sizes = F.transform(groups, lambda x: F.least(F.length(x), F.lit(20)))
     kind_of = lambda c: (F.when(F.coalesce(c, F.lit("")) == "", 0).when(c.rlike("\\s"), 1)
                          .when(c.rlike("[0-9]"), 2).when(c.rlike("\\p{L}"), 3).otherwise(4))
-    strict = {"email": v.contains("@") & v.rlike("@[^@]*[.]"), "ip": octets(F.regexp_replace(v, ":+", ".")) & v.rlike("^[0-9.]+$"),
+    strict = {"email": v.rlike(DOMAIN), "ip": octets(F.regexp_replace(v, ":+", ".")) & v.rlike("^[0-9.]+$"),
               "card": F.when(F.length(digits(v)).between(13, 19), luhn(v)).otherwise(False), "phone": v.startswith("+")}[kind]
     columns = {
         "digits": F.least(F.length(digits(v)), F.lit(30)), "length": F.least(F.length(v), F.lit(60)),
@@ -166,7 +177,7 @@ def features(kind: str, span: Column) -> Column:
         "letters": F.least(count("A-Za-z"), F.lit(20)), "strict": F.coalesce(strict, F.lit(False)),
         "before": kind_of(F.right(span["l"], F.lit(1))), "after": kind_of(span["r"]),
         "cue": F.lower(span["l"]).rlike(CUES[kind]), "wide": F.length(F.regexp_replace(span["l"], "[^0-9]+", "")) > 3,
-        "dated": v.rlike("(?<![0-9])(?:19|20)[0-9]{2}[-./](?:0?[1-9]|1[0-2])[-./]|(?<![0-9])[0-3]?[0-9][./](?:0?[1-9]|1[0-2])[./](?:19|20)[0-9]{2}"),
+        "dated": v.rlike(DATE),
     }
     return F.struct(*[columns[name].cast("int").alias(name) for name in FEATURES])
 
@@ -224,46 +235,94 @@ def calibrated(score: np.ndarray, label: np.ndarray, weight: np.ndarray, precisi
     return float(levels[fine[0]] + (levels[fine[0] - 1] if fine[0] else 0.0)) / 2
 
 
-def masked(rows: np.ndarray) -> np.ndarray:
-    """The rows as they would be without their strict mark."""
-    out = rows.copy()
-    out[:, FEATURES.index("strict")] = 0
-    return out
+def rewritten(kind: str, v: Column) -> Column:
+    """Forms of a base span without the mark that makes it one; none where they would tell nothing."""
+    user, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
+    part = lambda i: F.lower(F.hex(F.split_part(v, F.lit("."), F.lit(i)).try_cast("int")))
+    regular = F.regexp_replace(digits(v), "([0-9]{4})(?=[0-9])", "$1 ")
+    forms = {
+        "email": F.array(F.concat(user, F.lit(" (at) "), domain), F.concat(user, F.lit(" at "), F.regexp_replace(domain, "[.]", " dot "))),
+        "ip": F.array(F.concat_ws(":", F.lit("2001:db8:0:0"), *[part(i) for i in range(1, 5)]),
+                      F.concat_ws(":", F.lit("fe80:"), *[part(i) for i in range(1, 5)])),
+        "card": F.array(*[F.replace(regular, F.lit(" "), F.lit(x)) for x in (".", "/", "  ")]),
+        "phone": F.array(F.regexp_replace(v, "^\\+", ""), F.regexp_replace(v, "^\\+[0-9]{1,3}[\\x20.-]*(?=[(0-9])", "")),
+    }[kind]
+    if kind == "phone":  # a bare run of digits could be any number
+        forms = F.filter(forms, lambda x: x.rlike("[0-9][^0-9]+[0-9]") & F.length(digits(x)).between(7, 15))
+    return forms
+
+
+def impossible(kind: str, v: Column, elsewhere: Column) -> Column:
+    """Whether a candidate cannot be of its kind; ``elsewhere`` says that it is of another one."""
+    n = F.length(digits(v))
+    groups = F.size(F.split(v, "[.:]+"))
+    return {
+        "email": ~v.rlike(DOMAIN),
+        "ip": F.when(v.contains(":"), ~v.contains("::") & (groups != 8)).otherwise(~octets(v) | (groups != 4) | v.rlike(DATE)),
+        "card": ~valid("card", v) | elsewhere,
+        "phone": ~n.between(7, 15) | v.rlike(DATE) | elsewhere,
+    }[kind]
+
+
+def labelled(found: DataFrame, into: str) -> DataFrame:
+    """(kind, y, features): rewritten base spans, and candidates that cannot be of their kind."""
+    others = {"card": ("ip", "phone"), "phone": ("ip", "card")}
+    rows = []
+    for kind in KINDS:
+        spans = lambda k: F.col(f"{into}.{k}")
+        c = found.select(spans(kind).alias("base"), F.flatten(F.array(*[spans(k) for k in others.get(kind, ())])).alias("others")
+                         if kind in others else F.slice(spans(kind), 1, 0).alias("others"), F.explode(f"{into}.{kind}_c").alias("c"))
+        same = F.exists("base", lambda o: (o["s"] == F.col("c.s")) & (o["e"] == F.col("c.e")))
+        wrong = ~overlaps(F.col("c"), F.col("base")) & F.coalesce(
+            impossible(kind, F.col("c.v"), overlaps(F.col("c"), F.col("others"))), F.lit(True))
+        c = c.select("c", F.when(same, True).when(wrong, False).alias("y")).filter("y is not null")
+        forms, plain = rewritten(kind, F.col("c.v")), F.array("c.v")
+        if kind == "card":  # a failed checksum stays one in any form, so that the form alone does not decide
+            plain = F.when(F.length(digits(F.col("c.v"))).between(13, 19), F.concat(plain, forms)).otherwise(plain)
+        c = c.select("c", "y", F.explode(F.when(F.col("y"), forms).otherwise(plain)).alias("v"))
+        rows.append(c.select(F.lit(kind).alias("kind"), "y", features(kind, F.col("c").withField("v", F.col("v"))).alias("x")))
+    return reduce(DataFrame.unionAll, rows)
+
+
+def seed_weights(label: np.ndarray, mass: float) -> np.ndarray:
+    """Weights of the written examples next to labelled candidates of weight ``mass``."""
+    return np.maximum(SEED_WEIGHT, SEED_SHARE * mass / np.where(label == 1, (label == 1).sum(), (label == 0).sum()).clip(1))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = TRAIN_DOCS,
           precision: float = PRECISION) -> Model:
-    """Fit the trees on about ``max_docs`` documents, chosen by a hash of their key."""
+    """Fit the trees on part of about ``max_docs`` documents, chosen by a hash of their key; calibrate on the others."""
     share = min(1.0, max_docs / max(1, docs.count()))
-    chosen = F.shiftrightunsigned(F.xxhash64(key, F.lit("pii")), 11) * F.lit(2.0**-53)
-    sample = docs.filter(chosen < share).select(key, text)
-    into = free_name(sample, "spans")
-    found = with_spans(sample, text, into).withColumn("apart", F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(3)) == 0)
-    rows = None
-    for kind in KINDS:
-        c = found.select("apart", F.lit(kind).alias("kind"), F.col(f"{into}.{kind}").alias("base"), F.explode(f"{into}.{kind}_c").alias("c"))
-        c = c.select("apart", "kind", overlaps(F.col("c"), F.col("base")).alias("y"), features(kind, F.col("c")).alias("x"))
-        rows = c if rows is None else rows.unionAll(c)
+    chosen = F.shiftrightunsigned(F.xxhash64(key, F.lit("pii")), 11) * F.lit(2.0**-53) < share
+    fitted = chosen & (F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(3)) != 0)
+    into = free_name(docs.select(text), "spans")
+
+    def counts(part: Column, by: list) -> dict[str, np.ndarray]:
+        found = with_spans(docs.filter(part).select(text), text, into)
+        got = labelled(found, into).groupBy("kind", "y", *by).count().collect()
+        return {kind: np.array(sorted(tuple(r)[1:] for r in got if r["kind"] == kind), np.float64).reshape(-1, len(by) + 2) for kind in KINDS}
+
     seeds = docs.sparkSession.createDataFrame(
         [(k, y, t) for (k, y), texts in SEEDS.items() for t in texts], "kind string, y boolean, t string")
     seeds = with_spans(seeds, "t", "spans")
     examples = reduce(DataFrame.unionAll, [
         seeds.filter(F.col("kind") == kind).select("kind", "y", F.explode(f"spans.{kind}_c").alias("c")).select(
             "kind", "y", features(kind, F.col("c")).alias("x")) for kind in KINDS]).select("kind", "y", "x.*").collect()
-    counted = rows.groupBy("kind", "apart", "y", *[F.col(f"x.{n}") for n in FEATURES]).count().collect()
+    written = {kind: np.array(sorted(tuple(r)[1:] for r in examples if r["kind"] == kind), np.float64).reshape(-1, len(FEATURES) + 1)
+               for kind in KINDS}
     trees, threshold = {}, {}
-    for kind in KINDS:
-        own = sorted(tuple(r)[1:] for r in counted if r["kind"] == kind)
-        data = np.array(own, np.float64).reshape(-1, len(FEATURES) + 3)
-        apart, y, x, w = data[:, 0] == 1, data[:, 1], data[:, 2:-1], data[:, -1]
-        fit = ~apart
-        own = np.array(sorted(tuple(r)[1:] for r in examples if r["kind"] == kind), np.float64).reshape(-1, len(FEATURES) + 1)
-        # positives also without their strict mark, so that the rest has to tell them
-        more = masked(x[fit & (y == 1)])
+    for kind, data in counts(fitted, [F.col(f"x.{n}") for n in FEATURES]).items():
+        own = written[kind]
         trees[kind] = boosting.fit(
-            np.concatenate([x[fit], more, own[:, 1:]]), np.concatenate([y[fit], np.ones(len(more)), own[:, 0]]),
-            np.concatenate([w[fit], 0.5 * w[fit & (y == 1)], np.full(len(own), SEED_WEIGHT)]), N_TREES, DEPTH, rate=0.3)
-        threshold[kind] = max(LEAST_SCORE, calibrated(trees[kind].scores(x[apart]), y[apart], w[apart], precision))
+            np.concatenate([data[:, 1:-1], own[:, 1:]]), np.concatenate([data[:, 0], own[:, 0]]),
+            np.concatenate([data[:, -1], seed_weights(own[:, 0], data[:, -1].sum())]), N_TREES, DEPTH, rate=0.3)
+    score = reduce(lambda so_far, kind: so_far.when(F.col("kind") == kind, expression(trees[kind], F.col("x"))), KINDS, F)
+    for kind, data in counts(~fitted, [F.floor(score * SCORE_LEVELS).alias("level")]).items():
+        own = written[kind]
+        levels = np.concatenate([data[:, 1], np.floor(trees[kind].scores(own[:, 1:]) * SCORE_LEVELS)]) / SCORE_LEVELS
+        threshold[kind] = max(LEAST_SCORE, calibrated(
+            levels, np.concatenate([data[:, 0], own[:, 0]]),
+            np.concatenate([data[:, -1], seed_weights(own[:, 0], data[:, -1].sum())]), precision))
     return Model(trees, threshold)
 
 

@@ -335,6 +335,27 @@ def test_trees_add_spans_and_leave_prose_alone(spark):
     assert clean[500] == "call [REDACTED] now" and clean[502] == rows[122][1] and clean[504] is None
 
 
+def test_forms_more_frequent_than_base_spans_are_added(spark):
+    def card(i):
+        body = f"4{i:014d}"
+        return next(body + c for c in "0123456789" if allowed("card", body + c))
+
+    def text(i):
+        d, n = f"555-{1000 + i % 9000}", card(i)
+        forms = [
+            f"call ({200 + i % 700}) {d} now", f"tel {200 + i % 700}-{d} or", f"write to jo{i} (at) mail{i % 10}.example.com, or",
+            f"card {n[:4]}.{n[4:8]}.{n[8:12]}.{n[12:]} exp", f"sent on 2021-{1 + i % 12:02d}-{1 + i % 28:02d} 12 h",
+            f"card {n[:15]}{(int(n[15]) + 1) % 10} exp", f"host 300.{i % 256}.2.3 has", f"look {i} (at) home"]
+        return f"{prose(i, 4)} {forms[i % 8]} {prose(i + 1, 3)}" + (f" +1 (803) {d} a{i}.b@mail.example.com" if i % 100 == 0 else "")
+
+    n = 10_400
+    rows = [(i, text(i), "en") for i in range(n)]
+    assert n > pii.TRAIN_DOCS
+    got = pii.find_spans(documents(spark, rows).repartition(8)).collect()
+    added = collections.Counter((r.doc_id % 8, k) for r in got for k in pii.KINDS for _ in range(len(r.pii[f"{k}_all"]) - len(r.pii[k])))
+    assert added == {(0, "phone"): n // 8, (1, "phone"): n // 8, (2, "email"): n // 8, (3, "card"): n // 8}
+
+
 def test_personal_data_in_nothing(spark):
     empty = documents(spark, [])
     assert pii.find_spans(empty).count() == 0
