@@ -47,14 +47,18 @@ def with_word_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFr
 def error_rates(
     pairs: DataFrame, reference: str, hypothesis: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Corpus-level character and word error rates: summed edits over summed lengths."""
+    """Corpus-level character and word error rates: summed edits over summed lengths.
+
+    Pairs whose ``word_edits`` is null are in neither sum of ``wer``; ``n_unmeasured`` counts them.
+    """
     measured = with_word_edits(pairs.select(*by, reference, hypothesis), reference, hypothesis)
     return measured.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.try_divide(
             F.sum(F.levenshtein(F.col(reference), F.col(hypothesis))), F.sum(F.length(reference))
         ).alias("cer"),
-        F.try_divide(F.sum("word_edits"), F.sum("reference_words")).alias("wer"),
+        F.try_divide(F.sum("word_edits"), F.sum(F.when(F.col("word_edits").isNotNull(), F.col("reference_words")))).alias("wer"),
+        F.count_if(F.col("word_edits").isNull()).alias("n_unmeasured"),
     )
 
 

@@ -206,6 +206,13 @@ def test_word_edits(spark):
     assert [r.word_edits for r in got] == [2, 1, 2, 1]
 
 
+def test_pairs_of_too_many_words_are_in_neither_sum(spark, monkeypatch):
+    monkeypatch.setattr(er, "MOST_WORDS", 3)
+    rows = spark.createDataFrame([("a b", "a c"), ("a b c d", "a b c d")], "r string, h string")
+    got = er.error_rates(rows, "r", "h").first()
+    assert (got.n_samples, got.wer, got.n_unmeasured) == (2, 0.5, 1)
+
+
 def test_word_edits_equal_brute_force(spark):
     random.seed(5)
     pairs = [(" ".join(random.choices("abcdé", k=random.randint(0, 9))), " ".join(random.choices("abcdé", k=random.randint(0, 9)))) for _ in range(80)]
