@@ -155,7 +155,10 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     total = windows.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     blocks = -(-max(1, total) // block_shingles)
     carried = docs.columns if carry is None else carry
-    hits, rows = [], None
+    hits, rows, number = [], None, None
+    if blocks > 1:  # every block has to number the rows alike, whatever order a scan gives them in
+        number = free_name(docs, "number")
+        docs = staged(docs.select(*dict.fromkeys([*carried, text]), F.monotonically_increasing_id().alias(number)), "numbered")
     for block in range(blocks):
         part = windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
         shingles = part.select("words", F.least(F.size("words"), F.lit(SHINGLE)).alias("k"), F.posexplode("hashes").alias("offset", "h"))
@@ -174,6 +177,8 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         )
         anchors = staged(rarest.join(part.select("words", "items"), "words"), "anchors")
         found, names = shingle_places(docs, text, marks(anchors), sizes, window)
+        if number:
+            found, names = found.drop(names["row"]), names | {"row": number}
         keep = [*(carried if rows is None else []), names["row"], names["n_words"], names["places"]]
         found = staged(found.select(*keep), "places")
         rows = found.drop(names["places"]) if rows is None else rows

@@ -58,6 +58,15 @@ def test_overlaps_match_plain_python(spark, block):
     assert clean.count() == sum(x[2] == 0 for x in found)
 
 
+def test_blocks_find_the_right_rows_in_any_order(spark):
+    rows = odd_documents() + [(100 + i, prose(300 + i, 30) + " " + prose(90 + i % 3, 14), "en") for i in range(60)]
+    frame = documents(spark, rows).coalesce(1).mapInPandas(lambda parts: (p.sample(frac=1) for p in parts), "doc_id long, text string, lang string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.match(frame, items, block_shingles=250).collect()
+    found = sorted(((r.doc_id, r.overlap.n_words, r.overlap.n_hit, r.overlap.item_ids) for r in got), key=str)
+    assert found == reference_overlap(rows, ITEMS)
+
+
 def test_decontamination_of_and_by_nothing(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.drop_contaminated(documents(spark, []), items).count() == 0
