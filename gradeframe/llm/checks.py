@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontaminate, line_dedup, minhash, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
+from gradeframe.llm import decontaminate, filter_audit, line_dedup, manifest, minhash, neighbours, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,8 +80,23 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")])
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.verify(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, folder, "labels"))
+
+
+def op13_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, lambda vec_id: vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_line_dedup, op6_suffix_dedup, op7_sharding, op8_packing, op9_minhash, op10_quality_rules)
+    f.__name__: f for f in (op1_pii, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_line_dedup, op6_suffix_dedup, op7_sharding, op8_packing, op9_minhash, op10_quality_rules,
+        op11_merkle_manifest, op12_filter_audit, op13_neighbours)
 }
 SQL: dict[str, str] = {
     "op2_url_filter": url_filter.filter_sql(),
@@ -90,4 +105,6 @@ SQL: dict[str, str] = {
     "op6_suffix_dedup": suffix_dedup.repeats_sql(),
     "op7_sharding": sharding.shards_sql(),
     "op9_minhash": minhash.groups_sql(),
+    "op11_merkle_manifest": manifest.manifest_sql(),
+    "op12_filter_audit": filter_audit.audit_sql(),
 }
