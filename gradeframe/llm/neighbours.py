@@ -354,7 +354,7 @@ def nearest(rows: DataFrame, asks: Callable[[Column], Column], k: int = 5, key:
         blocks = -(-n // LEAST_HEAVY)
         every = classes.select(F.lit(0).alias("key"), F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"),
                                F.lit(1).alias("kind"), "v", "vec")
-        again = lost.select(F.lit(0).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+        again = lost.select(F.lit(0).alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
                             F.lit(0).alias("kind"), "v", "vec")
         more = measured(compare(every.union(again), width, most + 1), classes, most + 1)
         left = queries.join(lost.select("v"), "v", "left_semi")
