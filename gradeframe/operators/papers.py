@@ -1,8 +1,8 @@
 """Read question papers: header fields, parts, and questions with alternatives.
 
-Header and parts are row-local. Questions need running state over the lines of a
-document, so the lines are shuffled once by document: a document is one text
-cell, which bounds every window partition.
+A paper is one text cell, so all of it is row-local array work: lines are parsed once
+into an array, numbered and part lines bound stretches of it, and each question is made
+from the stretches around its number. No shuffle, no window, one scan.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.classify import compact_type
@@ -110,200 +109,194 @@ def is_header_line(line: Column, institution: str | None = None) -> Column:
     return line.rlike(_starts_with_any(fv.FLOW_SKIP_WORDS, institution)) | line.rlike(fv.MARKS_LINE)
 
 
-def paper_lines(
-    documents: DataFrame, keys: Sequence[str], text: str, institution: str | None = None
-) -> DataFrame:
-    """Non-blank lines of every paper, parsed for both layouts.
-
-    ``f_*`` columns serve the column-flow layout, ``l_*`` the numbered list.
-    ``f_kind`` is null for lines that layout ignores.
-    """
-    keys = list(keys)
-    noise = _starts_with_any(fv.FLOW_NOISE_WORDS, institution)
-    lines = (
+def paper_lines(documents: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """One row per paper: its non-blank lines with their numbers, and its parts."""
+    rows = F.transform("_lines", lambda l, i: F.struct(i.alias("line_no"), strip(l).alias("line")))
+    return (
         documents.select(*keys, F.split(text, fv.LINE_BREAK).alias("_lines"))
         .select(*keys, "_lines", _part_headers("_lines").alias("_headers"))
-        .select(*keys, "_lines", _first_headers("_headers").alias("_parts"))
-        # an expression, not the bare column: for that Spark would add a size filter
-        # and split the text once more below it
-        .select(*keys, "_parts", F.posexplode(F.transform("_lines", strip)).alias("line_no", "line"))
-        .filter("line != ''")
+        .select(*keys, F.filter(rows, lambda r: r["line"] != "").alias("_rows"),
+                _first_headers("_headers").alias("_parts"))
     )
-    line = F.col("line")
-    # groups first, casts next: only lines that start with a digit are searched
-    numbered = line.rlike("^[0-9]")
-    shapes = {"only": fv.FLOW_NUMBER_ONLY, "inline": fv.FLOW_NUMBER_INLINE, "bare": fv.FLOW_NUMBER_BARE}
-    lines = lines.withColumns(
-        {f"_n_{n}": F.when(numbered, F.regexp_extract(line, p, 1)) for n, p in shapes.items()}
-    ).withColumns({
-        f"_r_{n}": F.when(
-            F.col(f"_n_{n}") != "", without_outcome_tags(F.regexp_extract(line, shapes[n], 2))
-        )
-        for n in ("inline", "bare")
-    })
 
-    def fits(name: str, min_chars: int = 0) -> Column:
-        in_range = digits(F.col(f"_n_{name}")).between(1, fv.FLOW_LAST_NUMBER)
-        if min_chars:
-            in_range = in_range & (F.length(f"_r_{name}") >= min_chars)
-        return F.coalesce(in_range, F.lit(False))
 
-    kind = (
-        F.when(is_header_line(line, institution), None)
-        .when(line.rlike(fv.PART_LINE), "part")
-        .when(line.rlike(fv.OR_LINE), "or")
-        .when(fits("only"), "only")
-        .when(fits("inline", 3), "inline")
-        .when(fits("bare", 6), "bare")
-        .otherwise("text")
-    )
-    known = F.array_intersect(
-        F.transform(F.regexp_extract_all(line, F.lit(fv.LIST_PART_LINE), F.lit(1)), F.upper),
-        F.transform("_parts", lambda p: p["letter"]),
-    )
-    list_mark = F.when(line.rlike(fv.LIST_CANDIDATE), first_marker(line, fv.LIST_MARKERS, 0, 99))
-    return (
-        lines.withColumn("f_kind", kind)
-        .withColumns({
-            "f_number": F.when(F.col("f_kind") == "only", digits(F.col("_n_only")))
-            .when(F.col("f_kind") == "inline", digits(F.col("_n_inline")))
-            .when(F.col("f_kind") == "bare", digits(F.col("_n_bare"))),
-            "f_text": F.when(F.col("f_kind") == "text", without_outcome_tags(line))
-            .when(F.col("f_kind") == "inline", F.col("_r_inline"))
-            .when(F.col("f_kind") == "bare", F.col("_r_bare"))
-            .otherwise(""),
-            "f_letter": F.when(
-                F.col("f_kind") == "part", F.upper(F.regexp_extract(line, fv.PART_LINE, 1))
-            ),
-            "l_letter": F.array_max(known),
-            "l_mark": list_mark,
-            "l_or": line.rlike(fv.OR_LINE),
-            "_stated": F.when(line.endswith(")") | line.rlike(r"(?i)marks?$"),
-                              F.regexp_extract(line, fv.LIST_INLINE_MARKS, 1)),
-        })
-        .withColumns({
-            # text above a number is kept only when it is long enough and no header
-            "f_pending": (F.length("f_text") >= fv.FLOW_PENDING_MIN_CHARS)
-            & ~line.rlike(noise) & ~F.col("f_text").rlike(noise),
-            "l_marks": digits(F.col("_stated"), "double"),
-            "l_mute": F.coalesce(F.col("l_mark.number") > fv.LIST_LAST_NUMBER, F.lit(False))
-            | line.rlike(fv.LIST_PART_SKIP),
-            "l_number": F.when(
-                F.col("l_mark.number") <= fv.LIST_LAST_NUMBER, F.col("l_mark.number")
-            ),
-        })
-        .drop("_stated", *[f"_n_{n}" for n in shapes], "_r_inline", "_r_bare")
+def _running_letters(bounds: Column, first: Column) -> Column:
+    """For each bound the last letter stated at or before it, in one walk over the array."""
+    stated = F.filter(
+        F.transform(bounds, lambda b, i: F.struct(i.alias("at"), b["letter"].alias("letter"))),
+        lambda s: s["letter"].isNotNull(),
     )
+    starts = F.concat(F.array(F.struct(F.lit(0).alias("at"), first.alias("letter"))), stated)
+
+    def runs(s: Column) -> Column:
+        return F.transform(s, lambda x, k: F.array_repeat(
+            x["letter"], F.coalesce(F.get(s, k + 1)["at"], F.size(bounds)) - x["at"]))
+
+    return F.flatten(let(starts, runs))
+
+
+def _between(rows: Column, low: Column, high: Column) -> Column:
+    """The rows after position ``low`` and before ``high``, counted from 0."""
+    return F.slice(rows, low + 2, high - low - 1)
+
 
+def _bounds(rows: Column, is_bound) -> Column:
+    placed = F.transform(rows, lambda r, i: r.withField("at", i))
+    return F.filter(placed, is_bound)
 
-def _first_letter(parts: Column) -> Column:
-    return F.array_min(F.transform(parts, lambda p: p["letter"]))
 
+def _marked_questions(rows: Column, bounds: Column, parts: Column, question) -> Column:
+    """``question(bound, previous, before, after)`` of every numbered bound, with its part's marks.
 
-def _with_marks(questions: DataFrame, keys: Sequence[str], stated: Column | None = None) -> DataFrame:
-    """Marks of the question's part, a stated value first."""
-    part = F.get(F.filter("_parts", lambda p: p["letter"] == F.col("_letter")), F.lit(0))
-    marks = F.coalesce(*([] if stated is None else [stated]), part["marks_per_question"],
-                       F.lit(fv.DEFAULT_MARKS))
-    return questions.select(
-        *keys, "line_no", "question_number", "question_text", marks.alias("marks"),
-        F.concat(F.lit("Part-"), F.col("_letter")).alias("part_name"),
-        F.coalesce("is_or_option", F.lit(False)).alias("is_or_option"),
+    ``before`` and ``after`` are the rows between it and its neighbours among the bounds.
+    """
+    first = F.array_min(F.transform(parts, lambda p: p["letter"]))
+
+    def whole(letters: Column) -> Column:
+        def asked(b: Column, k: Column) -> Column:
+            previous, letter = F.get(bounds, k - 1), F.get(letters, k)
+            before = _between(rows, F.coalesce(previous["at"], F.lit(-1)), b["at"])
+            after = _between(rows, b["at"], F.coalesce(F.get(bounds, k + 1)["at"], F.size(rows)))
+            part = F.get(F.filter(parts, lambda p: p["letter"] == letter), F.lit(0))
+
+            def finished(q: Column) -> Column:
+                return F.struct(
+                    b["line_no"].alias("line_no"), b["number"].alias("question_number"),
+                    q["text"].alias("question_text"),
+                    F.coalesce(q["stated"], part["marks_per_question"], F.lit(fv.DEFAULT_MARKS)).alias("marks"),
+                    F.concat(F.lit("Part-"), letter).alias("part_name"), q["is_or"].alias("is_or_option"),
+                )
+
+            found = let(before, lambda x: question(b, previous, x, after))
+            return F.when(b["number"].isNotNull(), let(found, lambda q: F.when(q["text"].isNotNull(), finished(q))))
+
+        return F.array_compact(F.transform(bounds, asked))
+
+    return let(_running_letters(bounds, first), whole)
+
+
+def _flow_line(line: Column, institution: str | None) -> Column:
+    """``struct(kind, number, text, letter)`` of a line; null for lines the layout ignores."""
+    def made(kind: str, number: Column, text: Column, letter: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), number.cast("int").alias("number"),
+                        text.alias("text"), letter.cast("string").alias("letter"))
+
+    def numbered(kind: str, pattern: str, min_chars: int) -> Column:
+        def body(number: Column) -> Column:
+            rest = let(F.regexp_extract(line, pattern, 2), without_outcome_tags) if min_chars else F.lit("")
+            found = let(rest, lambda r: F.when(F.length(r) >= min_chars, made(kind, number, r, F.lit(None))))
+            return F.when((number != "") & number.cast("int").between(1, fv.FLOW_LAST_NUMBER), found)
+
+        return let(F.regexp_extract(line, pattern, 1), body)
+
+    none, empty = F.lit(None), F.lit("")
+    numbers = F.coalesce(numbered("only", fv.FLOW_NUMBER_ONLY, 0), numbered("inline", fv.FLOW_NUMBER_INLINE, 3),
+                         numbered("bare", fv.FLOW_NUMBER_BARE, 6))
+    return (
+        F.when(is_header_line(line, institution), None)
+        .when(line.rlike(fv.PART_LINE), made("part", none, empty, F.upper(F.regexp_extract(line, fv.PART_LINE, 1))))
+        .when(line.rlike(fv.OR_LINE), made("or", none, empty, none))
+        # only lines that start with a digit are searched for a number
+        .otherwise(F.coalesce(F.when(line.rlike("^[0-9]"), numbers), made("text", none, without_outcome_tags(line), none)))
     )
 
 
-def flow_questions(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Questions of the column-flow layout from :func:`paper_lines`.
+def _with_flow(lines: DataFrame, institution: str | None) -> DataFrame:
+    """Add ``_flow``, the questions of the column-flow layout.
 
     Text between a part header (or the start) and the part's first number belongs
     to that number, unless an OR line or a number without punctuation discards it;
     later text continues the open question. The question after an OR line is the
-    alternative. One shuffle by document serves the windows and the grouping.
+    alternative.
     """
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    is_mark = F.col("f_number").isNotNull()
-    is_part, is_or = F.col("f_kind") == "part", F.col("f_kind") == "or"
-    bound = F.when(is_mark, F.lit("mark")).when(is_part, F.lit("part"))
-    placed = (
-        lines.filter("f_kind is not null")
-        .withColumns({
-            "_bounds": F.sum(bound.isNotNull().cast("int")).over(w),
-            "_ors": F.sum(is_or.cast("int")).over(w),
-            "_open": F.last(bound, True).over(w),
-            "_letter": F.coalesce(
-                F.last("f_letter", True).over(w), _first_letter(F.col("_parts"))
-            ),
-        })
-        .withColumn("_ahead", is_or | F.coalesce(F.col("_open") == "part", F.lit(True)))
-        .withColumn(
-            "_segment", F.col("_bounds") + F.when(F.col("_ahead") & ~is_part, 1).otherwise(0)
+    noise = _starts_with_any(fv.FLOW_NOISE_WORDS, institution)
+
+    def pending(r: Column) -> Column:
+        """Text above a number is kept only when it is long enough and no header."""
+        return (r["kind"] == "text") & (F.length(r["text"]) >= fv.FLOW_PENDING_MIN_CHARS) & ~(
+            r["line"].rlike(noise) | r["text"].rlike(noise))
+
+    def question(b: Column, previous: Column, before: Column, after: Column) -> Column:
+        last_or = F.array_max(F.transform(before, lambda r, i: F.when(r["kind"] == "or", i)))
+        ahead = F.when(
+            F.coalesce(previous["kind"] == "part", F.lit(True)) & (b["kind"] != "bare"),
+            let(F.coalesce(last_or, F.lit(-1)), lambda o: F.filter(before, lambda r, i: (i > o) & pending(r))),
         )
+        pieces = F.concat(F.coalesce(ahead, F.slice(before, 1, 0)), F.array(b.dropFields("at")), after)
+        texts = F.filter(F.transform(pieces, lambda r: r["text"]), lambda t: t != "")
+        text = let(F.array_join(texts, " "), without_outcome_tags)
+        return F.struct(
+            let(text, lambda t: F.when(F.length(t) >= fv.FLOW_MIN_CHARS, t)).alias("text"),
+            F.lit(None).cast("double").alias("stated"),
+            F.exists(before, lambda r: r["kind"] == "or").alias("is_or"),
+        )
+
+    def parsed(r: Column) -> Column:
+        return let(_flow_line(r["line"], institution), lambda p: F.when(p.isNotNull(), F.struct(
+            r["line_no"].alias("line_no"), r["line"].alias("line"), *[p[c].alias(c) for c in ("kind", "number", "text", "letter")])))
+
+    rows, bounds = F.col("_flow_rows"), F.col("_flow_bounds")
+    columns = lines.columns
+    return (
+        lines.select(*columns, F.array_compact(F.transform("_rows", parsed)).alias("_flow_rows"))
+        .select(*columns, "_flow_rows", _bounds(
+            rows, lambda r: r["number"].isNotNull() | (r["kind"] == "part")).alias("_flow_bounds"))
+        .select(*columns, _marked_questions(rows, bounds, F.col("_parts"), question).alias("_flow"))
     )
-    piece = F.struct(
-        "line_no",
-        F.col("f_text").alias("text"),
-        (is_mark | ~F.col("_ahead")).alias("own"),
-        F.col("f_pending").alias("keep"),
-        F.col("_ors").alias("ors"),
-    )
-    grouped = placed.groupBy(*keys, "_segment").agg(
-        F.max(F.when(is_mark, F.col("line_no"))).alias("line_no"),
-        F.max("f_number").alias("question_number"),
-        F.bool_or(F.col("f_kind") == "bare").alias("_bare"),
-        F.bool_or(is_or).alias("is_or_option"),
-        F.max(F.when(is_mark, F.col("_letter"))).alias("_letter"),
-        F.max(F.when(is_mark, F.col("_ors"))).alias("_ors"),
-        F.first("_parts").alias("_parts"),
-        F.array_sort(F.collect_list(F.when(F.col("f_text") != "", piece))).alias("_pieces"),
-    )
-    used = F.filter(
-        "_pieces",
-        lambda p: p["own"] | (p["keep"] & (p["ors"] == F.col("_ors")) & ~F.col("_bare")),
-    )
-    joined = F.array_join(F.transform(used, lambda p: p["text"]), " ")
-    whole = grouped.filter("question_number is not null").withColumn(
-        "question_text", without_outcome_tags(joined)
-    )
-    return _with_marks(whole.filter(F.length("question_text") >= fv.FLOW_MIN_CHARS), keys)
 
 
-def list_questions(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Questions of a plain numbered list from :func:`paper_lines`.
+def _listed(rows: Column, parts: Column) -> Column:
+    """The questions of a plain numbered list.
 
     Marks in brackets at the end of the marker line override the part's. The
     question after an OR line is the alternative.
     """
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    is_mark = F.col("l_number").isNotNull()
-    is_bound = is_mark | F.col("l_letter").isNotNull()
-    placed = lines.withColumns({
-        "_bounds": F.sum(is_bound.cast("int")).over(w),
-        "_letter": F.coalesce(F.last("l_letter", True).over(w), _first_letter(F.col("_parts"))),
-    }).withColumn("_segment", F.col("_bounds") + F.when(F.col("l_or") & ~is_bound, 1).otherwise(0))
-    text = F.when(is_mark, F.col("l_mark.rest")).when(
-        ~F.col("l_or") & ~F.col("l_mute") & F.col("l_letter").isNull(), F.col("line")
-    )
-    grouped = placed.groupBy(*keys, "_segment").agg(
-        F.max(F.when(is_mark, F.col("line_no"))).alias("line_no"),
-        F.max("l_number").alias("question_number"),
-        F.bool_or("l_or").alias("is_or_option"),
-        F.max(F.when(is_mark, F.col("_letter"))).alias("_letter"),
-        F.max(F.when(is_mark, F.col("l_marks"))).alias("_stated"),
-        F.first("_parts").alias("_parts"),
-        F.array_sort(
-            F.collect_list(F.when(text.isNotNull(), F.struct("line_no", text.alias("text"))))
-        ).alias("_pieces"),
-    )
-    joined = strip(F.array_join(F.transform("_pieces", lambda p: p["text"]), " "))
-    whole = (
-        grouped.filter("question_number is not null")
-        .withColumn("_joined", joined)
-        .filter(F.length("_joined") >= fv.LIST_MIN_CHARS)
-        .withColumn("question_text", strip(F.regexp_replace("_joined", fv.LIST_OR_TAG, "")))
-    )
-    return _with_marks(whole, keys, F.col("_stated"))
+    letters = F.transform(parts, lambda p: p["letter"])
+
+    def parsed(r: Column) -> Column:
+        line = r["line"]
+        known = F.array_intersect(
+            F.transform(F.regexp_extract_all(line, F.lit(fv.LIST_PART_LINE), F.lit(1)), F.upper), letters)
+        mark = F.when(line.rlike(fv.LIST_CANDIDATE), first_marker(line, fv.LIST_MARKERS, 0, 99))
+        stated = F.when(line.endswith(")") | line.rlike(r"(?i)marks?$"), F.regexp_extract(line, fv.LIST_INLINE_MARKS, 1))
+
+        def row(m: Column) -> Column:
+            number = F.when(m["number"] <= fv.LIST_LAST_NUMBER, m["number"])
+            is_or = line.rlike(fv.OR_LINE)
+            mute = F.coalesce(m["number"] > fv.LIST_LAST_NUMBER, F.lit(False)) | line.rlike(fv.LIST_PART_SKIP)
+            return F.struct(
+                r["line_no"].alias("line_no"), number.alias("number"), F.array_max(known).alias("letter"),
+                is_or.alias("is_or"),
+                F.when(number.isNotNull(), let(stated, lambda x: digits(x, "double"))).alias("stated"),
+                F.when(number.isNotNull(), m["rest"]).when(~is_or & ~mute, line).alias("text"),
+            )
+
+        return let(mark, row)
+
+    def question(b: Column, previous: Column, before: Column, after: Column) -> Column:
+        texts = F.array_compact(F.transform(F.concat(F.array(b.dropFields("at")), after), lambda r: r["text"]))
+        joined = let(strip(F.array_join(texts, " ")), lambda t: F.when(
+            F.length(t) >= fv.LIST_MIN_CHARS, strip(F.regexp_replace(t, fv.LIST_OR_TAG, ""))))
+        return F.struct(joined.alias("text"), b["stated"].alias("stated"),
+                        (b["is_or"] | F.exists(before, lambda r: r["is_or"])).alias("is_or"))
+
+    def with_bounds(found: Column) -> Column:
+        bounds = _bounds(found, lambda r: r["number"].isNotNull() | r["letter"].isNotNull())
+        return let(bounds, lambda b: _marked_questions(found, b, parts, question))
+
+    return let(F.transform(rows, parsed), with_bounds)
+
+
+def flow_questions(lines: DataFrame, keys: Sequence[str], institution: str | None = None) -> DataFrame:
+    """One row per question of the column-flow layout, from :func:`paper_lines`."""
+    # an expression, not the bare column: for that Spark would add a size filter and
+    # compute the array once more below it
+    return _with_flow(lines, institution).select(*keys, F.inline(F.array_compact("_flow")))
+
+
+def list_questions(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per question of a plain numbered list, from :func:`paper_lines`."""
+    return lines.select(*keys, F.inline(_listed(F.col("_rows"), F.col("_parts"))))
 
 
 def minimal_questions(text: Column) -> Column:
@@ -339,41 +332,53 @@ def paper_headers(documents: DataFrame, keys: Sequence[str], text: str = "text")
     )
 
 
+QUESTION = ("question_number", "question_text", "marks", "part_name", "is_or_option")
+
+
+def _good(q) -> Column:
+    return (F.length(q["question_text"]) >= 3) & (q["question_number"] > 0) & q["marks"].isNotNull()
+
+
+def _firsts(questions: str) -> Column:
+    """The first valid question of each (number, alternative flag); numbers are bounded, so pairs are few."""
+    flag = lambda q: F.struct(q["question_number"], q["is_or_option"])
+    return let(F.filter(questions, _good), lambda found: F.transform(
+        F.array_distinct(F.transform(found, flag)), lambda f: F.get(F.filter(found, lambda q: flag(q) == f), F.lit(0))))
+
+
 def paper_questions(
     documents: DataFrame, keys: Sequence[str], text: str = "text",
     model_rows: DataFrame | None = None, institution: str | None = None,
 ) -> DataFrame:
     """One row per question, from the first strategy that yields any per document.
 
-    Order: rows a model already extracted, column flow, numbered list, minimal.
-    Only valid questions are kept, and of each (number, alternative flag) the
-    first. ``institution`` is a pattern for the letterhead line to skip.
+    Order: rows a model already extracted, column flow, numbered list, minimal; a
+    strategy runs only where those before it found nothing. Only valid questions are
+    kept, and of each (number, alternative flag) the first. ``institution`` is a
+    pattern for the letterhead line to skip. All strategies work inside the document's
+    row; only rows of a model are shuffled and joined, where there are any.
     """
     keys = list(keys)
-    lines = paper_lines(documents, keys, text, institution)
-    minimal = documents.select(
-        *keys, F.posexplode(minimal_questions(F.col(text))).alias("line_no", "_q")
-    ).select(*keys, "line_no", "_q.*")
-    tries = [("flow", flow_questions(lines, keys)), ("list", list_questions(lines, keys)),
-             ("minimal", minimal)]
+    papers = documents
     if model_rows is not None:
-        tries.insert(0, ("model", model_rows))
-    rows = None
-    for rank, (name, found) in enumerate(tries):
-        ranked = found.withColumns({"_rank": F.lit(rank), "strategy": F.lit(name)})
-        rows = ranked if rows is None else rows.unionByName(ranked)
-    best = rows.withColumn("_best", F.min("_rank").over(Window.partitionBy(*keys)))
-    good = (F.length("question_text") >= 3) & (F.col("question_number") > 0) & (
-        F.col("marks").isNotNull()
-    )
-    unique = first_per_key(
-        best.filter((F.col("_rank") == F.col("_best")) & good),
-        [*keys, "question_number", "is_or_option"],
-        F.col("line_no"),
-    )
-    return unique.drop("_rank", "_best", "line_no").withColumn(
-        "question_type", compact_type(F.col("question_text"))
+        papers = documents.join(model_rows.select(*keys).distinct(), keys, "left_anti")
+    plain = lambda found: F.transform(found, lambda q: F.struct(*[q[c].alias(c) for c in QUESTION]))
+    named = lambda name, found: F.struct(F.lit(name).alias("strategy"), found.alias("rows"))
+    lines = _with_flow(paper_lines(papers.select(*keys, F.col(text).alias("_text")), [*keys, "_text"], "_text"), institution)
+    later = let(_listed(F.col("_rows"), F.col("_parts")), lambda found: F.when(
+        F.size(found) > 0, named("list", plain(found))).otherwise(named("minimal", minimal_questions(F.col("_text")))))
+    tried = F.when(F.size("_flow") > 0, named("flow", plain(F.col("_flow")))).otherwise(later)
+    rows = (
+        lines.select(*keys, tried.alias("_tried"))
+        .select(*keys, "_tried.strategy", F.col("_tried.rows").alias("_found"))
+        .select(*keys, "strategy", F.inline(_firsts("_found")))
+        .select(*keys, *QUESTION, "strategy")
     )
+    if model_rows is not None:
+        given = first_per_key(model_rows.filter(_good({c: F.col(c) for c in QUESTION})),
+                              [*keys, "question_number", "is_or_option"], F.col("line_no"))
+        rows = given.select(*keys, *QUESTION, F.lit("model").alias("strategy")).unionByName(rows)
+    return rows.withColumn("question_type", compact_type(F.col("question_text")))
 
 
 def paper_totals(questions: DataFrame, headers: DataFrame, keys: Sequence[str]) -> DataFrame:
