@@ -7,14 +7,16 @@ groups' roots are the leaves of a top tree. All hashes take lower-case hex text.
 The tree is built ``STRIDE`` levels at a time: up to ``ARITY ** STRIDE`` consecutive nodes
 meet in one row, which is all a task holds of a group. What is stored are node rows: the
 node, its parent link ``STRIDE`` levels up, the digest there, and the siblings left and
-right of the path between. A Spark recursive query then ascends from every leaf, along
-the links: each step joins the node row, appends the siblings and folds the (possibly
-tampered) hash with them, until the top tree's root. With a stride of one a step is one
-level; longer strides shuffle the growing proofs less often and give the same result.
+right of the way between. A Spark recursive query then ascends from the leaves along the
+links: each step joins the node row, appends the siblings and folds each leaf's (possibly
+tampered) hash with them, until the top tree's root. Leaves of one row have all further
+ancestors in common, so they travel together: each keeps its own hash, the siblings they
+share are carried once, and those below are read off the row in the end. With a stride of
+one a step is one level; longer strides shuffle less and give the same result.
 
 A group's leaves are numbered by a range partitioning over (group, key) and counts of each
-partition, so a group may hold any share of the rows. In the climb only joins with upper
-nodes, some hundredth of the leaves, shuffle, and adaptive execution splits their hot keys.
+partition, so a group may hold any share of the rows. The climb's joins shuffle rows of
+leaves; adaptive execution splits the hot keys near the roots.
 
 A null column is ``-``; null keys come first and are not tampered with; rows with one key
 ascend by digest, so equal rows are interchangeable neighbours. A null group comes first
@@ -94,124 +96,140 @@ def above(nodes: Column) -> Column:
                        lambda i: digest(F.array_join(F.slice(nodes, i * ARITY + 1, ARITY), "")))
 
 
-def climbed(rows: DataFrame, stride: int, carry: list[str]) -> DataFrame:
-    """Node rows of ``stride`` levels at once: (tree, place, size, node, carry) get (block, levels, path, top).
-
-    ``path`` lists the siblings to the left and right of the way up, level by level;
-    ``top`` is the digest that it ends at, node number ``block`` of its level.
-    """
-    wide = ARITY**stride
-    block = F.floor(F.col("place") / wide).alias("block")
-    met = rows.groupBy("tree", block).agg(
+def gathered(rows: DataFrame, stride: int, carry: list[str]) -> DataFrame:
+    """Consecutive nodes under one ancestor in one row: (tree, block, size, nodes); at most ``ARITY ** stride`` of them."""
+    return rows.groupBy("tree", F.floor(F.col("place") / ARITY**stride).alias("block")).agg(
         F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("place", "node", *carry))).alias("nodes"))
+
+
+def with_levels(met: DataFrame, stride: int) -> DataFrame:
+    """Add the digests of every level above ``nodes``: ``level_0`` is theirs, the last has one."""
     met = met.withColumn("levels", levels_up(F.col("size"), stride)).withColumn(
         "level_0", F.transform("nodes", lambda x: hex_of(x["node"])))
     for k in range(stride):
         below = F.col(f"level_{k}")
         met = met.withColumn(f"level_{k + 1}", F.when(F.col("levels") > k, above(below)).otherwise(below))
+    return met
 
-    def siblings(at: Column, k: int) -> Column:
-        """What a parent's other children are, before and after this one."""
+
+def path(at: Column, stride: int) -> Column:
+    """The siblings to the left and right of the way up from node number ``at`` of a row with levels."""
+    def siblings(k: int) -> Column:
         nth = F.floor(at / ARITY**k).cast("int")
         head = (nth - nth % ARITY).cast("int")
         row = F.col(f"level_{k}")
         return F.struct(F.unhex(F.array_join(F.slice(row, head + 1, nth - head), "")).alias("left"),
                         F.unhex(F.array_join(F.slice(row, nth + 2, head + ARITY - nth - 1), "")).alias("right"))
 
-    steps = lambda at: F.slice(F.array(*[siblings(at, k) for k in range(stride)]), 1, F.col("levels"))
-    each = met.select("tree", "block", "size", "levels", F.unhex(F.col(f"level_{stride}")[0]).alias("top"), F.explode(F.transform(
-        "nodes", lambda x: F.struct(x.alias("row"), steps(x["place"] % wide).alias("path")))).alias("x"))
-    return each.select("tree", "block", "size", "levels", "top", "x.row.*", "x.path")
+    return F.slice(F.array(*[siblings(k) for k in range(stride)]), 1, F.col("levels"))
+
+
+def fold(way: Column, start: Column) -> Column:
+    """The digest at the end of the way when it begins with ``start``."""
+    return F.aggregate(way, start, lambda below, p: F.unhex(digest(F.concat(hex_of(p["left"]), hex_of(below), hex_of(p["right"])))))
 
 
-def linked(part: DataFrame, level: int, stride: int, top: bool) -> DataFrame:
-    """Node rows with their parent link: the next stored node of the tree, or the tree's own node in the top tree."""
+def append(way: Column, proof: Column) -> Column:
+    return F.aggregate(way, proof, lambda all_, p: F.concat(all_, p["left"], p["right"]))
+
+
+def linked(met: DataFrame, level: int, stride: int, top: bool) -> DataFrame:
+    """Add the parent link: the next stored node of the tree, or the tree's own node in the top tree."""
     last = F.col("size") <= ARITY**stride
-    return part.withColumn("level", F.lit(level)).withColumns({
+    return met.withColumn("top", F.unhex(F.col(f"level_{stride}")[0])).withColumns({
         "up_tree": F.when(last, F.lit(None if top else TOP)).otherwise(F.col("tree")).cast("long"),
         "up_level": F.when(last, 0).otherwise(level + 1), "up_place": F.when(last, F.col("tree")).otherwise(F.col("block"))})
 
 
-NODE = ("tree", "level", "place", "node", "up_tree", "up_level", "up_place", "path", "top")
+LINK = ("up_tree", "up_level", "up_place", "top")
+NODE = ("tree", "level", "place", "node", *LINK, "path")
 
 
-def grown(rows: DataFrame, stride: int, top: bool, carry: list[str]) -> tuple[list[DataFrame], DataFrame]:
-    """(node rows level by level, roots) of all trees; roots are (tree, node)."""
-    stored, roots, level = [], [], 0
-    while level == 0 or rows.take(1):
-        part = staged(linked(climbed(rows, stride, carry if level == 0 else []), level, stride, top), "nodes")
-        stored.append(part)
-        heads = part.filter(F.col("place") % ARITY**stride == 0)
-        roots.append(heads.filter(F.col("size") <= ARITY**stride).select("tree", F.col("top").alias("node")))
-        rows = heads.filter(F.col("size") > ARITY**stride).select(
-            "tree", F.col("block").alias("place"), F.ceil(F.col("size") / ARITY**stride).alias("size"), F.col("top").alias("node"))
+def split_heads(met: DataFrame, stride: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes of the next stored level, roots of the trees that end here)."""
+    last = F.col("size") <= ARITY**stride
+    return met.filter(~last).select(
+        "tree", F.col("block").alias("place"), F.ceil(F.col("size") / ARITY**stride).alias("size"), F.col("top").alias("node")
+    ), met.filter(last).select("tree", F.col("top").alias("node"))
+
+
+def grown(rows: DataFrame, stride: int, level: int, top: bool) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(node rows, roots), level by level, of all trees from ``level`` on."""
+    stored, roots = [], []
+    while not stored or rows.take(1):
+        met = linked(with_levels(gathered(rows, stride, []), stride), level, stride, top)
+        wide = ARITY**stride
+        each = F.transform("nodes", lambda x: F.struct(x.alias("row"), path(x["place"] % wide, stride).alias("path")))
+        part = staged(met.select("tree", "block", "size", *LINK, F.explode(each).alias("x")).select(
+            "tree", "block", "size", F.lit(level).alias("level"), *LINK, "x.row.*", "x.path"), "nodes")
+        stored.append(part.select(*NODE))
+        rows, ended = split_heads(part.filter(F.col("place") % wide == 0), stride)
+        roots.append(ended)
         level += 1
-    every = roots[0]
-    for more in roots[1:]:
-        every = every.unionByName(more)
-    return stored, every
+    return stored, roots
 
 
-CLIMB = """
-WITH RECURSIVE climb (doc_id, leaf, up_tree, up_level, up_place, folded, proof, top, subroot) AS (
-  SELECT doc_id, node, up_tree, up_level, up_place, {fold_leaf}, {proof_leaf}, top, CAST(NULL AS BINARY) FROM {leaves}
+CLIMB = f"""
+WITH RECURSIVE climb (size, up_tree, up_level, up_place, top, leaves, proof, subroot) AS (
+  SELECT size, up_tree, up_level, up_place, top, leaves, CAST('' AS BINARY), CAST(NULL AS BINARY) FROM {{blocks}}
   UNION ALL
-  SELECT c.doc_id, c.leaf, n.up_tree, n.up_level, n.up_place, {fold_node}, {proof_node}, n.top,
-    coalesce(c.subroot, CASE WHEN n.tree = {top_tree} AND n.level = 0 THEN n.node END)
-  FROM climb c JOIN {nodes} n ON n.tree = c.up_tree AND n.level = c.up_level AND n.place = c.up_place
-) SELECT doc_id, leaf, subroot, top AS root, proof, folded FROM climb WHERE up_tree IS NULL"""
-
-
-def climb_sql() -> str:
-    """The recursive query; {leaves} and {nodes} are left for the tables."""
-    def fold(path: str, start: str) -> str:
-        return (f"aggregate({path}, {start}, (below, p) -> "
-                "unhex(sha2(concat(lower(hex(p.left)), lower(hex(below)), lower(hex(p.right))), 256)))")
-
-    def append(path: str, start: str) -> str:
-        return f"aggregate({path}, {start}, (all, p) -> concat(all, p.left, p.right))"
-
-    return CLIMB.format(
-        fold_leaf=fold("path", "start"), proof_leaf=append("path", "CAST('' AS BINARY)"), top_tree=TOP,
-        fold_node=fold("n.path", "c.folded"), proof_node=append("n.path", "c.proof"), leaves="{leaves}", nodes="{nodes}")
+  SELECT c.size, n.up_tree, n.up_level, n.up_place, n.top,
+    transform(c.leaves, l -> named_struct('doc_id', l.doc_id, 'node', l.node, 'folded',
+      aggregate(n.path, l.folded, (below, p) ->
+        unhex(sha2(concat(lower(hex(p.left)), lower(hex(below)), lower(hex(p.right))), 256))))),
+    aggregate(n.path, c.proof, (all, p) -> concat(all, p.left, p.right)),
+    coalesce(c.subroot, CASE WHEN n.tree = {TOP} AND n.level = 0 THEN n.node END)
+  FROM climb c JOIN {{nodes}} n ON n.tree = c.up_tree AND n.level = c.up_level AND n.place = c.up_place
+) SELECT size, leaves AS nodes, proof, subroot, top AS root FROM climb WHERE up_tree IS NULL"""
 
 
-def climb(leaf_rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def climb(blocks: DataFrame, nodes: DataFrame, stride: int) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof, folded): every leaf's way to the root, as digests.
 
     The session's limits on the rows and depth of a recursive query do not hold for it.
     """
-    spark = leaf_rows.sparkSession
+    spark = blocks.sparkSession
+    start = with_levels(blocks, stride).withColumn("leaves", F.transform("nodes", lambda x, i: F.struct(
+        x["doc_id"].alias("doc_id"), x["node"].alias("node"), fold(path(i, stride), x["start"]).alias("folded"))))
     limits = {k: spark.conf.get(k, None) for k in (ROW_LIMIT, LEVEL_LIMIT)}
     try:
         for k in limits:
             spark.conf.set(k, "-1")
-        return staged(spark.sql(climb_sql(), leaves=leaf_rows, nodes=nodes), "climb")
+        ended = staged(spark.sql(CLIMB, blocks=start.select("size", *LINK, "leaves"), nodes=nodes), "climb")
     finally:
         for k, value in limits.items():
             spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+    own = F.transform("nodes", lambda x, i: F.struct(x.alias("leaf"), append(path(i, stride), F.lit(b"")).alias("own")))
+    return with_levels(ended, stride).select("subroot", "root", "proof", F.explode(own).alias("x")).select(
+        "x.leaf.doc_id", F.col("x.leaf.node").alias("leaf"), "subroot", "root",
+        F.concat("x.own", "proof").alias("proof"), "x.leaf.folded")
 
 
 def manifest(docs: DataFrame, stride: int = STRIDE) -> tuple[DataFrame, DataFrame]:
-    """The tree of a dataset: (leaf rows, upper node rows), each with the link to its ancestor."""
+    """The tree of a dataset: (rows of neighbouring leaves, upper node rows), each with the link to its ancestor."""
     at, runs = ordered(leaves(docs), "source", ["doc_id", "leaf"])
     groups, group_runs = ordered(runs.select(F.col("g").alias("source"), F.lit(0).alias("all")).distinct(), "all", ["source"])
     trees = staged(placed(groups, group_runs, "all").select(
         "source", F.col("place").alias("tree"), F.col("size").alias("trees")), "trees")
     runs = runs.join(trees, F.col("g").eqNullSafe(F.col("source"))).drop("source")
     rows = placed(at, runs, "source").select("tree", "place", "size", F.col("leaf").alias("node"), "doc_id", "start")
-    (first, *upper), roots = grown(rows, stride, False, ["doc_id", "start"])
-    tops, _ = grown(roots.join(trees, "tree").select(
-        F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("place"), F.col("trees").alias("size"), "node"), stride, True, [])
-    nodes = tops[0].select(*NODE)
+    met = with_levels(gathered(rows, stride, ["doc_id", "start"]), stride)
+    blocks = staged(linked(met, 0, stride, False).select("tree", "block", "size", *LINK, "nodes"), "leaf-blocks")
+    heads, ended = split_heads(blocks, stride)
+    upper, roots = grown(heads, stride, 1, False)
+    for more in roots:
+        ended = ended.unionByName(more)
+    tops, _ = grown(ended.join(trees, "tree").select(
+        F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("place"), F.col("trees").alias("size"), "node"), stride, 0, True)
+    nodes = tops[0]
     for part in [*upper, *tops[1:]]:
-        nodes = nodes.unionByName(part.select(*NODE))
-    return first, staged(nodes, "upper-nodes")
+        nodes = nodes.unionByName(part)
+    return blocks, staged(nodes, "upper-nodes")
 
 
 def verify(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
     """Each row's leaf, roots, proof, the root folded from its tampered form, and whether they agree."""
-    proved = climb(*manifest(docs, stride))
+    proved = climb(*manifest(docs, stride), stride)
     return proved.select(
         "doc_id", *[hex_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], digest(hex_of(F.col("proof"))).alias("proof_sha256"),
         hex_of(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
