@@ -4,43 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe import fixed_values as fv
-from gradeframe.functions.text import words
+from gradeframe.functions.text import let, words
 
 
-FIRST_POINT, SURROGATES, LAST_POINT = 0x3400, 0x800, 0x10FFFF
-MOST_WORDS = LAST_POINT - FIRST_POINT - SURROGATES
+#: The first band of a character distance; each further one is twice as wide.
+FIRST_BAND, BANDS = 8, 16
 
 
-def with_word_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """Add ``word_edits`` and ``reference_words``: word-level distance and length.
+def edit_distance(reference: Column, hypothesis: Column) -> Column:
+    """Character distance at a cost of length times distance.
 
-    Every distinct word of the pair is written as one Unicode character, so the
-    built-in character distance counts words. Code points skip the surrogate range.
-    A pair of more than ``MOST_WORDS`` different words has no code point for each, and
-    its ``word_edits`` is null rather than too small.
+    A band around the diagonal gives the exact distance if that is no larger than the
+    band is wide, and says so if not; then twice the width is tried. Texts further apart
+    than the last band are measured in full.
     """
-    carried = pairs.columns
+    def within(band: int) -> Column:
+        return let(F.levenshtein(reference, hypothesis, band), lambda d: F.when(d >= 0, d))
+
+    bands = [within(FIRST_BAND << k) for k in range(BANDS)]
+    return F.coalesce(*bands, F.levenshtein(reference, hypothesis))
 
-    def symbols(tokens: str) -> Column:
-        def symbol(token: Column) -> Column:
-            place = F.array_position(F.col("_known"), token) + FIRST_POINT
-            point = F.when(place < 0xD800, place).otherwise(place + SURROGATES)
-            return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
-        return F.array_join(F.transform(tokens, symbol), "")
+def _word_edits():
+    """A function over two columns of word lists: their distance in words.
+
+    Each word of the reference is one bit; a word of the hypothesis updates the columns
+    of all bits at once, as differences between neighbouring cells, so a pair costs one
+    step a word on numbers as long as the reference has words. Any two words differ or
+    not, hence there is no bound on how many there are.
+    """
+    def distance(a, b) -> int:
+        head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        a, b = a[head:], b[head:]
+        tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+        a, b = a[:len(a) - tail], b[:len(b) - tail]
+        if not a or not b:
+            return len(a) + len(b)
+        places: dict = {}
+        for i, word in enumerate(a):
+            places.setdefault(word, []).append(i)
+        every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+        up, down, edits = every, 0, len(a)
+        for word in b:
+            same = sum(1 << i for i in places.get(word, ()))
+            level = (((same & up) + up) ^ up) | same | down
+            rise, fall = down | (every & ~(level | up)), up & level
+            edits += bool(rise & last) - bool(fall & last)
+            rise, fall = ((rise << 1) | 1) & every, (fall << 1) & every
+            up, down = fall | (every & ~(level | rise)), rise & level
+        return edits
+
+    def measure(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else distance(list(a), list(b))
+                          for a, b in zip(reference, hypothesis)], dtype="Int64")
+
+    return F.pandas_udf(measure, "long")
 
+
+def with_word_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Add ``word_edits`` and ``reference_words``: word-level distance and length."""
+    carried = pairs.columns
     split = pairs.select(
         *carried, words(F.col(reference)).alias("_r"), words(F.col(hypothesis)).alias("_h")
     )
-    return (
-        split.select("*", F.array_distinct(F.concat("_r", "_h")).alias("_known"))
-        .withColumn("_fit", F.size("_known") <= MOST_WORDS)
-        .select(*carried, F.size("_r").alias("reference_words"), F.when(F.col("_fit"), symbols("_r")).alias("_rs"),
-                F.when(F.col("_fit"), symbols("_h")).alias("_hs"))
-        .select(*carried, "reference_words", F.levenshtein("_rs", "_hs").alias("word_edits"))
+    return split.select(
+        *carried, F.size("_r").alias("reference_words"), _word_edits()("_r", "_h").alias("word_edits")
     )
 
 
@@ -49,28 +81,28 @@ def error_rates(
 ) -> DataFrame:
     """Corpus-level character and word error rates: summed edits over summed lengths.
 
-    Pairs whose ``word_edits`` is null are in neither sum of ``wer``; ``n_unmeasured`` counts them.
+    Pairs with a null text count as samples and are in neither sum of ``wer``.
     """
     measured = with_word_edits(pairs.select(*by, reference, hypothesis), reference, hypothesis)
     return measured.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.try_divide(
-            F.sum(F.levenshtein(F.col(reference), F.col(hypothesis))), F.sum(F.length(reference))
+            F.sum(edit_distance(F.col(reference), F.col(hypothesis))), F.sum(F.length(reference))
         ).alias("cer"),
         F.try_divide(F.sum("word_edits"), F.sum(F.when(F.col("word_edits").isNotNull(), F.col("reference_words")))).alias("wer"),
-        F.count_if(F.col("word_edits").isNull()).alias("n_unmeasured"),
     )
 
 
 def character_error_rate(
     pairs: DataFrame, reference: str, hypothesis: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    ref, hyp = F.col(reference), F.col(hypothesis)
-    return pairs.groupBy(*by).agg(
+    measured = pairs.select(
+        *by, edit_distance(F.col(reference), F.col(hypothesis)).alias("edits"), F.length(reference).alias("characters"))
+    return measured.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.sum(F.levenshtein(ref, hyp)).alias("edits"),
-        F.sum(F.length(ref)).alias("characters"),
-        F.try_divide(F.sum(F.levenshtein(ref, hyp)), F.sum(F.length(ref))).alias("cer"),
+        F.sum("edits").alias("edits"),
+        F.sum("characters").alias("characters"),
+        F.try_divide(F.sum("edits"), F.sum("characters")).alias("cer"),
     )
 
 

@@ -206,11 +206,28 @@ def test_word_edits(spark):
     assert [r.word_edits for r in got] == [2, 1, 2, 1]
 
 
-def test_pairs_of_too_many_words_are_in_neither_sum(spark, monkeypatch):
-    monkeypatch.setattr(er, "MOST_WORDS", 3)
-    rows = spark.createDataFrame([("a b", "a c"), ("a b c d", "a b c d")], "r string, h string")
+def test_word_edits_have_no_bound_on_words(spark):
+    """More different words than there are characters to write them with, here as numbers."""
+    n = 1_200_000
+    reference = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")), " ")
+    rows = spark.range(1).select(reference.alias("r")).withColumn("h", F.regexp_replace("r", "^1 2 3 ", "1 3 x "))
+    got = er.with_word_edits(rows, "r", "h").select("word_edits", "reference_words").first()
+    assert (got.word_edits, got.reference_words) == (2, n)
+
+
+def test_null_texts_are_samples_without_word_edits(spark):
+    rows = spark.createDataFrame([("a b", "a c"), (None, "a b"), ("a", None)], "r string, h string")
     got = er.error_rates(rows, "r", "h").first()
-    assert (got.n_samples, got.wer, got.n_unmeasured) == (2, 0.5, 1)
+    assert (got.n_samples, got.wer) == (3, 0.5)
+
+
+def test_banded_distance_equals_the_full_one(spark, monkeypatch):
+    monkeypatch.setattr(er, "FIRST_BAND", 1)
+    monkeypatch.setattr(er, "BANDS", 3)
+    texts = ["", "a", "abcdefgh", "abxdefgh", "hgfedcba", "abcdefghijklmnop", "zzzzzzzzzzzz", "bcdefghi", None]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    got = rows.select(er.edit_distance(F.col("a"), F.col("b")).alias("d"), F.levenshtein("a", "b").alias("want")).collect()
+    assert all(r.d == r.want for r in got)
 
 
 def test_word_edits_equal_brute_force(spark):
