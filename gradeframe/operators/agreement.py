@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from gradeframe import fixed_values as fv
+from gradeframe.functions.text import let
 
 
 def mae(ai: Column, teacher: Column) -> Column:
@@ -20,8 +21,11 @@ def mae(ai: Column, teacher: Column) -> Column:
 
 def pearson(ai: Column, teacher: Column) -> Column:
     """Correlation, 0 when a side is constant, limited to [-1, 1]."""
-    spread_a, spread_t = F.stddev_pop(ai), F.stddev_pop(teacher)
-    r = F.coalesce(F.try_divide(F.covar_pop(ai, teacher), spread_a * spread_t), F.lit(0.0))
+    return correlation(F.stddev_pop(ai), F.stddev_pop(teacher), F.covar_pop(ai, teacher))
+
+
+def correlation(spread_a: Column, spread_t: Column, covariance: Column) -> Column:
+    r = F.coalesce(F.try_divide(covariance, spread_a * spread_t), F.lit(0.0))
     r = F.when(F.isnan(r), F.lit(0.0)).otherwise(r)
     varied = (spread_a > 1e-9) & (spread_t > 1e-9)
     return F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).otherwise(F.lit(0.0))
@@ -58,24 +62,10 @@ def _label_counts(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-#: Up to this many marks the labels are counted one by one, in the aggregate of the other measures.
+#: Up to this many marks a group's pairs of labels are one array, from which its kappa follows.
 MOST_LABELS = 100
 
 
-def kappa_of_labels(ai: Column, teacher: Column, max_marks: float) -> Column:
-    """Linear-weighted kappa as one aggregate expression over counts up to each label."""
-    a, b = F.rint(ai).try_cast("long"), F.rint(teacher).try_cast("long")
-    labels = range(int(max_marks) + 1)
-    ranged = F.coalesce(a.between(0, int(max_marks)) & b.between(0, int(max_marks)), F.lit(False))
-    m = F.count_if(ranged).cast("double")
-    upto = lambda side: [F.count_if(ranged & (side <= k)) for k in labels]
-    crossings = [x * (m - y) + y * (m - x) for x, y in zip(upto(a), upto(b))]
-    expected = F.aggregate(F.array(*crossings), F.lit(0.0), lambda total, x: total + x) / (m * m)
-    observed = F.coalesce(F.sum(F.when(ranged, F.abs(a - b))), F.lit(0)) / m
-    kappa = F.coalesce(1 - F.try_divide(F.when(m > 0, observed), F.when(m > 0, expected)), F.lit(float("nan")))
-    return F.when(m == 0, 0.0).otherwise(kappa)
-
-
 def weighted_kappa(
     df: DataFrame, ai: str, teacher: str, by: Sequence[str] = (), max_marks: float = 10.0
 ) -> DataFrame:
@@ -129,32 +119,91 @@ def plain_kappa(df: DataFrame, a: Column, b: Column, by: Sequence[str] = ()) ->
     return counts.groupBy(*by).agg(kappa.alias("kappa"))
 
 
-def score_summary(
-    df: DataFrame, ai: str, teacher: str, by: Sequence[str] = (), max_marks: float = 10.0
-) -> DataFrame:
-    """All continuous-score measures per group, each rounded to ten decimals, in one pass."""
-    return score_summary_with(df, ai, teacher, by, max_marks, {})
+def score_cells(df: DataFrame, ai: str, teacher: str, by: Sequence[str], max_marks: float,
+                counted: Mapping[str, Column] | None = None) -> DataFrame:
+    """Rows of a group by their pair of labels: a small table with sums and moments of each cell.
+
+    Labels outside 0 to ``max_marks``, and scores that are no numbers, share one cell
+    without labels. ``counted`` adds sums of further columns.
+    """
+    a, t = F.col(ai), F.col(teacher)
+    label_a, label_t = F.rint(a).try_cast("long"), F.rint(t).try_cast("long")
+    ranged = F.coalesce(label_a.between(0, int(max_marks)) & label_t.between(0, int(max_marks)), F.lit(False))
+    gap, both = F.abs(a - t), a.isNotNull() & t.isNotNull()
+    zero = F.lit(0.0)
+    sums = {
+        "gap": gap, "within_1": (gap <= 1.0).cast("double"), "within_05": (gap <= 0.5).cast("double"),
+        "a": a, "t": t, "pair_a": F.when(both, a), "pair_t": F.when(both, t),
+    }
+    counts = {"n_gap": F.count(gap), "n_a": F.count(a), "n_t": F.count(t), "n_pair": F.count(F.when(both, 1))}
+    moments = {  # sums of squares and products around the means of the cell
+        "aa": F.var_pop(a) * F.count(a), "tt": F.var_pop(t) * F.count(t),
+        "at": F.covar_pop(a, t) * F.count(F.when(both, 1)),
+    }
+    rows = df.select("*", F.when(ranged, label_a).alias("_a"), F.when(ranged, label_t).alias("_b"))
+    return rows.groupBy(*by, "_a", "_b").agg(
+        F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(v.cast("double")), zero).alias(k) for k, v in sums.items()],
+        *[v.alias(k) for k, v in counts.items()], *[F.coalesce(v, zero).alias(k) for k, v in moments.items()],
+        *[F.coalesce(F.sum(v.cast("long")), F.lit(0)).alias(k) for k, v in (counted or {}).items()])
+
+
+def _kappa_of_cells(cells: str, max_marks: float) -> Column:
+    """Linear-weighted kappa from an array of (label, label, count), by counts up to each label."""
+    add = lambda value: F.aggregate(cells, F.lit(0).cast("long"), lambda s, x: s + value(x))
+    ranged = lambda x, v: F.when(x["_a"].isNotNull(), v).otherwise(F.lit(0).cast("long"))
+    upto = lambda side, k: add(lambda x: ranged(x, F.when(x[side] <= k, x["n"]).otherwise(0)))
+    m = add(lambda x: ranged(x, x["n"])).cast("double")
+    distance = add(lambda x: ranged(x, x["n"] * F.abs(x["_a"] - x["_b"])))
+
+    def kappa(m: Column) -> Column:
+        crossings = F.transform(F.sequence(F.lit(0), F.lit(int(max_marks))), lambda k: let(
+            F.struct(upto("_a", k).alias("x"), upto("_b", k).alias("y")),
+            lambda u: u["x"] * (m - u["y"]) + u["y"] * (m - u["x"])))
+        expected = F.aggregate(crossings, F.lit(0.0), lambda s, x: s + x) / (m * m)
+        value = F.coalesce(1 - F.try_divide(distance / m, expected), F.lit(float("nan")))
+        return F.when(m == 0, 0.0).otherwise(value)
 
+    return let(m, kappa)
 
-def score_summary_with(
-    df: DataFrame, ai: str, teacher: str, by: Sequence[str], max_marks: float, more: Mapping[str, Column]
+
+def score_summary(
+    df: DataFrame, ai: str, teacher: str, by: Sequence[str] = (), max_marks: float = 10.0,
+    counted: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """The same with further aggregates of the caller's."""
+    """All continuous-score measures per group, each rounded to ten decimals, from one scan.
+
+    Rows are merged to cells, one for each pair of labels, and a group's cells to its
+    measures; means come first, then squares around them, so that no digits cancel.
+    ``counted`` adds sums of further columns.
+    """
     by = list(by)
-    a, t = F.col(ai), F.col(teacher)
     small = int(max_marks) <= MOST_LABELS
-    counted = [F.bround(kappa_of_labels(a, t, max_marks), 10).alias("cohen_kappa")] if small else []
-    stats = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.bround(mae(a, t), 10).alias("mae"),
-        F.bround(pearson(a, t), 10).alias("pearson_r"),
-        F.bround(within(a, t, 1.0), 10).alias("accuracy_within_1"),
-        F.bround(within(a, t, 0.5), 10).alias("accuracy_within_0_5"),
-        F.bround(F.avg(a), 10).alias("mean_ai_score"),
-        F.bround(F.avg(t), 10).alias("mean_teacher_score"),
-        *counted,
-        *[c.alias(name) for name, c in more.items()],
-    )
+    cells = score_cells(df, ai, teacher, by, max_marks if small else MOST_LABELS, counted)
+    sums = [c for c in cells.columns if c not in (*by, "_a", "_b", "aa", "tt", "at")]
+    # a group has as many cells as pairs of labels, and one more
+    kept = [c for c in cells.columns if c not in by]
+    whole = cells.groupBy(*by).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.collect_list(F.struct(*kept)).alias("_cells"))
+    mean = lambda c, n: F.try_divide(F.col(c), F.col(n))
+    means = whole.withColumns({"_ma": mean("a", "n_a"), "_mt": mean("t", "n_t"), "_pa": mean("pair_a", "n_pair"), "_pt": mean("pair_t", "n_pair")})
+
+    def around(n: str, own: Sequence[str], inside: str, centre: Sequence[str]) -> Column:
+        """Sum of products around the group's means from those around the cells' means."""
+        def cell(x: Column) -> Column:
+            off = [x[o] / x[n] - F.col(c) for o, c in zip(own, centre)]
+            return F.when(x[n] > 0, x[inside] + x[n] * off[0] * off[1]).otherwise(0.0)
+
+        return F.try_divide(F.aggregate("_cells", F.lit(0.0), lambda s, x: s + cell(x)), F.col(n))
+
+    spread_a, spread_t = F.sqrt(around("n_a", ("a", "a"), "aa", ("_ma", "_ma"))), F.sqrt(around("n_t", ("t", "t"), "tt", ("_mt", "_mt")))
+    squares = means.withColumns({"_sa": spread_a, "_st": spread_t, "_c": around("n_pair", ("pair_a", "pair_t"), "at", ("_pa", "_pt"))})
+    ten = lambda c, name: F.bround(c, 10).alias(name)
+    kappa = [ten(_kappa_of_cells("_cells", max_marks), "cohen_kappa")] if small else []
+    stats = squares.select(
+        *by, F.col("n").alias("n_samples"), ten(mean("gap", "n_gap"), "mae"),
+        ten(correlation(F.col("_sa"), F.col("_st"), F.col("_c")), "pearson_r"),
+        ten(mean("within_1", "n_gap"), "accuracy_within_1"), ten(mean("within_05", "n_gap"), "accuracy_within_0_5"),
+        ten(F.col("_ma"), "mean_ai_score"), ten(F.col("_mt"), "mean_teacher_score"), *kappa, *(counted or {}))
     if small:
         return stats
     kappa = weighted_kappa(df, ai, teacher, by, max_marks).withColumn(
@@ -199,10 +248,8 @@ def report_by_type(
     a, t = F.col(ai), F.col(teacher)
     is_mcq = F.col(question_type) == "mcq"
     both = df.filter(F.col(question_type).isNotNull()).withColumn("_right", a == t)
-    rows = score_summary_with(both, ai, teacher, [question_type], max_marks, {
-        "_n_right": F.count_if("_right"),
-        "_accuracy": F.bround(F.avg(F.coalesce(F.col("_right"), F.lit(False)).cast("double")), 10),
-    })
+    rows = score_summary(both, ai, teacher, [question_type], max_marks, {"_n_right": F.col("_right")})
+    rows = rows.withColumn("_accuracy", F.bround(F.col("_n_right") / F.col("n_samples"), 10))
     shared = ["n_samples", "mae", "accuracy_within_1"]
     continuous = [c for c in rows.columns if c not in (question_type, *shared, "_n_right", "_accuracy")]
     return rows.select(
