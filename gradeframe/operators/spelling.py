@@ -1,10 +1,11 @@
 """Nearest-word correction against a vocabulary, without comparing all pairs.
 
-Candidates come from equi-joins. Two words within two edits share a string left after
-deleting at most two letters from each; short words are joined on those strings, whose
-number their length bounds. Two edits, swaps included, are at most four plain edits, so
-of five pieces of a word one stays whole and moves by two places at most; long words
-are joined on pieces, so a word gives a fixed number of keys however long it is.
+Candidates come from an equi-join. An edit (insertion, deletion, replacement or swap of
+neighbours) costs each of two words one letter, at most, of what their beginnings have in
+common, also where it pushes a letter over the end of the beginning. So the first letters
+of words within two edits share a string left after deleting at most two of them, and a
+word has a bounded number of keys however long it is. Length and plain distance are
+tested inside the join, so only near pairs leave it.
 """
 
 from __future__ import annotations
@@ -100,41 +101,23 @@ def edit_rank(word: Column, other: Column, distance: Column) -> Column:
     )
 
 
-# Pairs of up to SHORT letters meet on deletions. Longer pairs meet on pieces, which words
-# of LONG letters have: the lengths of a pair differ by two at most, so none is missed.
-SHORT, LONG, PIECES = 17, 16, 5
+#: Letters at the beginning of a word whose deletions are its keys.
+PREFIX = 8
 
 
-def _piece(word: Column, length: Column, i: int, shift: int) -> Column:
-    """Key for piece ``i`` of a word of ``length`` letters, read ``shift`` places further on in ``word``."""
-    low, high = F.floor(length * i / PIECES), F.floor(length * (i + 1) / PIECES)
-    text = F.when(low + shift >= 0, F.substring(word, (low + shift + 1).cast("int"), (high - low).cast("int")))
-    return F.when(F.length(text) == high - low, F.concat_ws(":", length.cast("string"), F.lit(i), text))
-
-
-def own_pieces(word: Column) -> Column:
-    """The five pieces of a word with its length."""
-    return F.array(*[_piece(word, F.length(word), i, 0) for i in range(PIECES)])
-
+def candidate_pairs(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(word, correction, n, _d) for all words that can be within two edits: at most four plain ones."""
+    keys = F.explode(deletions(F.substring("word", 1, PREFIX))).alias("_key")
+    left = unknown.select("word", keys)
+    right = vocab.select(F.col("word").alias("correction"), "n", keys)
+    near = F.abs(F.length("word") - F.length("correction")) <= 2
+    distance = F.levenshtein("word", "correction", MOST_PLAIN_EDITS)
+    met = left.join(right, (left["_key"] == right["_key"]) & near & (distance >= 0))
+    return met.select("word", "correction", "n").distinct().withColumn("_d", distance)
 
-def piece_probes(word: Column) -> Column:
-    """What the pieces of a word two edits away can be."""
-    keys = [_piece(word, F.length(word) + longer, i, shift)
-            for longer in range(-2, 3) for i in range(PIECES) for shift in range(-2, 3)]
-    return F.array_distinct(F.array_compact(F.array(*keys)))
 
-
-def candidate_pairs(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, correction, n) for all words that can be within two edits, and some more."""
-    word, correction = F.col("word"), F.col("word").alias("correction")
-    short, long_ = F.length(word) <= SHORT, F.length(word) >= LONG
-    found = [
-        unknown.filter(short).select(word, F.explode(deletions(word)).alias("_key")).join(
-            vocab.filter(short).select(correction, "n", F.explode(deletions(word)).alias("_key")), "_key"),
-        unknown.filter(long_).select(word, F.explode(piece_probes(word)).alias("_key")).join(
-            vocab.filter(long_).select(correction, "n", F.explode(own_pieces(word)).alias("_key")), "_key"),
-    ]
-    return found[0].unionByName(found[1]).select("word", "correction", "n").distinct()
+#: Two edits, swaps included, are at most so many insertions, deletions and replacements.
+MOST_PLAIN_EDITS = 4
 
 
 def corrections(counts: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -143,9 +126,7 @@ def corrections(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     Fewest edits first, then the most frequent word, then alphabetical order.
     """
     unknown = counts.select("word").join(vocab.select("word"), "word", "left_anti")
-    pairs = candidate_pairs(unknown, vocab)
-    measured = pairs.withColumn("_d", F.levenshtein("word", "correction", 4)).filter("_d >= 0")
-    ranked = measured.withColumn(
+    ranked = candidate_pairs(unknown, vocab).withColumn(
         "edits", edit_rank(F.col("word"), F.col("correction"), F.col("_d"))
     ).filter("edits is not null")
     return ranked.groupBy("word").agg(
@@ -153,27 +134,54 @@ def corrections(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
+#: The most frequent words, which are looked up without a shuffle. Any other is at most
+#: one in so many of all words looked up.
+FREQUENT = 1000
+
+
+def _wanted(text: str) -> Column:
+    """The different correctable words of a text, in lower case."""
+    every = words(F.coalesce(F.col(text), F.lit("")))
+    return F.array_distinct(F.transform(F.filter(every, is_correctable), lambda w: F.lower(letters_of(w))))
+
+
+def frequent_words(wanted: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(word, fix) of the FREQUENT words that most rows have; fix is null where there is none.
+
+    Counts are merged before the shuffle.
+    """
+    top = wanted.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "word").limit(FREQUENT)
+    found = top.join(fixes.select("word", F.col("correction").alias("fix")), "word", "left").select("word", "fix").collect()
+    return wanted.sparkSession.createDataFrame([tuple(r) for r in found], "word string, fix string")  # FREQUENT rows
+
+
+def rare_words(wanted: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The rows of words that are not frequent: what has to be shuffled."""
+    return wanted.join(F.broadcast(frequent), "word", "left_anti")
+
+
 def correct_texts(
     texts: DataFrame, keys: Sequence[str], text: str, fixes: DataFrame
 ) -> DataFrame:
     """Apply corrections word by word, keeping the initial capital and punctuation.
 
     Words are split on white space and joined by single blanks. Only the distinct
-    correctable words of a text meet the corrections; what is found comes back as one
+    correctable words of a text meet the corrections: frequent ones a bounded list that
+    every task has, the others in a shuffle by word. What is found comes back as one
     map for the text and is applied inside its row.
     """
     keys = list(keys)
     every = words(F.coalesce(F.col(text), F.lit("")))
-    plain = lambda w: F.lower(letters_of(w))
-    wanted = F.array_distinct(F.transform(F.filter(every, is_correctable), plain))
-    found = (
-        texts.select(*keys, F.explode(wanted).alias("word")).join(fixes, "word")
-        .groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("_fixes"))
-    )
+    wanted = texts.select(*keys, F.explode(_wanted(text)).alias("word"))
+    frequent = frequent_words(wanted, fixes)
+    common = wanted.join(F.broadcast(frequent.filter("fix is not null")), "word").select(*keys, "word", F.col("fix").alias("correction"))
+    met = common.unionByName(rare_words(wanted, frequent).join(fixes.select("word", "correction"), "word").select(
+        *keys, "word", "correction"))
+    found = met.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("_fixes"))
 
     def fixed(w: Column) -> Column:
-        bare = letters_of(w)
-        new = F.when(is_correctable(w), F.get(F.transform(F.array(plain(w)), lambda k: F.col("_fixes")[k]), F.lit(0)))
+        bare, plain = letters_of(w), F.lower(letters_of(w))
+        new = F.when(is_correctable(w), F.get(F.transform(F.array(plain), lambda k: F.col("_fixes")[k]), F.lit(0)))
         cased = F.when(bare.rlike("^[A-Z]"), F.initcap(new)).otherwise(new)
         return F.when(new.isNull(), w).otherwise(F.replace(w, bare, cased))
 

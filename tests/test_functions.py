@@ -234,6 +234,30 @@ def test_long_words_meet_on_pieces(spark):
     assert set(pairs) <= found
 
 
+def test_beginnings_of_words_within_two_edits_share_a_key(spark, monkeypatch):
+    """Two edits of any kind at and around the end of the beginning, by brute force."""
+    monkeypatch.setattr(spelling, "PREFIX", 3)
+    words = ["abcd", "bacdbc", "abc", "dcbaabcd", "aabb"]
+    pairs = {(w, x) for w in words for o in one_edit(w) for x in one_edit(o) if x}
+    unknown = spark.createDataFrame(sorted({(x,) for _, x in pairs}), "word string")
+    vocab = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    assert pairs <= {(r.correction, r.word) for r in spelling.candidate_pairs(unknown, vocab).collect()}
+
+
+def test_a_word_in_every_text_heats_no_task(spark):
+    texts = spark.range(4000).select(F.col("id").alias("k"), F.concat(
+        F.lit("The algoritm, here "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("zq fine")).alias("text"))
+    fixes = spark.createDataFrame([("algoritm", "algorithm"), ("abcdzq", "abcd"), ("unused", "used")], "word string, correction string")
+    wanted = texts.select("k", F.explode(spelling._wanted("text")).alias("word"))
+    assert wanted.groupBy("word").count().filter("count = 4000").count() == 4
+    rare = spelling.rare_words(wanted, spelling.frequent_words(wanted, fixes))
+    sizes = sorted(r["count"] for r in rare.repartition(16, "word").groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8] and sum(sizes) == 4000 + 4 - spelling.FREQUENT
+    got = {r.k: r.text for r in spelling.correct_texts(texts, ["k"], "text", fixes).collect()}
+    assert len(got) == 4000 and all(t.startswith("The algorithm, here ") for t in got.values())
+    assert got[12] == "The algorithm, here bczq fine" and got[123] == "The algorithm, here bcdzq fine"
+
+
 def test_float_text(spark):
     values = [1.0, -0.5, 12000000.0, 0.0, 123456789.125, 1e15, 1e16, 1.5e-5, 0.0001, 1e22, 3.3333333333333335]
     rows = spark.createDataFrame([(v,) for v in values], "x double")
