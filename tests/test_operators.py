@@ -387,6 +387,23 @@ def test_page_choice_does_not_depend_on_row_order(spark):
     assert both[0] == both[1] and both[0].engine == "google"
 
 
+def test_a_scorer_names_its_failing_rows_in_one_call(spark):
+    """One row in ten fails: as many calls as batches, and every other row keeps its value."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(batch):
+        calls.add(1)
+        bad = batch["id"] % 10 == 3
+        return batch.assign(value=(batch["id"] * 2.0).where(~bad), problem=["bad row" if b else None for b in bad])[["value", "problem"]]
+
+    rows = spark.range(0, 1000, 1, 1).sort("id")
+    got = apply_scorer(rows, scorer, "y").collect()
+    assert calls.value == 1
+    assert all((r.y, r.problem) == ((0.0, "bad row") if r.id % 10 == 3 else (r.id * 2.0, None)) for r in got)
+    short = apply_scorer(spark.range(3).coalesce(1), lambda b: b.assign(value=1.0, problem=None)[["value", "problem"]].iloc[1:], "y").collect()
+    assert {r.problem for r in short} == {"0 results for 1 rows"}
+
+
 def test_failing_rows_are_found_by_halving(spark):
     calls = spark.sparkContext.accumulator(0)
 
