@@ -200,6 +200,7 @@ MARKS_LINE = r"^\(?\s*\d+\s*[xX×]\s*\d+\s*[=]?\s*\d*\s*\)?$"
 OR_LINE = r"(?i)^\s*\(?OR\)?\s*$"
 COURSE_OUTCOME_TAG = r"(?U)\bC[Oo0][0-9]\b"
 OUTCOME_CANDIDATE = r"C[Oo0][0-9]"
+# Alternatives of one pattern, kept as a list because the institution's name is appended to them.
 FLOW_SKIP_WORDS = [
     r"Reg\s*No", r"Q\.?No", r"Questions?", "INSTITUTE", "DEEMED", r"CONTINUOUS\s+ASSESSMENT",
     "Programme", r"Course\s+Code", r"Course\s+Name", "Batch", r"Max\.?\s*Marks", r"Time\s*:",
@@ -263,3 +264,18 @@ UPLOAD_TYPES = {
     ".pdf": "application/pdf", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png",
 }
 UPLOAD_MAX_BYTES = 20 * 1024 * 1024
+
+# Fixed result texts: feedback on objective answers, with the values they name.
+FEEDBACK_UNCLEAR = "unclear"
+FEEDBACK_WRONG = "❌ Incorrect. Detected '%s', correct answer is '%s'."
+FEEDBACK_NO_OPTION = "Correct option not provided for MCQ grading."
+FEEDBACK_NO_TRUTH = "Correct answer (True/False) not provided."
+FEEDBACK_OPTION = "✅ Correct! You selected option %s."
+FEEDBACK_TRUTH = "✅ Correct! The answer is %s."
+FEEDBACK_NUMBER = "✅ Correct numerical answer: %s (expected %s)."
+FEEDBACK_NUMBER_OFF = "❌ Numerical answer %s outside tolerance. Expected %s."
+
+# Fixed result texts: why a request for measures of two score lists is rejected.
+SCORES_NOT_NUMBERS = "Scores must be comma-separated floats."
+SCORES_UNEVEN = "Length mismatch: %d vs %d"
+SCORES_TOO_FEW = "At least 2 score pairs required."

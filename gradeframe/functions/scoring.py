@@ -87,42 +87,18 @@ def outcome_text(
     question_type: Column, correct: Column, detected: Column, expected: Column
 ) -> Column:
     """One line of feedback for an objective grade."""
-    seen = F.coalesce(F.nullif(detected, F.lit("")), F.lit("unclear"))
-    wrong = F.format_string("❌ Incorrect. Detected '%s', correct answer is '%s'.", seen, expected)
+    seen = F.coalesce(F.nullif(detected, F.lit("")), F.lit(fv.FEEDBACK_UNCLEAR))
+    wrong = F.format_string(fv.FEEDBACK_WRONG, seen, expected)
+    is_type = lambda name: question_type == name
+    verdict = lambda right, other: F.when(correct, right).otherwise(other)
     return (
-        F.when(
-            (question_type == "mcq") & expected.isNull(),
-            F.lit("Correct option not provided for MCQ grading."),
-        )
-        .when(
-            (question_type == "true_false") & expected.isNull(),
-            F.lit("Correct answer (True/False) not provided."),
-        )
-        .when(
-            question_type == "mcq",
-            F.when(
-                correct, F.format_string("✅ Correct! You selected option %s.", detected)
-            ).otherwise(wrong),
-        )
-        .when(
-            question_type == "true_false",
-            F.when(correct, F.format_string("✅ Correct! The answer is %s.", expected)).otherwise(
-                wrong
-            ),
-        )
-        .when(
-            question_type == "numerical",
-            F.when(
-                correct,
-                F.format_string(
-                    "✅ Correct numerical answer: %s (expected %s).", detected, expected
-                ),
-            ).otherwise(
-                F.format_string(
-                    "❌ Numerical answer %s outside tolerance. Expected %s.", detected, expected
-                )
-            ),
-        )
+        F.when(is_type("mcq") & expected.isNull(), F.lit(fv.FEEDBACK_NO_OPTION))
+        .when(is_type("true_false") & expected.isNull(), F.lit(fv.FEEDBACK_NO_TRUTH))
+        .when(is_type("mcq"), verdict(F.format_string(fv.FEEDBACK_OPTION, detected), wrong))
+        .when(is_type("true_false"), verdict(F.format_string(fv.FEEDBACK_TRUTH, expected), wrong))
+        .when(is_type("numerical"), verdict(
+            F.format_string(fv.FEEDBACK_NUMBER, detected, expected),
+            F.format_string(fv.FEEDBACK_NUMBER_OFF, detected, expected)))
     )
 
 

@@ -394,12 +394,12 @@ def adhoc_pairs(requests: DataFrame, ai: str = "ai_scores", teacher: str = "teac
     lists = requests.withColumns({"_ai": parsed(ai), "_gt": parsed(teacher)})
     bad_number = F.exists("_ai", lambda v: v.isNull()) | F.exists("_gt", lambda v: v.isNull())
     problem = (
-        F.when(bad_number, F.lit("Scores must be comma-separated floats."))
+        F.when(bad_number, F.lit(fv.SCORES_NOT_NUMBERS))
         .when(
             F.size("_ai") != F.size("_gt"),
-            F.format_string("Length mismatch: %d vs %d", F.size("_ai"), F.size("_gt")),
+            F.format_string(fv.SCORES_UNEVEN, F.size("_ai"), F.size("_gt")),
         )
-        .when(F.size("_ai") < 2, F.lit("At least 2 score pairs required."))
+        .when(F.size("_ai") < 2, F.lit(fv.SCORES_TOO_FEW))
     )
     pairs = F.zip_with("_ai", "_gt", lambda a, g: F.struct(a.alias("ai"), g.alias("teacher")))
     return lists.withColumn("problem", problem).withColumn(

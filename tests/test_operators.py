@@ -66,10 +66,10 @@ def test_option_letters(spark):
 
 
 def test_adhoc_lists(spark):
-    rows = spark.createDataFrame([(1, "7.5,8.0,6.5", "8.0,7.5,7.0"), (2, "1", "1"), (3, "1,2", "1"), (4, "x,1", "1,2")],
+    rows = spark.createDataFrame([(1, "3.25,9,1.5,4", "3,8,2.75,4.5"), (2, "1", "1"), (3, "1,2", "1"), (4, "x,1", "1,2")],
                                  "k int, ai_scores string, teacher_scores string")
     got = {r.k: (r.problem, r.mae) for r in ag.adhoc_report(rows, "k").collect()}
-    assert got[1] == (None, 0.5)
+    assert got[1] == (None, 0.75)
     assert got[2][0].startswith("At least 2") and got[3][0].startswith("Length mismatch: 2 vs 1")
     assert got[4][0].startswith("Scores must be")
 
@@ -299,11 +299,11 @@ def test_booklet_totals_of_nothing_evaluated(spark):
 def test_score_sheet_file(spark, tmp_path):
     (tmp_path / "sheet.csv").write_text(
         'student_id,question,teacher_score,max_marks,student_answer,teacher_answer,ai_score\n'
-        's1,"Q, one",8,10,a,b,7.5\ns2,Q,5,10,a,b,5.2\n'
+        'p7,"Area, exact",3,4,twelve,12,2.75\np9,Unit,1,4,cm,cm2,1.5\np9,"Say ""why""",4,4,x,y,4\n'
     )
     sheet = scored_sheet(read_score_sheet(spark, str(tmp_path / "sheet.csv")))
     got = ag.score_sheet_report(sheet).first()
-    assert got.n == 2 and got.mae == 0.35
+    assert got.n == 3 and got.mae == 0.25
     (tmp_path / "plain.csv").write_text("student_id,question,teacher_score,max_marks,student_answer,teacher_answer\ns1,Q,8,10,abc,b\ns2,Q,8,10,,b\n")
     plain = read_score_sheet(spark, str(tmp_path / "plain.csv"))
     with pytest.raises(ValueError):
