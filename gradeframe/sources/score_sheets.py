@@ -26,8 +26,9 @@ SHEET_SCHEMA = StructType(
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
 
-def read_score_sheet(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, SHEET_SCHEMA)
+def read_score_sheet(spark: SparkSession, path: str, line_ends: bool = True) -> DataFrame:
+    """A sheet by column name; ``line_ends=False`` splits large files, see :func:`read_csv`."""
+    return read_csv(spark, path, SHEET_SCHEMA, line_ends=line_ends)
 
 
 def scored_sheet(sheet: DataFrame, scorer: Scorer | None = None) -> DataFrame:

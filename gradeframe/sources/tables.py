@@ -48,14 +48,17 @@ def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, problems: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType, problems: str | None = None,
+             line_ends: bool = True) -> DataFrame:
     """Read a headed CSV by column name; columns outside ``schema`` are ignored.
 
-    Quoted cells may hold commas, line ends and doubled quotes. ``problems`` names an
-    array column to add, with the columns whose cells could not be cast (these are null).
+    Quoted cells may hold commas, doubled quotes and, with ``line_ends``, line ends. A file
+    whose cells may hold line ends is read by one task; without, large files are split.
+    ``problems`` names an array column to add, with the columns whose cells could not be
+    cast (these are null).
     """
     header = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        spark.read.option("header", True).option("multiLine", line_ends).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
     found = [f for f in schema if f.name in header.columns]

@@ -312,6 +312,19 @@ def test_score_sheet_file(spark, tmp_path):
     assert [(r.ai_score, r.failed) for r in rows] == [(3.0, False), (0.0, True)]
 
 
+def test_large_sheets_are_split_where_cells_hold_no_line_ends(spark, tmp_path):
+    lines = [f'p{i},"Q, {i % 7}",{i % 5},4,"said ""{i}""",t,{i % 5 / 2}' for i in range(4000)]
+    (tmp_path / "sheet.csv").write_text("student_id,question,teacher_score,max_marks,student_answer,teacher_answer,ai_score\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        split, whole = (read_score_sheet(spark, str(tmp_path / "sheet.csv"), line_ends=x) for x in (False, True))
+        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        assert sorted(split.collect()) == sorted(whole.collect()) and split.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_label_files(spark, tmp_path):
     (tmp_path / "words.txt").write_text("# c\n\na01-000u-00-00 ok 154 1 408 768 27 51 AT AB\nx er 1 1 1 1 1 1 AT CD\ny ok 1 1 1 1 1 AB\n")
     words = lb.word_index_labels(lb.read_lines(spark, str(tmp_path / "words.txt")))
