@@ -2,8 +2,9 @@
 
 The vocabulary is one Aho-Corasick automaton, so a url is read once however many
 terms there are. A term counts when neither neighbour is an ASCII letter or digit.
-A strict term weighs as much as the limit; soft terms weigh less, so several
-distinct ones are needed. Repeats of one term count once.
+A strict term weighs as much as the limit; soft terms weigh less, by grades, so two to
+four distinct ones are needed. Repeats of one term count once. The vocabulary is a
+parameter: a mapping, or a table of terms and weights read by ``read_vocabulary``.
 
 Null, or a url without ``://``: host and path are empty, no rule fits, and the
 vocabulary still judges the whole string (null: allowed). Repeated rows are judged
@@ -21,15 +22,22 @@ from pyspark.sql import functions as F
 
 from gradeframe.llm.common import ascii_lower, free_name
 
-LIMIT = 1.0
-VOCABULARY: dict[str, float] = {
-    # strict
-    "porn": 1.0, "xxx": 1.0, "casino": 1.0, "viagra": 1.0, "escort": 1.0, "warez": 1.0,
-    "phishing": 1.0, "malware": 1.0, "spam": 1.0, "torrent": 1.0, "jackpot": 1.0,
-    # soft
-    "free": 0.5, "win": 0.5, "bonus": 0.5, "cheap": 0.5, "adult": 0.5, "bet": 0.5, "farm": 0.5,
-    "prize": 0.5, "loan": 0.5, "click": 0.5, "pills": 0.5, "deal": 0.5, "dating": 0.5, "crack": 0.5,
+LIMIT = 100
+#: Weights in hundredths of what rejects a page. Strict terms reject alone. Soft terms are
+#: graded by how telling they are: one of the strongest and any other are enough, of everyday
+#: words that shops and blogs use as well four are needed.
+STRICT = """porn porno xxx casino viagra cialis escort warez phishing malware spam torrent jackpot
+keygen camgirl hentai milf nsfw ransomware botnet carding poker roulette blackjack sexcam""".split()
+GRADED: dict[int, list[str]] = {
+    75: "bonus gamble freespins wager sexchat upskirt".split(),
+    60: """adult nude erotic fetish gambling betting slots crack cracked serial dating hookup pills
+        pharmacy steroid replica counterfeit payday spyware trojan exploit hack hacked cheats leaked""".split(),
+    40: """bet bets win winner prize lottery loan loans credit debt forex binary crypto bitcoin
+        sexy hot singles girls weed vape farm likes followers unlock bypass nulled mirror proxy""".split(),
+    25: """free cheap deal deals click discount coupon sale offer offers promo buy now best top online
+        download instant cash money rich gift winners limited exclusive guaranteed""".split(),
 }
+VOCABULARY: dict[str, int] = {t: LIMIT for t in STRICT} | {t: w for w, terms in GRADED.items() for t in terms}
 RULES: tuple[tuple[str, str], ...] = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
     ("block", "net/es/"), ("block", "net/fr/"),
@@ -63,7 +71,21 @@ def longest_rule(index: Mapping, host: str, path: str) -> tuple[str, str] | None
     return best
 
 
-def automaton(vocabulary: Mapping[str, float]):
+def read_vocabulary(table: DataFrame, most: int = 100_000) -> dict[str, int]:
+    """A vocabulary from a table of (term, weight), in lower case; of a repeated term the larger weight counts.
+
+    Rows without a term or weight are left out. A table of more than ``most`` terms is an
+    error, since the automaton travels with every task.
+    """
+    rows = table.select(ascii_lower(F.col("term")).alias("term"), F.col("weight").cast("int").alias("weight"))
+    rows = rows.filter("term <> '' and weight is not null").groupBy("term").agg(F.max("weight").alias("weight"))
+    found = {r["term"]: r["weight"] for r in rows.limit(most + 1).collect()}
+    if len(found) > most:
+        raise ValueError(f"the vocabulary has more than {most} terms")
+    return found
+
+
+def automaton(vocabulary: Mapping[str, int]):
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -85,7 +107,7 @@ def terms_in(matcher, url: str) -> set[str]:
 
 def filter_urls(
     pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES,
-    vocabulary: Mapping[str, float] = VOCABULARY, limit: float = LIMIT,
+    vocabulary: Mapping[str, int] = VOCABULARY, limit: int = LIMIT,
 ) -> DataFrame:
     """Add host, path, rule, n_strict, n_soft and verdict to every row.
 
@@ -121,8 +143,8 @@ def filter_urls(
     )
 
 
-def filter_sql(rules: Sequence[tuple[str, str]] = RULES, vocabulary: Mapping[str, float] = VOCABULARY,
-               limit: float = LIMIT) -> str:
+def filter_sql(rules: Sequence[tuple[str, str]] = RULES, vocabulary: Mapping[str, int] = VOCABULARY,
+               limit: int = LIMIT) -> str:
     """The same verdicts over ``pages`` in SQL."""
     def fits(rule: str) -> str:
         host, slash, path = rule.partition("/")

@@ -129,3 +129,30 @@ def test_url_rules_and_vocabulary(spark):
         assert (r.host, r.path, r.rule, r.verdict) == urls[r.url], r.url
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(pages, vocabulary={}).filter(F.col("rule").isNull()).collect()} == {"allow"}
+
+
+def test_url_vocabulary_on_labelled_urls(spark):
+    """Graded weights: strict terms alone, telling ones in pairs, everyday ones only in number."""
+    bad = [
+        "http://x.org/porn/1", "https://best-casino.net/", "http://a.de/viagra", "http://w.org/adult-dating/", "http://g.io/gambling?ref=slots",
+        "https://p.com.org/payday_loan", "http://f.org/free/bonus/win", "http://s.org/cheap-pills-discount", "http://k.org/crack/serial",
+        "http://o.org/free-cash-now-offer", "http://d.org/deal/discount/coupon/sale"]
+    good = [
+        "http://x.org/free-click", "http://bank.org/loan-deal", "http://shop.org/best-offer", "http://w.org/window/cheapest", "http://s.org/adulthood",
+        "http://b.org/betting", "http://n.org/win-win-win-win", "http://t.org/farm/download", "http://e.org/escorted", "http://m.org/money/credit",
+        "http://c.org/crackers/freedom", "", "no url at all"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
+    got = {r.url: r.verdict for r in url_filter.filter_urls(pages, rules=()).collect()}
+    assert {u for u, v in got.items() if v == "block"} == set(bad)
+    assert len(url_filter.VOCABULARY) > 100 and len(set(url_filter.VOCABULARY.values())) == 5
+
+
+def test_url_vocabulary_from_a_table(spark):
+    table = spark.createDataFrame([("Alpha", 60), ("alpha", 50), ("beta", 40), (None, 100), ("", 100), ("gamma", None)], "term string, weight int")
+    vocabulary = url_filter.read_vocabulary(table)
+    assert vocabulary == {"alpha": 60, "beta": 40}
+    pages = spark.createDataFrame([(1, "http://h/alpha/beta"), (2, "http://h/alpha/alpha"), (3, None)], "page_id long, url string")
+    got = {r.page_id: (r.n_strict, r.n_soft, r.verdict) for r in url_filter.filter_urls(pages, rules=(), vocabulary=vocabulary).collect()}
+    assert got == {1: (0, 2, "block"), 2: (0, 1, "allow"), 3: (0, 0, "allow")}
+    with pytest.raises(ValueError):
+        url_filter.read_vocabulary(table, most=1)
