@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written to the
 shared folder and read again as the next stage's docs.
+
+Null, blank and short texts fail the quality rules and go in the first stage. Texts of any
+length are handled whole. Repeated rows pass the first two stages together, where a later
+one loses the lines that an earlier one has, and near-duplicates leave one of them; ties go
+to the smaller id. Extra columns go along to the packing, whatever their names. An empty
+table gives no sequences.
 """
 
 from __future__ import annotations

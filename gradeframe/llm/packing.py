@@ -13,7 +13,8 @@ fill bins of their class again. At most k - 1 pieces of each class are left then
 number that capacity alone bounds, not the input. They are packed in one small group,
 longest first into the fullest sequence with room.
 
-Null and empty texts have only the end token. Repeated ids or rows are packed each on
+Null and empty texts have only the end token. A very long text is encoded as a whole and
+cut into as many pieces as it takes. Repeated ids or rows are packed each on
 its own, an empty table gives an empty result, and columns beyond the id and the text
 are not read.
 """

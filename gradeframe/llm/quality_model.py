@@ -6,8 +6,9 @@ travel as flat arrays; tasks walk all rows of a batch through a tree together. S
 is a scan: no shuffle, whatever the sizes or the sources.
 
 Labels are joined by key; several labels of one key vote, and a tie counts as 1. Keys
-without a label, null keys and null labels are scored but not learned from. Null and
-empty texts have statistics of zero and get a score like any other. Without labels of
+without a label, null keys and null labels are scored but not learned from. Repeated
+rows are scored alike; of a key with several texts the least is learned from. A very long
+text is counted as a slice of its own. Null and empty texts have statistics of zero and get a score like any other. Without labels of
 both kinds every text gets the share of label 1. Extra columns pass through.
 """
 
@@ -93,9 +94,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, key: str, t
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(rows), pa.list_(pa.float64()))], ["y", "x"])
 
-    # at most max_rows keys are broadcast
-    joined = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("chosen")).select("y", text)
-    rows = joined.mapInArrow(count, "y double, x array<double>").limit(4 * max_rows).toArrow()
+    # at most max_rows keys are broadcast, and as many rows come back: of a repeated key the least text counts
+    joined = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("chosen")).groupBy("chosen").agg(
+        F.first("y").alias("y"), F.min(text).alias("text")).select("y", "text")
+    rows = joined.mapInArrow(count, "y double, x array<double>").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(STATISTICS))
     y = rows.column("y").to_numpy()
     order = np.lexsort([*x.T, y])  # not the order in which tasks ended

@@ -12,7 +12,7 @@ on counts by pattern, whose number is bounded by 3 to the number of rules. Weak
 Beta-like pseudo counts keep it defined for any number of documents, also none.
 
 Null and empty texts have no words, fail the base rule and are not kept. Ties and
-repeated rows are judged alike. Extra columns pass through; measurements travel in
+repeated rows are judged alike, and a very long text is measured as a whole. Extra columns pass through; measurements travel in
 one struct whose name is free. Windows of words are compared by 64-bit hashes within
 one text. All work on a text stays in its row, so there is no key to be hot.
 """

@@ -87,8 +87,10 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
         placed = rows.withColumn("leaf", F.substring("address", 1, high)).join(shards, "leaf")
         done.append(placed.filter(F.col("depth") <= high).select(
             *kept, "n_bytes", F.expr("substring(address, 1, depth)").alias("shard"), "depth", "shard_bytes"))
-        if not deeper or high >= 2 * KEY_BITS:
+        if not deeper:
             return reduce(DataFrame.unionAll, done)
+        if high >= 2 * KEY_BITS:
+            raise ValueError(f"rows above the limit agree in all {high} bits; nothing tells them apart")
         rows = staged(placed.filter(F.col("depth") > high).select(*kept, "n_bytes", "address"), "shard-rows")
         low, high = high, min(2 * KEY_BITS, high + 8)
 

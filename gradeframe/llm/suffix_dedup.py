@@ -16,8 +16,8 @@ the windows of such parts are counted one by one over all tasks, which is as exa
 
 Positions are bytes of UTF-8, in the input, not in what is left. Rows that agree in key
 and text repeat each other and lose the same bytes. Null texts count as empty, texts
-under 200 bytes lose nothing, empty tables give empty results, and extra columns pass
-through.
+under 200 bytes lose nothing, texts above ``BLOCK`` are taken in overlapping blocks, empty
+tables give empty results, and extra columns pass through.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ LENGTH, GRAM, SIDE = 200, 32, 84
 #: Positions of a text are taken in blocks of this many bytes, which a place has the bits for.
 BLOCK, PLACE_BITS = 1 << 23, np.uint64(24)
 SHARD_BYTES, HOT_PARTS = 1 << 20, 4096
+SHARDS_PER_TASK = 16
 SEPARATOR = 0
 
 
@@ -209,7 +210,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str, shard_bytes: int = SHAR
     met = staged(parts.join(keys.select("k", "parts"), "k"), "met-parts")
     total = keys.filter(F.col("parts") <= hot_parts).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = 1 + total // shard_bytes
-    some = met.filter(F.col("parts") <= hot_parts).groupBy(F.pmod("k", F.lit(shards)).alias("shard")).applyInPandas(shard_runs, RUNS)
+    # small in bytes but not in work: a fixed number of partitions is not merged at run time
+    tasks = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // SHARDS_PER_TASK))
+    some = met.filter(F.col("parts") <= hot_parts).withColumn("shard", F.pmod("k", F.lit(shards))).repartition(int(tasks), "shard")
+    some = some.groupBy("shard").applyInPandas(shard_runs, RUNS)
     partly = some.unionByName(counted_runs(met.filter(F.col("parts") > hot_parts)))
     whole = contents.filter("m > 1").select("g", "c", F.lit(0).alias("low"), (F.col("n") - 1).cast("int").alias("high"))
     # a stretch that occurs twice repeats as a whole, whatever else its parts share

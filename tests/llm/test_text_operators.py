@@ -203,6 +203,18 @@ def test_repeats_match_plain_python(spark, sizes):
     assert found == reference_repeats(rows)
 
 
+def test_repeats_across_the_blocks_of_a_long_text(spark, monkeypatch):
+    """Blocks of 4,000 bytes: every repeat lies across or beyond an edge of one."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 4_000)
+    passage = prose(60, 50)
+    rows = [(1, prose(61, 640) + passage + prose(62, 900) + passage[5:], "en"), (2, prose(63, 1_250), "en"),
+            (3, prose(64, 20) + passage[:250] + "é" * 3_000, "en"), (4, None, "en"), (5, passage, None), (5, passage, None)]
+    assert len(rows[0][1]) > 8_000 and len(rows[1][1]) > 8_000
+    got = suffix_dedup.remove_repeats(documents(spark, rows))
+    found = sorted(((r.doc_id, r.repeats.n_bytes, r.repeats.n_removed, len(r.repeats.spans), bytes(r.repeats.kept)) for r in got.collect()), key=str)
+    assert found == reference_repeats(rows)
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
 
@@ -237,6 +249,22 @@ def test_pieces_rebuild_every_document(spark):
     assert all(whole[s] == [x for p in own for x in p.ids] for s, own in by_sequence.items())
 
 
+def test_pieces_of_null_and_repeated_keys(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer = tokenizers.Tokenizer.from_file(packing.tokenizer_paths()[0])
+    long = prose(14, 2_000)
+    rows = [(None, prose(3, 50), "en"), (None, None, "en"), (13, long, "en"), (13, long, "en"), (13, prose(5, 9), "en"), (14, "", "en")]
+    got = packing.pack(documents(spark, rows).repartition(3), with_ids=True).collect()
+    want = collections.Counter()
+    for d, text, _ in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        cut = np.cumsum([0, *packing.cuts(len(ids))]).tolist()
+        want.update((d, a, len(ids), tuple(ids[a:b])) for a, b in zip(cut, cut[1:]))
+    assert collections.Counter((p.doc_id, p.start, p.doc_tokens, tuple(p.ids)) for p in got) == want
+    places = [(p.sequence_id, x) for p in got for x in range(p.offset, p.offset + p.length)]
+    assert len(places) == len(set(places)) and max(x for _, x in places) < packing.CAPACITY
+
+
 def test_padding_is_little_on_many_documents(spark):
     rows = [(i, prose(i, 30 + i * 37 % 900), "en") for i in range(300)]
     pieces = packing.pack(clashing(documents(spark, rows).repartition(6), "bin", "slot")).collect()
@@ -269,6 +297,55 @@ def test_classifier_learns_held_out_labels(spark):
     assert all((r.score >= 0.7) == (r.doc_id < 1000) for r in tested)
 
 
+def plain_statistics(text):
+    """The statistics of one text, counted byte by byte and word by word."""
+    data = (text or "").encode()
+    size, out = max(len(data), 1), []
+    out += [sum(x in kind for x in data) / size for kind in quality_model.KINDS.values()]
+    found = [w.encode() for w in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text or "")]
+    n, line = max(len(found), 1), data.count(b"\n") + 1
+    marks = set(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    out += [np.log1p(len(data)), np.log1p(len(found)), sum(map(len, found)) / n, len({w.lower() for w in found}) / n,
+            sum(a == b and b in marks for a, b in zip(data, data[1:])) / size, sum(len(w) > 14 for w in found) / n,
+            np.log1p(size / line), sum(a in b'.!?:;"\'' and b == 10 for a, b in zip(data, data[1:])) / line]
+    return out
+
+
+def plain_score(trees, row):
+    total = trees.start
+    for feature, threshold, value in zip(trees.feature.tolist(), trees.threshold.tolist(), trees.value.tolist()):
+        node = 0
+        for _ in range(trees.depth):
+            node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+        total += value[node]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_classifier_equals_plain_statistics_and_tree_walk(spark):
+    rows = odd_documents() + [(200 + i, t, "en") for i, t in enumerate(
+        ["a,, b!! (c)\n\"d\"\n:", "\x01 tab\tbed | x_y=1\n", "ÀÉ né 123 " * 9, "Extraordinarilylongword. " * 3, "!!!???", "ÄÄ--ää\n.\n"])]
+    rows += [(1000 + i, prose(i, 30) + "." * (i % 7), "en") for i in range(80)] + [(2000 + i, "| ".join(prose(i, 30).split()), "en") for i in range(80)]
+    labels = spark.createDataFrame([(d, int(d < 2000)) for d, _, _ in rows if d and d >= 1000] + [(1001, 0), (1001, 0)], "doc_id long, quality int")
+    docs = documents(spark, rows)
+    x, y = quality_model.training_rows(docs, labels, F.lit(True), "doc_id", "text", "quality", quality_model.MAX_ROWS)
+    share = {d: float(d < 2000 and d != 1001) for d, _, _ in rows if d and d >= 1000}
+    learned = sorted([*plain_statistics(t), share[d]] for d, t, _ in rows if d in share)
+    assert np.allclose(sorted([*r, v] for r, v in zip(x.tolist(), y.tolist())), learned, rtol=1e-12, atol=1e-12)
+    trees = boosting.fit(x, y)
+    assert len(trees.value) and trees.feature.any()
+    got = sorted((str(r.doc_id), r.text or "", round(r.score, 9)) for r in quality_model.score_documents(docs, labels, F.lit(True)).collect())
+    assert got == sorted((str(d), t or "", round(float(plain_score(trees, plain_statistics(t))), 9)) for d, t, _ in rows)
+
+
+def test_repeated_keys_are_learned_from_once(spark):
+    rows = [(i, prose(i, 20), "en") for i in range(30)] + [(3, "zz " * 20, "en")] * 500 + [(3, None, "en")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    x, y = quality_model.training_rows(documents(spark, rows), labels, F.lit(True), "doc_id", "text", "quality", 30)
+    assert len(x) == len(y) == 30
+    plain = sorted(plain_statistics(t) for d, t, _ in rows[:30])
+    assert np.allclose(sorted(x.tolist()), plain)
+
+
 def test_classifier_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_model.score_documents(documents(spark), none, F.lit(True)).select("score").distinct().collect()
@@ -321,6 +398,26 @@ def test_base_spans_match_plain_patterns(spark):
     assert found == want
 
 
+def test_digests_of_the_query_match_plain_patterns(spark, tmp_path):
+    """``op1_pii`` over a folder: counts, digest of the base spans, and the list of all spans."""
+    from gradeframe.llm import checks
+
+    rows = personal()
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = checks.op1_pii(spark, str(tmp_path)).collect()
+    want = []
+    for d, text, _ in rows:
+        spans = {k: [m.span() for m in re.finditer(p, text or "") if allowed(k, m.group())] for k, p in PLAIN.items()}
+        listed = [f"{k}:{a}:{b}" for k, found in spans.items() for a, b in found]
+        want.append((d, *[len(spans[k]) for k in PLAIN], hashlib.sha256(",".join(listed).encode()).hexdigest(), listed))
+    found = [(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got]
+    assert sorted(found, key=str) == sorted((w[:-1] for w in want), key=str)
+    for r in got:
+        every = [x.split(":") for x in r.spans.split(",") if x]
+        assert any(set(w[-1]) <= {":".join(x) for x in every} for w in want if w[:-1] == (r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256))
+        assert [(list(PLAIN).index(k), int(a)) for k, a, _ in every] == sorted((list(PLAIN).index(k), int(a)) for k, a, _ in every)
+
+
 def test_cards_written_digit_by_digit(spark):
     card = "4" + " 1" * 15
     rows = [(1, card, "en"), (2, f"pay {card.replace(' ', '-')} now", "en"), (3, card[:-1] + "2", "en"), (4, f"{card} or 10", "en")]
