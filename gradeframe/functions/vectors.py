@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.rounding import clamp
@@ -38,88 +36,32 @@ def similarity(student_text: Column, teacher_text: Column, a: Column, b: Column)
     return F.when(blank, F.lit(0.0)).otherwise(value)
 
 
-MATCHES = "array<struct<student_sentence:string,best_match_teacher:string,raw:double>>"
-#: Student sentences compared at once, and how far a matrix product may be off the sum in order.
-BLOCK, SLACK = 1024, 1e-9
-
-
-def _matcher():
-    """A function over two columns of (sentence, vector) lists; see :func:`best_matches`."""
-    def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Dot products summed from the first component to the last, as a fold does."""
-        return np.add.accumulate(np.concatenate([np.zeros((len(b), 1)), a * b], axis=1), axis=1)[:, -1]
-
-    def matrix(side: list) -> np.ndarray | None:
-        """The vectors of one side; None if they are not all full and of one length."""
-        vectors = [x and x["vector"] for x in side]
-        if any(v is None for v in vectors) or len({len(v) for v in vectors}) != 1:
-            return None
-        try:
-            return np.array(vectors, np.float64).reshape(len(side), -1)
-        except TypeError:
-            return None
-
-    def plain(a, b) -> float | None:
-        if a is None or b is None or len(a) != len(b) or None in a or None in b:
-            return None
-        total = 0.0
-        for x, y in zip(a, b):
-            total += x * y
-        return total
-
-    def best(student: list, teacher: list) -> list[tuple[int, float | None]]:
-        """(place of the match, score) for each student sentence."""
-        s, t = matrix(student), matrix(teacher)
-        found: list[tuple[int, float | None]] = []
-        if s is None or t is None or s.shape[1] != t.shape[1] or not (np.isfinite(s).all() and np.isfinite(t).all()):
-            for x in student:
-                scores = [plain(x and x["vector"], y and y["vector"]) for y in teacher]
-                # null below all numbers, NaN above, as Spark orders them
-                rank = [(-1, 0.0) if v is None else (1, 0.0) if v != v else (0, v) for v in scores]
-                at = max(range(len(scores)), key=lambda k: (rank[k], -k))
-                found.append((at, scores[at]))
-            return found
-        for start in range(0, len(s), BLOCK):
-            part = s[start:start + BLOCK]
-            near = part @ t.T
-            slack = SLACK * np.maximum(1.0, np.abs(near).max(axis=1, keepdims=True))
-            for row, close in zip(part, near >= near.max(axis=1, keepdims=True) - slack):
-                at = np.flatnonzero(close)  # few: the sums in order decide between them
-                exact = in_order(row, t[at])
-                k = int(exact.argmax())
-                found.append((int(at[k]), float(exact[k])))
-        return found
-
-    def match(student: pa.Array, teacher: pa.Array) -> pa.Array:
-        out = []
-        for given, keys in zip(student, teacher):
-            given, keys = given.as_py(), keys.as_py()
-            if given is None:
-                out.append(None)
-            elif keys is None:
-                out.append([{"student_sentence": x and x["sentence"], "best_match_teacher": None, "raw": None} for x in given])
-            elif not keys or not given:
-                out.append([])
-            else:
-                out.append([
-                    {"student_sentence": x and x["sentence"], "best_match_teacher": keys[at] and keys[at]["sentence"], "raw": score}
-                    for x, (at, score) in zip(given, best(given, keys))])
-        kind = pa.struct([("student_sentence", pa.string()), ("best_match_teacher", pa.string()), ("raw", pa.float64())])
-        return pa.array(out, pa.list_(kind))
-
-    return F.arrow_udf(match, MATCHES)
-
-
 def best_matches(student: Column, teacher: Column) -> Column:
     """For each student sentence the closest teacher sentence.
 
     Both arguments are arrays of ``struct(sentence, vector)`` with vectors of
     length one (see :func:`unit`). The comparison stays inside the row of one
-    answer: no pair is ever emitted. Scores are a matrix product in blocks; where it
-    leaves several close to the best, sums in order decide. Ties go to the earlier
-    teacher sentence.
+    answer: no pair is ever emitted. Ties go to the earlier teacher sentence.
     """
-    return _matcher()(student, teacher)
+    def best(s: Column) -> Column:
+        scored = F.transform(
+            teacher,
+            lambda t, i: F.struct(
+                dot(s["vector"], t["vector"]).alias("score"),
+                (-i).alias("order"),
+                t["sentence"].alias("match"),
+            ),
+        )
+        top = F.array_max(scored)
+        return F.struct(
+            s["sentence"].alias("student_sentence"),
+            top["match"].alias("best_match_teacher"),
+            top["score"].alias("raw"),
+        )
+
+    return F.when(F.size(teacher) == 0, F.slice(F.transform(student, best), 1, 0)).otherwise(
+        F.transform(student, best)
+    )
 
 
 def match_rows(df: DataFrame, keys: Sequence[str], matches: str) -> DataFrame:

@@ -164,31 +164,6 @@ def test_best_match_ties_and_empty_side(spark):
     assert got[1].m == [] and got[1].o == 0.0
 
 
-def test_best_matches_equal_a_fold_over_pairs(spark):
-    """Hundreds of sentences, many ties, and vectors that are short, missing or hold nulls."""
-    rng = random.Random(8)
-    vec = "array<struct<sentence:string,vector:array<double>>>"
-
-    def side(name, n, whole):
-        out = [(f"{name}{i}", [float(rng.randint(-2, 2)) / 3 for _ in range(6)]) for i in range(n)]
-        return out if whole else out + [(f"{name}x", None), (f"{name}y", [1.0]), (f"{name}z", [None] * 6), (None, [0.5] * 6)]
-
-    given = [(0, side("s", 300, True), side("t", 200, True)), (1, side("s", 9, False), side("t", 9, False)),
-             (2, side("s", 5, True), []), (3, [], side("t", 3, True)), (4, None, side("t", 2, True)),
-             (5, side("s", 3, True), [("only", None)]), (6, [("nan", [float("nan")])], [("a", [1.0]), ("b", [2.0])])]
-    rows = spark.createDataFrame(given, f"k int, s {vec}, t {vec}")
-
-    def folded(student, teacher):
-        scored = lambda x: F.transform(teacher, lambda y, i: F.struct(
-            vectors.dot(x["vector"], y["vector"]).alias("score"), (-i).alias("order"), y["sentence"].alias("match")))
-        best = F.transform(student, lambda x: F.struct(x["sentence"], F.array_max(scored(x))["match"], F.array_max(scored(x))["score"]))
-        return F.when(F.size(teacher) == 0, F.slice(best, 1, 0)).otherwise(best)
-
-    got = {r.k: r.m for r in rows.select("k", vectors.best_matches(F.col("s"), F.col("t")).alias("m")).collect()}
-    want = {r.k: r.m for r in rows.select("k", folded(F.col("s"), F.col("t")).alias("m")).collect()}
-    assert repr({k: v and [tuple(x) for x in v] for k, v in got.items()}) == repr({k: v and [tuple(x) for x in v] for k, v in want.items()})
-
-
 def test_scorer_marks_only_failing_rows(spark):
     def scorer(rows):
         if (rows["x"] == 2).any():
