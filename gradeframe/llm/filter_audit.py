@@ -10,11 +10,11 @@ space, case counts):
 * E: the same text as some row with a smaller id, whether that is removed or not
 
 E is a left-semi join with an earlier row on hash, exact text and smaller id. The earlier
-row is the first of its text, merged before the shuffle, so copies are not paired; only
-rows whose hash occurs more than once take part. Their rows and the rows that fail the
-other filters are one union of failures, which adds up to a set of letters for each row,
-and the rows are counted by part and set: at most 32 counts a part, from which all 120
-orders follow.
+row is the first of its text, found by an aggregate that merges copies before the shuffle,
+so copies are not paired, and adaptive execution can split a text that many rows have.
+These rows and those that fail the other filters are one union of failures, which adds up
+to a set of letters for each row, and the rows are counted by part and set: at most 32
+counts a part, from which all 120 orders follow.
 
 Rows without an id fail E never and have no smaller id; ids may repeat, and rows with one
 id and text are counted one by one. Of labels that repeat the larger counts. A null
@@ -50,14 +50,13 @@ def failures(text: Column) -> Column:
             + text.rlike(SIGNS).cast("int") * 8)
 
 
-def repeats(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame) -> DataFrame:
     """The rows (part, doc_id, hash) of texts that a row with a smaller id has too."""
-    often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    copies = docs.join(often, "hash", "left_semi")
-    first = copies.groupBy("hash", "text").agg(F.min("doc_id").alias("first"))
-    first = first.select(F.col("hash").alias("h"), F.col("text").alias("t"), "first")
+    first = docs.groupBy(F.col("hash").alias("h"), F.col("text").alias("t")).agg(
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = staged(first, "firsts")  # a table of its own lets Spark split the other side's hot texts
     same = (F.col("hash") == F.col("h")) & (F.col("text") == F.col("t")) & (F.col("first") < F.col("doc_id"))
-    return copies.join(first, same, "left_semi").select("part", "doc_id", "hash")
+    return docs.join(first, same, "left_semi").select("part", "doc_id", "hash")
 
 
 def combinations(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -67,7 +66,7 @@ def combinations(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     docs = docs.select(F.coalesce(F.col(part), F.lit("")).alias("part"), F.col(key).alias("doc_id"), whole.alias("text"),
                        F.unhex(F.md5(whole.cast("binary"))).alias("hash"))
     rows = staged(docs.select("part", "doc_id", "hash", F.lit(1).alias("n"), failures(F.col("text")).alias("bits")), "judged")
-    copies = repeats(docs, rows).withColumns({"n": F.lit(0), "bits": F.lit(16)})
+    copies = repeats(docs).withColumns({"n": F.lit(0), "bits": F.lit(16)})
     judged = rows.unionByName(copies).groupBy("part", "doc_id", "hash").agg(
         F.sum("n").alias("n"), F.bit_or("bits").alias("failed"))
     marks = labels.groupBy(F.col(key).alias("doc_id")).agg(
@@ -122,7 +121,8 @@ def audit_sql() -> str:
     return rf"""
 WITH f(letter, b) AS (VALUES {letters}),
 d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
 judged AS (
   SELECT d.doc_id, part, (CASE WHEN len(w) < {LEAST_WORDS} THEN 1 ELSE 0 END)
