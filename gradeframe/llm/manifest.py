@@ -207,7 +207,8 @@ def climb(blocks: DataFrame, nodes: DataFrame, stride: int) -> DataFrame:
 
 def manifest(docs: DataFrame, stride: int = STRIDE) -> tuple[DataFrame, DataFrame]:
     """The tree of a dataset: (rows of neighbouring leaves, upper node rows), each with the link to its ancestor."""
-    at, runs = ordered(leaves(docs), "source", ["doc_id", "leaf"])
+    # written first: a range partitioning reads its input twice, and this one is small
+    at, runs = ordered(staged(leaves(docs), "leaves"), "source", ["doc_id", "leaf"])
     groups, group_runs = ordered(runs.select(F.col("g").alias("source"), F.lit(0).alias("all")).distinct(), "all", ["source"])
     trees = staged(placed(groups, group_runs, "all").select(
         "source", F.col("place").alias("tree"), F.col("size").alias("trees")), "trees")
