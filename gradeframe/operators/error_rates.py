@@ -8,34 +8,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe import fixed_values as fv
-from gradeframe.functions.text import let, words
+from gradeframe.functions.text import words
 
 
-#: The first band of a character distance; each further one is twice as wide.
-FIRST_BAND, BANDS = 8, 16
+#: Bytes that the bits of a pair's symbols may take all at once; beyond, only of frequent ones.
+MOST_MASKS = 1 << 26
 
 
-def edit_distance(reference: Column, hypothesis: Column) -> Column:
-    """Character distance at a cost of length times distance.
+def _edits():
+    """A function over two columns of texts, or of word lists: their distance in characters or words.
 
-    A band around the diagonal gives the exact distance if that is no larger than the
-    band is wide, and says so if not; then twice the width is tried. Texts further apart
-    than the last band are measured in full.
-    """
-    def within(band: int) -> Column:
-        return let(F.levenshtein(reference, hypothesis, band), lambda d: F.when(d >= 0, d))
-
-    bands = [within(FIRST_BAND << k) for k in range(BANDS)]
-    return F.coalesce(*bands, F.levenshtein(reference, hypothesis))
-
-
-def _word_edits():
-    """A function over two columns of word lists: their distance in words.
-
-    Each word of the reference is one bit; a word of the hypothesis updates the columns
+    Each symbol of the reference is one bit; a symbol of the hypothesis updates the column
     of all bits at once, as differences between neighbouring cells, so a pair costs one
-    step a word on numbers as long as the reference has words. Any two words differ or
-    not, hence there is no bound on how many there are.
+    step a symbol on numbers as long as the reference. Any two symbols differ or not, so
+    there is no bound on how many there are, and common ends cost next to nothing.
+    Spark's own distance goes cell by cell and knows no word lists.
     """
     def distance(a, b) -> int:
         head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
@@ -45,12 +32,24 @@ def _word_edits():
         if not a or not b:
             return len(a) + len(b)
         places: dict = {}
-        for i, word in enumerate(a):
-            places.setdefault(word, []).append(i)
+        for i, symbol in enumerate(a):
+            places.setdefault(symbol, []).append(i)
+
+        def mask(at: list[int]) -> int:
+            bits = bytearray(at[-1] // 8 + 1)
+            for i in at:
+                bits[i >> 3] |= 1 << (i & 7)
+            return int.from_bytes(bits, "little")
+
+        # few symbols, or those in more than the root of all places: their bits are kept
+        often = 0 if len(places) * len(a) <= 8 * MOST_MASKS else len(a) ** 0.5
+        kept = {symbol: mask(at) for symbol, at in places.items() if len(at) > often}
         every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
         up, down, edits = every, 0, len(a)
-        for word in b:
-            same = sum(1 << i for i in places.get(word, ()))
+        for symbol in b:
+            same = kept.get(symbol)
+            if same is None:
+                same = mask(places[symbol]) if symbol in places else 0
             level = (((same & up) + up) ^ up) | same | down
             rise, fall = down | (every & ~(level | up)), up & level
             edits += bool(rise & last) - bool(fall & last)
@@ -59,12 +58,20 @@ def _word_edits():
         return edits
 
     def measure(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else distance(list(a), list(b))
+        whole = lambda x: x if isinstance(x, str) else list(x)
+        return pd.Series([None if a is None or b is None else distance(whole(a), whole(b))
                           for a, b in zip(reference, hypothesis)], dtype="Int64")
 
     return F.pandas_udf(measure, "long")
 
 
+def with_character_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Add ``character_edits`` and ``reference_characters``; null where a text is null."""
+    return pairs.select(
+        *pairs.columns, _edits()(reference, hypothesis).alias("character_edits"),
+        F.length(reference).alias("reference_characters"))
+
+
 def with_word_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """Add ``word_edits`` and ``reference_words``: word-level distance and length."""
     carried = pairs.columns
@@ -72,7 +79,7 @@ def with_word_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFr
         *carried, words(F.col(reference)).alias("_r"), words(F.col(hypothesis)).alias("_h")
     )
     return split.select(
-        *carried, F.size("_r").alias("reference_words"), _word_edits()("_r", "_h").alias("word_edits")
+        *carried, F.size("_r").alias("reference_words"), _edits()("_r", "_h").alias("word_edits")
     )
 
 
@@ -83,12 +90,11 @@ def error_rates(
 
     Pairs with a null text count as samples and are in neither sum of ``wer``.
     """
-    measured = with_word_edits(pairs.select(*by, reference, hypothesis), reference, hypothesis)
+    measured = with_character_edits(
+        with_word_edits(pairs.select(*by, reference, hypothesis), reference, hypothesis), reference, hypothesis)
     return measured.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.try_divide(
-            F.sum(edit_distance(F.col(reference), F.col(hypothesis))), F.sum(F.length(reference))
-        ).alias("cer"),
+        F.try_divide(F.sum("character_edits"), F.sum("reference_characters")).alias("cer"),
         F.try_divide(F.sum("word_edits"), F.sum(F.when(F.col("word_edits").isNotNull(), F.col("reference_words")))).alias("wer"),
     )
 
@@ -96,13 +102,12 @@ def error_rates(
 def character_error_rate(
     pairs: DataFrame, reference: str, hypothesis: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    measured = pairs.select(
-        *by, edit_distance(F.col(reference), F.col(hypothesis)).alias("edits"), F.length(reference).alias("characters"))
+    measured = with_character_edits(pairs.select(*by, reference, hypothesis), reference, hypothesis)
     return measured.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.sum("edits").alias("edits"),
-        F.sum("characters").alias("characters"),
-        F.try_divide(F.sum("edits"), F.sum("characters")).alias("cer"),
+        F.sum("character_edits").alias("edits"),
+        F.sum("reference_characters").alias("characters"),
+        F.try_divide(F.sum("character_edits"), F.sum("reference_characters")).alias("cer"),
     )
 
 

@@ -221,13 +221,16 @@ def test_null_texts_are_samples_without_word_edits(spark):
     assert (got.n_samples, got.wer) == (3, 0.5)
 
 
-def test_banded_distance_equals_the_full_one(spark, monkeypatch):
-    monkeypatch.setattr(er, "FIRST_BAND", 1)
-    monkeypatch.setattr(er, "BANDS", 3)
-    texts = ["", "a", "abcdefgh", "abxdefgh", "hgfedcba", "abcdefghijklmnop", "zzzzzzzzzzzz", "bcdefghi", None]
+@pytest.mark.parametrize("masks", [er.MOST_MASKS, 0])
+def test_character_edits_equal_the_built_in_distance(spark, monkeypatch, masks):
+    """``masks`` 0: the bits of rare symbols are made when they are met."""
+    monkeypatch.setattr(er, "MOST_MASKS", masks)
+    rng = random.Random(4)
+    texts = ["", "a", "abcdefgh", "abxdefgh", "hgfedcba", "🙂é🙂", "é🙂🙂", None] + [
+        "".join(rng.choice("abé🙂") for _ in range(rng.randint(1, 90))) for _ in range(40)]
     rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
-    got = rows.select(er.edit_distance(F.col("a"), F.col("b")).alias("d"), F.levenshtein("a", "b").alias("want")).collect()
-    assert all(r.d == r.want for r in got)
+    got = er.with_character_edits(rows, "a", "b").select("*", F.levenshtein("a", "b").alias("want")).collect()
+    assert all(r.character_edits == r.want for r in got) and len(got) == len(texts) ** 2
 
 
 def test_word_edits_equal_brute_force(spark):
