@@ -14,14 +14,16 @@ each bucket members are compared with a hub instead of with each other: the one
 the largest share of cells that others have too. Buckets whose members are not all in
 one component are compared again with more hubs, up to all of them, so no link that the
 bands propose is lost to the shortcut, while a large group of copies costs one
-comparison each. Cells that no other text of the larger buckets has bound what two texts
-can share; pairs that this bound puts below the similarity are not formed, which spares
-most comparisons within a family of loosely related texts and none that could succeed. Comparisons count shared cells (32-bit fingerprints,
+comparison each. Two exact bounds keep pairs that cannot be similar enough from being
+formed: cells that no other text of the larger buckets has, and bitmaps of some bits a
+cell, whose differences are differences of the texts. A family of loosely related texts
+thus gives few pairs besides its links. Comparisons count shared cells (32-bit fingerprints,
 wrong in about n * n / 2**32 of them), so a link is a similarity of 0.8 or more; see
 ``BANDS`` for how rarely such a pair meets in no band. Groups are the components of
 the links.
 
-Null texts count as empty; texts without words are grouped only with equal ones.
+Null texts count as empty; texts without words are grouped only with equal ones. A very
+long text is a slice of its own while it is hashed, and its cells are one array in one row.
 Repeated rows and keys are grouped by their text. Null keys are never the name of a
 group unless all its keys are null. Empty tables give empty results. Extra columns
 pass through ``keep_one``.
@@ -47,6 +49,8 @@ K = BANDS * ROWS
 LOWEST_RANK = 2.0**-6
 ROW_BITS = np.uint64(12)
 HUB_GROWTH = 8
+#: Bits of a text's bitmap for each of its cells, before rounding up to a power of two.
+BITS = 4
 
 
 def cells_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +158,35 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, id binary, n int, bands array<long>")
 
 
+def bitmap(cells: np.ndarray) -> np.ndarray:
+    """One bit for each of the cells' names modulo a power of two, BITS or more of them for each cell."""
+    width = max(64, BITS << max(0, len(cells) - 1).bit_length())
+    on = np.zeros(width, bool)
+    on[cells.view(np.uint32) & np.uint32(width - 1)] = True
+    return np.packbits(on, bitorder="little").view(np.int64)
+
+
+def bitmaps(cells: DataFrame) -> DataFrame:
+    """(id, bits) of texts by their cells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [bitmap(np.asarray(x.values, np.int32)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "bits"])
+
+    return cells.select("id", "cells").mapInArrow(run, "id binary, bits array<long>")
+
+
+def differing(a: str, b: str) -> Column:
+    """At least so many cells are in only one of two texts, by their bitmaps; the wider is folded first."""
+    def folded(x: str, other: str) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), F.zip_with(
+            F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))).otherwise(F.col(x))
+
+    apart = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.coalesce(F.bit_count(p.bitwiseXOR(q)), F.lit(0)))
+    return F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+
+
 def fingerprints(docs: DataFrame, text: str) -> DataFrame:
     """(id, cells) of each text; a task gives each id once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,11 +293,16 @@ def grouped_texts(docs: DataFrame, key: str, text: str, similarity: float) -> tu
         more = staged(more, "open-members")
         if not more.take(1):
             break
+        bits = bitmaps(cells.join(more.select("id").distinct(), "id", "left_semi"))
+        more = staged(more.join(bits, "id"), "open-bitmaps")
         part = F.shiftrightunsigned(F.col("r"), 11) * F.lit(2.0**-53) * F.col("m")
         hub = more.filter((part < share) & (part >= tested)).select(
-            "band", F.col("id").alias("a"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("root").alias("hub_root"))
+            "band", F.col("id").alias("a"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("root").alias("hub_root"),
+            F.col("bits").alias("hub_bits"))
+        most_apart = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("hub_n")) + 1e-6
         pairs = more.join(hub, "band").filter(
-            (F.col("root") != F.col("hub_root")) & alike("n", "s", "hub_n", "hub_s")).select("a", F.col("id").alias("b"))
+            (F.col("root") != F.col("hub_root")) & alike("n", "s", "hub_n", "hub_s")
+            & (differing("bits", "hub_bits") <= most_apart)).select("a", F.col("id").alias("b"))
         pairs = staged(ordered(pairs).join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = seen.unionByName(pairs)
         found = staged(links(pairs, cells, similarity), "found")
