@@ -217,3 +217,25 @@ def test_rotations_keep_lengths_and_best_buckets_come_in_order():
     sums = (near[:, :, None] + neighbours.turned(x, 1, 1, 4)[:, None, :]).reshape(20, -1)
     assert (neighbours.best_buckets(x, 1, axes, 9) == np.argsort(-sums, axis=1, kind="stable")[:, :9]).all()
     assert (neighbours.own_bucket(x, 1, axes) == sums.argmax(axis=1)).all()
+
+
+def test_query_over_a_folder_against_brute_force(spark, tmp_path):
+    """``op13_neighbours``: ranks, exact scores and a recall of nine tenths at least."""
+    from gradeframe.llm import checks
+
+    r = np.random.default_rng(11)
+    x = r.normal(size=(3000, 24)).astype(np.float32)
+    x[500:900] = x[7]  # one vector of many rows
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    spark.createDataFrame(rows, VECTORS).repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for row in checks.op13_neighbours(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        a, b = x[row.query_id].astype(np.float64), x[row.vec_id].astype(np.float64)
+        assert row.score == pytest.approx(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)), abs=1e-12)
+        got.setdefault(row.query_id, []).append((-round(row.score, 12), row.vec_id))
+        assert row["rank"] == len(got[row.query_id])
+    want = brute(rows, lambda i: i % 50 == 0)
+    assert set(got) == set(want) and all(len(v) == 5 and v == sorted(v) for v in got.values())
+    met = sum(len({j for _, j in got[q]} & {j for _, j in want[q]}) for q in want)
+    assert met >= 0.95 * 5 * len(want)
+    assert got[500] == want[500]  # copies come first, smaller ids before larger
