@@ -16,11 +16,16 @@ def salted_left_join(
     Each fact row gets a bucket from ``spread_by``; every lookup row is repeated
     once per bucket. Meant for lookups that are unique per key and small next to
     the facts. The result is that of a plain left join.
+
+    The copies come from a join with the bucket numbers, not from ``explode``, whose
+    size estimate stays that of the rows before it: a lookup just small enough to be
+    broadcast would be collected ``buckets`` times over.
     """
     salted = facts.withColumn(
         "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int")
     )
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    numbers = lookup.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("_salt"))
+    copies = lookup.crossJoin(F.broadcast(numbers))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 

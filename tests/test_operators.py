@@ -463,3 +463,19 @@ def test_snapshot_parts_add_up(spark):
     assert show(whole) == show(merged)
     back = ag.added(ag.snapshot_parts(first.unionByName(second)), ag.negated(ag.snapshot_parts(second)))
     assert json.loads(show(ag.snapshot_of(back)).open_ended) == pytest.approx(json.loads(show(ag.snapshot(first)).open_ended))
+
+
+def test_salted_lookup_is_not_broadcast_by_its_size_before_copying(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("name "), "id").alias("name")).write.parquet(f"{tmp_path}/l")
+    lookup = spark.read.parquet(f"{tmp_path}/l")
+    facts = spark.range(9000).select("id", (F.col("id") % 4000).alias("k"))
+    size = int(str(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(4 * size))
+    try:
+        joined = salted_left_join(facts, lookup, ["k"], ["id"])
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.name for r in joined.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: f"name {i % 4000}" if i % 4000 < 3000 else None for i in range(9000)}
