@@ -78,13 +78,12 @@ def _(t: Tables) -> DataFrame:
 
 @check(
     "booklet_totals", "D4 B8 B9",
-    f"""WITH {GRADED}, sums AS (SELECT booklet_id, sum(final_score) AS o, sum(max_marks) AS p, count(*) AS n
-      FROM graded GROUP BY 1)
+    f"""WITH {GRADED}, sums AS (SELECT booklet_id, sum(final_score::DECIMAL(18, 2))::DOUBLE AS o, sum(max_marks) AS p, count(*) AS n
+      FROM graded GROUP BY 1), shares AS (SELECT *, {q.text_round1('100 * o / p')} AS share FROM sums)
     SELECT booklet_id, round_even(o, 2) AS total_obtained, p AS total_possible,
-      coalesce(round_even(100 * o / p, 1), 0.0) AS percentage,
-      CASE WHEN round_even(100 * o / p, 1) >= 60 THEN 'pass' WHEN round_even(100 * o / p, 1) >= 40
-        THEN 'borderline' ELSE 'fail' END AS grade_band,
-      n || ' / ' || n AS progress FROM sums""",
+      coalesce(share, 0.0) AS percentage,
+      CASE WHEN share >= 60 THEN 'pass' WHEN share >= 40 THEN 'borderline' ELSE 'fail' END AS grade_band,
+      n || ' / ' || n AS progress FROM shares""",
 )
 def booklet_totals(t: Tables) -> DataFrame:
     return reports.booklet_totals(graded_conversations(t))

@@ -33,6 +33,17 @@ def exact_round(value: Column, digits: int) -> Column:
     return F.when(is_tie, F.signum(value) * settled).otherwise(F.bround(value, digits))
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that does not depend on the order of the rows.
+
+    Values are added as decimals of ten places; those a decimal cannot hold (nan,
+    infinity, 1e18 and above) as doubles. Null where there is no value.
+    """
+    exact = value.try_cast("decimal(28,10)")
+    whole, rest = F.sum(exact).cast("double"), F.sum(F.when(exact.isNull(), value))
+    return F.coalesce(whole + rest, whole, rest)
+
+
 def percent(part: Column, whole: Column) -> Column:
     """``100 * part / whole`` to one decimal, 0 when the whole is 0 or missing."""
     return F.coalesce(F.bround(F.try_divide(F.lit(100.0) * part, whole), 1), F.lit(0.0))

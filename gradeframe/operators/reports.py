@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.functions.rounding import percent
+from gradeframe.functions.rounding import exact_sum, percent
 from gradeframe.functions.scoring import grade_band
 
 
@@ -54,11 +54,15 @@ def system_stats(results: DataFrame) -> DataFrame:
 
 
 def booklet_totals(graded: DataFrame, key: str = "booklet_id") -> DataFrame:
-    """Obtained and possible marks per booklet over the evaluated rows, with grade band."""
+    """Obtained and possible marks per booklet over the evaluated rows, with grade band.
+
+    Marks are added exactly, so a share half-way between two roundings falls the same way
+    in whatever order the rows come.
+    """
     done = F.col("status") == "evaluated"
     totals = graded.groupBy(key).agg(
-        F.coalesce(F.sum(F.when(done, F.col("final_score"))), F.lit(0.0)).alias("_obtained"),
-        F.coalesce(F.sum(F.when(done, F.col("max_marks"))), F.lit(0.0)).alias("_possible"),
+        F.coalesce(exact_sum(F.when(done, F.col("final_score"))), F.lit(0.0)).alias("_obtained"),
+        F.coalesce(exact_sum(F.when(done, F.col("max_marks"))), F.lit(0.0)).alias("_possible"),
         F.count_if(done).alias("evaluated"),
         F.count(F.lit(1)).alias("pending"),
     )

@@ -3,6 +3,7 @@
 import csv
 import json
 import random
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -479,3 +480,13 @@ def test_salted_lookup_is_not_broadcast_by_its_size_before_copying(spark, tmp_pa
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {i: f"name {i % 4000}" if i % 4000 < 3000 else None for i in range(9000)}
+
+
+def test_booklet_totals_do_not_depend_on_the_order_of_rows(spark):
+    # 100 * 12.9 / 24 is 53.75; in some orders the doubles add up to a little less
+    columns = "booklet_id int, status string, final_score double, max_marks double"
+    rows = [(i, "evaluated", m, 6.0) for i, order in enumerate(permutations([0.74, 1.69, 5.93, 4.54])) for m in order]
+    totals = {tuple(r)[1:] for r in reports.booklet_totals(spark.createDataFrame(rows, columns).coalesce(1)).collect()}
+    assert totals == {(12.9, 24.0, 53.8, "borderline", "4 / 4")}
+    odd = spark.createDataFrame([(1, "evaluated", float("nan"), 6.0), (1, "evaluated", 1.0, 6.0)], columns)
+    assert str(reports.booklet_totals(odd).first().total_obtained) == "nan"
