@@ -87,17 +87,19 @@ def edit_rank(word: Column, other: Column, distance: Column) -> Column:
     """1 or 2 for words one or two edits apart (a swap is one edit), else null.
 
     ``distance`` is their plain edit distance. A swap costs two plain edits, so
-    the swap tests are needed only at distances 2 to 4.
+    the swap tests are needed only at distances 2 to 4. Two swaps that are close
+    together (rhcg, hrgc) can be three plain edits apart.
     """
     near = lambda a, b: F.levenshtein(a, b, 1) >= 0
     swap_and_edit = F.exists(swaps(word), lambda s: near(s, other)) | F.exists(
         swaps(other), lambda s: near(s, word)
     )
+    two_swaps = F.arrays_overlap(swaps(word), swaps(other))
     return (
         F.when(distance <= 1, 1)
         .when(distance == 2, F.when(F.array_contains(swaps(word), other), 1).otherwise(2))
-        .when(distance == 3, F.when(swap_and_edit, 2))
-        .when(distance == 4, F.when(F.arrays_overlap(swaps(word), swaps(other)), 2))
+        .when(distance == 3, F.when(swap_and_edit | two_swaps, 2))
+        .when(distance == 4, F.when(two_swaps, 2))
     )
 
 

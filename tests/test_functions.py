@@ -202,6 +202,14 @@ def test_corrections_equal_brute_force(spark):
     assert {r.word: r.correction for r in spelling.corrections(counts, words).collect()} == expected
 
 
+def test_two_close_swaps_are_two_edits(spark):
+    """Swapped pairs side by side can be three plain edits apart."""
+    counts = spark.createDataFrame([("gylghxxb", 1), ("fnzrhcguq", 1)], "word string, n long")
+    vocab = spark.createDataFrame([("ygglhxxb", 3), ("fnzhrgcuq", 2)], "word string, n long")
+    got = {r.word: r.correction for r in spelling.corrections(counts, vocab).collect()}
+    assert got == {"gylghxxb": "ygglhxxb", "fnzrhcguq": "fnzhrgcuq"}
+
+
 def test_correct_texts_keeps_case_and_marks(spark):
     texts = spark.createDataFrame([(1, "The Algoritm, works NASA x1y  fine."), (2, "")], "k int, text string")
     fixes = spark.createDataFrame([("algoritm", "algorithm")], "word string, correction string")
