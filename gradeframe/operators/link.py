@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeframe.functions.scoring import marks_or_default, type_or_default
 from gradeframe.functions.text import is_blank
 from gradeframe.operators.keyed import first_per_key
-from gradeframe.operators.skew import optional_lookup
+from gradeframe.operators.skew import optional_lookup, split_lookup
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -128,8 +128,7 @@ def apply_question(requests: DataFrame, questions: DataFrame) -> DataFrame:
         F.lit(True).alias("_hit"),
     )
     given = F.when(F.size("rubric") > 0, F.col("rubric"))
-    spread_by = [c for c in requests.columns if c != "rubric"]
-    joined = optional_lookup(requests, side, "exam_question_id", spread_by)
+    joined = split_lookup(requests, side, "exam_question_id")
     filled = {
         "max_marks": F.when(F.col("_hit"), F.col("_marks")).otherwise(F.col("max_marks")),
         "question": F.coalesce(F.nullif(F.col("question"), F.lit("")), F.col("_text")),

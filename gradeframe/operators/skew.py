@@ -36,11 +36,24 @@ def optional_lookup(
 
     Null keys never match but would all be sent to one task; a second join column
     that is 0 for real keys spreads them. The result is that of a plain left join.
+    The lookup's 0 is computed from its key: a plain constant would be folded into a test
+    on the facts' side, and rows would be dealt by the key alone.
     """
     salt = F.when(
         F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int")
     ).otherwise(F.lit(0))
     spread = facts.withColumn("_null_salt", salt)
     return spread.join(
-        lookup.withColumn("_null_salt", F.lit(0)), [key, "_null_salt"], "left"
+        lookup.withColumn("_null_salt", F.pmod(F.xxhash64(key), F.lit(1)).cast("int")), [key, "_null_salt"], "left"
     ).drop("_null_salt")
+
+
+def split_lookup(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that is often null, for facts that are cheap to scan twice.
+
+    Rows without a key are not shuffled, and a lookup that is already dealt by the key
+    is not dealt again. The result is that of a plain left join.
+    """
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in lookup.schema if f.name != key]
+    keyed = facts.filter(F.col(key).isNotNull()).join(lookup, key, "left")
+    return keyed.unionByName(facts.filter(F.col(key).isNull()).select(*facts.columns, *rest))

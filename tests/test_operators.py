@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from gradeframe.operators import agreement as ag, error_rates as er, link, maintain as mt, pages as pg
 from gradeframe.operators import papers as pp, regions as ro, reports, rubric, segment as sg
-from gradeframe.operators.skew import optional_lookup, salted_left_join
+from gradeframe.operators.skew import optional_lookup, salted_left_join, split_lookup
 from gradeframe.plans.scorer import apply_scorer
 from gradeframe.schemas import DEFAULTS, TABLES, schema_of
 from gradeframe.sources import labels as lb, tables as tb
@@ -482,6 +482,24 @@ def test_salted_lookup_is_not_broadcast_by_its_size_before_copying(spark, tmp_pa
     assert got == {i: f"name {i % 4000}" if i % 4000 < 3000 else None for i in range(9000)}
 
 
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    facts = spark.range(0, 8000, 1, 8).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"))
+    lookup = spark.range(8000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    expected = {(i, i if i % 10 == 0 else None, i * 2 if i % 10 == 0 else None) for i in range(8000)}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for joined in (optional_lookup(facts, lookup, "k", ["id"]), split_lookup(facts, lookup, "k")):
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 8000 and max(sizes) <= 1300
+            assert {(r.id, r.k, r.v) for r in joined.collect()} == expected
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_booklet_totals_do_not_depend_on_the_order_of_rows(spark):
     # 100 * 12.9 / 24 is 53.75; in some orders the doubles add up to a little less
     columns = "booklet_id int, status string, final_score double, max_marks double"
