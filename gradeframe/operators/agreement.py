@@ -407,13 +407,20 @@ def adhoc_pairs(requests: DataFrame, ai: str = "ai_scores", teacher: str = "teac
     ).drop("_ai", "_gt")
 
 
-def _row_kappa(pairs: Column, max_marks: float) -> Column:
-    """Weighted kappa of one array of pairs, from the counts of its labels."""
-    labelled = F.filter(
+def _row_labels(pairs: Column, max_marks: float) -> Column:
+    """The labels of one array of pairs, without pairs outside the scale."""
+    return F.filter(
         F.transform(pairs, lambda p: F.struct(
             F.rint(p["ai"]).try_cast("long").alias("a"), F.rint(p["teacher"]).try_cast("long").alias("b"))),
         lambda p: p["a"].between(0, int(max_marks)) & p["b"].between(0, int(max_marks)),
     )
+
+
+def _row_kappa(labelled: Column, max_marks: float) -> Column:
+    """Weighted kappa of one array of labels, from their counts.
+
+    Pass a materialised column: an expression would be evaluated anew for each label.
+    """
     n = F.size(labelled)
     upto = lambda side, edge: F.size(F.filter(labelled, lambda p: p[side] <= edge)) / n
 
@@ -438,6 +445,7 @@ def adhoc_report(
     """
     checked = adhoc_pairs(requests, ai, teacher)
     pairs, n = F.col("pairs"), F.size("pairs")
+    checked = checked.withColumn("_labels", _row_labels(pairs, max_marks))
     mcq = F.coalesce(F.col(question_type) == "mcq", F.lit(False)) if question_type else F.lit(False)
     valid = F.col("problem").isNull()
     total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda x, p: x + f(p))
@@ -461,7 +469,7 @@ def adhoc_report(
         at(valid, share(lambda p: gap(p) <= 1.0)).alias("accuracy_within_1"),
         at(continuous, share(lambda p: gap(p) <= 0.5)).alias("accuracy_within_0_5"),
         at(continuous, F.col("_m.a")).alias("mean_ai_score"), at(continuous, F.col("_m.t")).alias("mean_teacher_score"),
-        at(continuous, _row_kappa(pairs, max_marks)).alias("cohen_kappa"),
+        at(continuous, _row_kappa(F.col("_labels"), max_marks)).alias("cohen_kappa"),
         at(letters, right / n).alias("mcq_accuracy"), F.when(letters, right.cast("long")).alias("mcq_n_correct"),
         F.when(letters, n - right.cast("long")).alias("mcq_n_wrong"),
     )

@@ -500,6 +500,12 @@ def test_rows_without_a_key_do_not_meet_in_one_task(spark):
             spark.conf.set(k, v)
 
 
+def test_labels_of_a_request_are_made_once(spark):
+    rows = spark.createDataFrame([("1,2", "2,2")], "ai_scores string, teacher_scores string").withColumn("k", F.lit(1))
+    plan = ag.adhoc_report(rows.repartition(2), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rint(") == 2
+
+
 def test_booklet_totals_do_not_depend_on_the_order_of_rows(spark):
     # 100 * 12.9 / 24 is 53.75; in some orders the doubles add up to a little less
     columns = "booklet_id int, status string, final_score double, max_marks double"
