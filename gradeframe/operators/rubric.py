@@ -15,9 +15,10 @@ def rubric_coverage(
     ``answers`` holds the key and ``question_type``; ``scores`` holds the key,
     ``criterion``, ``marks`` and ``probability``. Objective types and answers
     without criteria get 0 marks, coverage 0 and no criteria. A criterion listed
-    twice counts twice in the total but is earned once.
+    twice counts twice in the total but is earned once. Scores are dealt by key once, for
+    both aggregations and the join.
     """
-    per_criterion = scores.groupBy(key, "criterion").agg(
+    per_criterion = scores.repartition(key).groupBy(key, "criterion").agg(
         F.sum("marks").alias("_listed"),
         F.max("marks").alias("_marks"),
         F.max("probability").alias("_p"),

@@ -500,6 +500,17 @@ def test_rows_without_a_key_do_not_meet_in_one_task(spark):
             spark.conf.set(k, v)
 
 
+def test_rubric_scores_are_dealt_once(spark):
+    scores = spark.range(3000).select(
+        (F.col("id") % 1000).alias("answer_id"), F.concat(F.lit("c"), F.col("id") % 3).alias("criterion"),
+        F.lit(2.0).alias("marks"), (F.col("id") % 2 / 1.0).alias("probability"))
+    answers = spark.range(1000).select(F.col("id").alias("answer_id"), F.lit("open_ended").alias("question_type"))
+    covered = rubric.rubric_coverage(answers, scores)
+    plan = covered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert covered.agg(F.sum("total_rubric_marks"), F.sum("earned_rubric_marks")).first()[:] == (6000.0, 3000.0)
+
+
 def test_labels_of_a_request_are_made_once(spark):
     rows = spark.createDataFrame([("1,2", "2,2")], "ai_scores string, teacher_scores string").withColumn("k", F.lit(1))
     plan = ag.adhoc_report(rows.repartition(2), "k")._jdf.queryExecution().optimizedPlan().toString()
