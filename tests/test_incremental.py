@@ -122,3 +122,18 @@ def test_metrics_may_be_left_out_for_a_while(spark, tmp_path):
     run(spark, tmp_path, 2, answers(spark, 85, 99, 3))
     row = inc.stored_snapshot(spark, str(tmp_path)).first()
     assert (row.total_evaluated, row.open_ended) == plain_snapshot(spark, tmp_path)
+
+
+def test_batches_do_not_follow_the_files_of_the_table(spark, tmp_path):
+    """The patched turns came in one file a partition of the table, two of them a batch."""
+    from gradeframe.checks import stream_checks
+    from gradeframe.checks.registry import Tables
+
+    rows = spark.range(48).select((F.col("id") % 12).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("said so").alias("text"))
+    rows.repartition(24).write.parquet(f"{tmp_path}/conversations.parquet")
+    table = Tables(spark, str(tmp_path))
+    assert table.conversations.rdd.getNumPartitions() > 6
+    folder = stream_checks._run(table)
+    commits = inc.read_commits(spark, folder).orderBy("batch_id").collect()
+    assert [c.batch_id for c in commits] == [0, 1, 2, 3] and commits[-1].n_current == 48
+    assert sum(c.n_graded for c in commits) == 96
