@@ -391,8 +391,10 @@ def paper_totals(questions: DataFrame, headers: DataFrame, keys: Sequence[str])
         F.sum(F.when(F.col("is_or_option"), 0.0).otherwise(F.col("marks"))).alias("_sum"),
         F.count(F.lit(1)).alias("num_questions"),
     )
-    stated, total = F.col("header.total_marks"), F.coalesce("_sum", F.lit(0.0))
-    return headers.join(summed, list(keys), "left").select(
+    # taken below the join: the patterns of the other header fields are not searched then
+    marks = headers.select(*keys, F.col("header.total_marks").alias("_stated"))
+    stated, total = F.col("_stated"), F.coalesce("_sum", F.lit(0.0))
+    return marks.join(summed, list(keys), "left").select(
         *keys,
         F.coalesce("num_questions", F.lit(0).cast("long")).alias("num_questions"),
         F.coalesce(F.nullif(total, F.lit(0.0)), stated).alias("stored_total"),

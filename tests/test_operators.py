@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gradeframe import fixed_values as fv
 from gradeframe.operators import agreement as ag, error_rates as er, link, maintain as mt, pages as pg
 from gradeframe.operators import papers as pp, regions as ro, reports, rubric, segment as sg
 from gradeframe.operators.skew import optional_lookup, salted_left_join, split_lookup
@@ -124,6 +125,15 @@ def test_paper_fixture(spark):
     assert (total.stored_total, total.reader_total) == (16.0, 50.0)
 
 
+def test_paper_totals_search_no_other_header_fields(spark):
+    papers = docs(spark, PAPER)
+    totals = pp.paper_totals(pp.paper_questions(papers, ["doc_id"]), pp.paper_headers(papers, ["doc_id"]), ["doc_id"])
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    patterns = {field: pattern for pattern, field in fv.HEADER_RULES}
+    assert patterns["total_marks"] in plan
+    assert not [field for field, pattern in patterns.items() if field != "total_marks" and pattern in plan]
+
+
 def test_model_rows_come_first(spark):
     rows = spark.createDataFrame([(0, 0, 5, "From the model", 3.0, "Part-A", False)],
                                  "doc_id int, line_no int, question_number int, question_text string, marks double, part_name string, is_or_option boolean")
