@@ -90,7 +90,7 @@ def rubrics(t: Tables) -> DataFrame:
         F.struct(F.lit(i).alias("id"), F.lit(name).alias("criterion"), F.rint(F.col(col) * by).alias("marks"))
         for i, (name, col, by) in enumerate([("tax", "l_tax", 100), ("discount", "l_discount", 100), ("size", "l_quantity", 1)])
     ])
-    return t.lineitem.select(s.question_id().alias("exam_question_id"), F.inline(rows)).filter("marks > 1")
+    return t.lineitem.select(s.question_id(t).alias("exam_question_id"), F.inline(rows)).filter("marks > 1")
 
 
 RUBRICS = f"""rubrics AS (SELECT * FROM (
@@ -123,8 +123,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     own = F.array(F.struct(F.lit("own").alias("criterion"), F.lit(1.0).alias("marks")))
     requests = t.lineitem.select(
-        s.question_id().alias("request_id"),
-        F.when(F.col("l_returnflag") != "N", s.question_id()).alias("exam_question_id"),
+        s.question_id(t).alias("request_id"),
+        F.when(F.col("l_returnflag") != "N", s.question_id(t)).alias("exam_question_id"),
         F.lit(10.0).alias("max_marks"),
         F.when(F.col("l_tax") > 0.04, "own question").otherwise("").alias("question"),
         F.when(F.col("l_discount") > 0.05, "own key").alias("teacher_answer"),
@@ -200,7 +200,7 @@ def _order_results(t: Tables) -> DataFrame:
     from gradeframe.operators.keyed import first_per_key
 
     rows = t.lineitem.select(
-        F.col("l_orderkey").alias("submission_id"), s.question_id().alias("rid"),
+        F.col("l_orderkey").alias("submission_id"), s.question_id(t).alias("rid"),
         F.lit("mcq").alias("question_type"), F.col("l_quantity").alias("final_score"),
         F.when(F.col("l_returnflag") != "N", F.lit(50.0)).alias("max_marks"),
         (F.col("l_returnflag") == "R").alias("mcq_correct"), F.col("l_linestatus").alias("feedback"),
@@ -281,7 +281,7 @@ def _upsert(t: Tables) -> dict[str, DataFrame]:
         t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey"
     ).select(
         F.concat(F.lit("P"), F.col("l_orderkey").cast("string")).alias("paper_id"),
-        s.question_id().alias("id"), "o_orderstatus",
+        s.question_id(t).alias("id"), "o_orderstatus",
     )
     old = lines.filter("o_orderstatus <> 'P'").select("paper_id", "id")
     new = lines.filter("o_orderstatus <> 'F'").select("paper_id", (-F.col("id")).alias("id"))
@@ -513,7 +513,7 @@ def _(t: Tables) -> DataFrame:
     f"SELECT l_orderkey, l_linenumber, min({q.QUESTION_ID}) AS id FROM lineitem GROUP BY ALL",
 )
 def _(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", s.question_id().alias("id"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", s.question_id(t).alias("id"))
     return mt.first_of_key(rows, ["l_orderkey", "l_linenumber"], F.col("id"))
 
 

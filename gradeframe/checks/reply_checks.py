@@ -186,7 +186,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     row = lambda c, m, p: F.struct(F.lit(c).alias("criterion"), m.cast("double").alias("marks"), p.alias("probability"))
     scores = t.lineitem.select(
-        s.question_id().alias("answer_id"),
+        s.question_id(t).alias("answer_id"),
         F.inline(F.array(
             row("tax", F.col("l_linenumber"), F.col("l_tax") * 10), row("disc", F.lit(2), F.col("l_discount") * 10),
             row("size", F.lit(3), F.col("l_quantity") / 50),
@@ -292,7 +292,7 @@ def _boxes(t: Tables) -> DataFrame:
         F.col("l_orderkey").alias("page_id"), x.alias("x1"), y.alias("y1"),
         (x + F.col("l_quantity") + 1).cast("long").alias("x2"), (y + F.col("l_linenumber") * 6).cast("long").alias("y2"),
         F.when(F.col("l_returnflag") == "A", "Flowchart-1").when(F.col("l_returnflag") == "N", "person").otherwise("a TABLE").alias("label"),
-        (F.col("l_tax") * 10).alias("confidence"), s.question_id().alias("id"),
+        (F.col("l_tax") * 10).alias("confidence"), s.question_id(t).alias("id"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,16 +22,27 @@ def qa_pairs(t: Tables) -> DataFrame:
     return student.join(teacher, ["conv_id", "turn"])
 
 
-def question_id() -> Column:
-    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 200000 + F.col("l_partkey")
-    return (line * 5000 + F.col("l_suppkey")) * 64 + F.col("l_quantity").cast("long")
+@lru_cache(maxsize=1)
+def question_id(t: Tables) -> Column:
+    """Keys and quantity of an order line as one number, the same as in the SQL.
+
+    It is a ``bigint`` as there while all of the table's numbers fit in 64 bits. Order keys
+    above 18 million exceed them; the number is a decimal then, because the SQL's 64-bit
+    product would overflow.
+    """
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rest = (F.col("l_partkey") * 5000 + F.col("l_suppkey")) * 64 + F.col("l_quantity").cast("long")
+    factor = 200000 * 5000 * 64
+    most = t.lineitem.agg(F.max(line).alias("line"), F.max(rest).alias("rest")).first()
+    fits = (most["line"] or 0) * factor + (most["rest"] or 0) < 2**63
+    return line.cast("bigint" if fits else "decimal(20,0)") * factor + rest
 
 
 def questions(t: Tables) -> DataFrame:
     """Order lines as questions of the paper with the order's number."""
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_partkey") % 8 + 1).cast("int"))
     return t.lineitem.select(
-        question_id().alias("id"),
+        question_id(t).alias("id"),
         F.col("l_orderkey").alias("paper_id"),
         F.col("l_linenumber").alias("question_number"),
         (F.col("l_returnflag") == "R").alias("is_or_option"),
@@ -52,12 +64,12 @@ def answers(t: Tables) -> DataFrame:
     """Order lines as answers of the booklet with the order's number."""
     shift = F.when(F.col("l_tax") > 0.07, 1).otherwise(0)
     return t.lineitem.select(
-        question_id().alias("id"),
+        question_id(t).alias("id"),
         F.col("l_orderkey").alias("booklet_id"),
         F.col("l_orderkey").alias("paper_id"),
         (F.col("l_linenumber") + shift).cast("int").alias("question_number"),
         (F.col("l_linestatus") == "F").alias("is_or_option"),
-        F.when(F.col("l_returnflag") == "A", question_id()).alias("exam_question_id"),
+        F.when(F.col("l_returnflag") == "A", question_id(t)).alias("exam_question_id"),
         F.when(F.col("l_quantity") < 3, "  ").otherwise(
             F.concat(F.lit("text "), F.col("l_suppkey").cast("string"))
         ).alias("answer_text"),

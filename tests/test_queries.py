@@ -42,3 +42,18 @@ def test_corrected_texts_of_odd_rows(spark, tmp_path):
     assert compare(got, con.execute(entry.oracle_sql()["corrected_texts"]).df()) is None
     assert sorted(got["text"]) == sorted([
         "Pipeline, pipeline.", "", "", "An pipeline.", "It pipeline.", "Pipeline.", "Pipeline!", "pipeline " * 5999 + "pipeline"])
+
+
+@pytest.mark.parametrize("name", ["upserted_questions", "resolved_questions", "kept_regions"])
+@pytest.mark.parametrize("shift, kind", [(1_000_000, "bigint"), (54_000_000, "decimal(33,0)")])
+def test_question_ids_of_large_order_keys(spark, tmp_path, name, shift, kind):
+    """Ids beyond 64 bits are exact; the same SQL over 128-bit keys gives them too."""
+    con = duckdb.connect()
+    for table, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        file = f"{tmp_path}/{table}.parquet"
+        con.execute(f"COPY (SELECT * REPLACE ({key} + {shift} AS {key}) FROM '{SMALL}/{table}.parquet') TO '{file}'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * REPLACE ({key}::HUGEINT AS {key}) FROM '{file}'")
+    got = QUERIES[name](spark, str(tmp_path))
+    assert dict(got.dtypes)["id"] == kind
+    want = con.execute(f"SELECT id::VARCHAR FROM ({SQL[name]})").fetchall()
+    assert sorted(str(r.id) for r in got.collect()) == sorted(w[0] for w in want)
