@@ -19,7 +19,9 @@ kind are added; base spans always stay.
 Fitting sees counts by feature row, whose number the number of training documents
 bounds; calibration counts by rounded score, of which there are ``SCORE_LEVELS``. The
 trees become one CASE expression each, so scoring stays in generated code.
-Every step works within the row: no shuffle, and no key to be hot.
+Texts are searched once: base spans and candidates are written to the shared folder, and
+fitting, calibration and scoring read them there. Every step works within the row: no
+shuffle of texts or spans, and no key to be hot.
 
 Patterns are written so that a text is read in linear time, with possessive repeats and
 starts only where a run begins; positions are code points. Null and empty texts have no
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm import boosting
-from gradeframe.llm.common import free_name, let, whole_text
+from gradeframe.llm.common import free_name, let, staged, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns, as fixed by the contract; possessive and anchored at the start of a run.
@@ -60,10 +62,11 @@ CANDIDATES = {
     "card": r"(?<![0-9])[0-9]{2,}+(?:[\x20./-]{0,2}+[0-9]{2,}+)*+",
     "phone": r"(?<![0-9A-Za-z+])(?:\+|\(|00)?+[0-9](?:[\x20().\x2F-]{0,2}+[0-9]){6,}+",
 }
-#: A cheap test that must hold before a pattern is tried on a text.
-NEEDS = {"email": "(?i)@|[\\[({]\\x20?at\\x20?[\\])}]|\\x20dot\\x20", "ip": "[0-9A-Fa-f][.:]+[0-9A-Fa-f]", "card": "[0-9][0-9]", "phone": "[0-9]"}
-#: The same for the base patterns; every match of a base pattern implies its test.
-BASE_NEEDS = NEEDS | {"card": r"[0-9][\x20-]?[0-9]"}
+#: Cheap tests, one of which must hold before a pattern is tried on a text; every match implies
+#: one. Each begins with a rare character, so that ordinary text is passed over quickly.
+NEEDS = {"email": ("@", r"(?i)[\[({]\x20?at\x20?[\])}]", r"(?i)\x20dot\x20"), "ip": ("[.:][0-9A-Fa-f:]",), "card": ("[0-9][0-9]",), "phone": ("[0-9]",)}
+#: The same for the base patterns.
+BASE_NEEDS = {"email": ("@",), "ip": (r"\.[0-9]",), "card": (r"[0-9][\x20-]?[0-9]",), "phone": (r"\+[0-9]",)}
 CUES = {"email": "mail|contact|write|@", "ip": "ip|host|server|addr|login", "card": "card|visa|pay|credit|konto|iban",
         "phone": "tel|call|phone|fax|mobil|t.l.f"}
 TRAIN_DOCS, PRECISION, N_TREES, DEPTH = 10_000, 0.95, 16, 3
@@ -99,7 +102,7 @@ FEATURES = ("digits", "length", "groups", "longest", "shortest", "dots", "dashes
             "letters", "strict", "before", "after", "cue", "wide", "dated")
 
 
-def spans_of(text: Column, pattern: str, needs: str) -> Column:
+def spans_of(text: Column, pattern: str, needs: tuple[str, ...]) -> Column:
     """Array of (s, e, v, l, r): start, end, match, and what stands left and right of it.
 
     Matches and the pieces between them come from the same search; starts are running
@@ -127,7 +130,8 @@ def spans_of(text: Column, pattern: str, needs: str) -> Column:
     p = F.lit(pattern)
     empty = F.array().cast("array<struct<s:int,e:int,v:string,l:string,r:string>>")
     pair = F.struct(F.split(text, pattern).alias("p"), F.regexp_extract_all(text, p, F.lit(0)).alias("m"))
-    return F.when(text.rlike(needs), let(pair, lambda b: F.when(F.size(b["m"]) > 0, located(b)).otherwise(empty))).otherwise(empty)
+    worth = reduce(Column.__or__, [text.rlike(x) for x in needs])
+    return F.when(worth, let(pair, lambda b: F.when(F.size(b["m"]) > 0, located(b)).otherwise(empty))).otherwise(empty)
 
 
 def digits(value: Column) -> Column:
@@ -292,17 +296,22 @@ def seed_weights(label: np.ndarray, mass: float) -> np.ndarray:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = TRAIN_DOCS,
           precision: float = PRECISION) -> Model:
     """Fit the trees on part of about ``max_docs`` documents, chosen by a hash of their key; calibrate on the others."""
-    share = min(1.0, max_docs / max(1, docs.count()))
+    into = free_name(docs.select(key), "spans")
+    found = staged(with_spans(docs.select(key, text), text, into).select(key, into), "pii")
+    return train_on(found, into, key, max_docs, precision)
+
+
+def train_on(found: DataFrame, into: str, key: str = "doc_id", max_docs: int = TRAIN_DOCS, precision: float = PRECISION) -> Model:
+    """``train`` on documents whose spans were found before, in the struct ``into``; they are read three times."""
+    share = min(1.0, max_docs / max(1, found.count()))
     chosen = F.shiftrightunsigned(F.xxhash64(key, F.lit("pii")), 11) * F.lit(2.0**-53) < share
     fitted = chosen & (F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(3)) != 0)
-    into = free_name(docs.select(text), "spans")
 
     def counts(part: Column, by: list) -> dict[str, np.ndarray]:
-        found = with_spans(docs.filter(part).select(text), text, into)
-        got = labelled(found, into).groupBy("kind", "y", *by).count().collect()
+        got = labelled(found.filter(part), into).groupBy("kind", "y", *by).count().collect()
         return {kind: np.array(sorted(tuple(r)[1:] for r in got if r["kind"] == kind), np.float64).reshape(-1, len(by) + 2) for kind in KINDS}
 
-    seeds = docs.sparkSession.createDataFrame(
+    seeds = found.sparkSession.createDataFrame(
         [(k, y, t) for (k, y), texts in SEEDS.items() for t in texts], "kind string, y boolean, t string")
     seeds = with_spans(seeds, "t", "spans")
     examples = reduce(DataFrame.unionAll, [
@@ -331,10 +340,15 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", into: s
     """Add the struct ``into``: for each kind ``base`` spans and ``all`` spans, as (s, e) in code points.
 
     The end is exclusive. ``carry`` names the columns to return beside it; all by default.
+    Without a model one is trained on these documents; the carried columns are then written
+    to the shared folder beside the spans, so that no text is searched twice.
     """
-    model = model or train(docs, key, text)
     carried = docs.columns if carry is None else carry
-    found = with_spans(docs, text, into).select(*carried, into)
+    found = with_spans(docs, text, into)
+    if model is None:
+        found = staged(found.select(*dict.fromkeys([*carried, key]), into), "pii")
+        model = train_on(found, into, key)
+    found = found.select(*carried, into)
 
     def chosen(kind: str, base: Column, candidates: Column) -> Column:
         scored = F.filter(candidates, lambda c: ~overlaps(c, base) & let(features(kind, c), lambda x: expression(

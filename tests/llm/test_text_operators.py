@@ -462,6 +462,34 @@ def test_forms_more_frequent_than_base_spans_are_added(spark):
     assert added == {(0, "phone"): n // 8, (1, "phone"): n // 8, (2, "email"): n // 8, (3, "card"): n // 8}
 
 
+def test_texts_are_searched_once(spark):
+    """Fitting, calibration and scoring read the spans; whole texts are taken by one scan."""
+    taken = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        taken.add(1)
+        return text
+
+    rows = personal() + [(500 + i, f"{prose(i, 9)} a{i}.b@mail.example.com +1 ({200 + i}) 555-{1000 + i}", "en") for i in range(40)]
+    docs = documents(spark, rows).withColumn("text", F.udf(counted, "string").asNondeterministic()("text"))
+    found = pii.find_spans(docs)
+    assert found.count() == len(rows) and sum(len(r.pii.email) for r in found.collect()) > 40
+    assert taken.value == len(rows)
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_spans_pass_the_cheap_tests(spark, kind):
+    """The tests before a pattern leave out no match of it."""
+    rows = personal() + [(900 + i, t, "en") for i, t in enumerate([
+        "max{at}mail{dot}net", "bob AT mail DOT org", "jo (At) x", "a::b::c::d", "ab:cd:ef:01", "1:2:3:4", "12.13.14.15", "11", "1-1", "+1-", "+12", "(0301234567"])]
+    rows += [(1000 + i, t, "en") for i, t in enumerate(t for texts in pii.SEEDS.values() for t in texts)]
+    frame = documents(spark, rows)
+    for pattern, needs in ((pii.BASE[kind], pii.BASE_NEEDS[kind]), (pii.CANDIDATES[kind], pii.NEEDS[kind])):
+        found = [pii.spans_of(pii.whole_text(), pattern, n).alias(x) for x, n in (("tested", needs), ("always", ("",)))]
+        got = frame.select(*found).collect()
+        assert any(r.always for r in got) and all(r.tested == r.always for r in got)
+
+
 def test_personal_data_in_nothing(spark):
     empty = documents(spark, [])
     assert pii.find_spans(empty).count() == 0
