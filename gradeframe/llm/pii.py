@@ -62,11 +62,6 @@ CANDIDATES = {
     "card": r"(?<![0-9])[0-9]{2,}+(?:[\x20./-]{0,2}+[0-9]{2,}+)*+",
     "phone": r"(?<![0-9A-Za-z+])(?:\+|\(|00)?+[0-9](?:[\x20().\x2F-]{0,2}+[0-9]){6,}+",
 }
-#: Cheap tests, one of which must hold before a pattern is tried on a text; every match implies
-#: one. Each begins with a rare character, so that ordinary text is passed over quickly.
-NEEDS = {"email": ("@", r"(?i)[\[({]\x20?at\x20?[\])}]", r"(?i)\x20dot\x20"), "ip": ("[.:][0-9A-Fa-f:]",), "card": ("[0-9][0-9]",), "phone": ("[0-9]",)}
-#: The same for the base patterns.
-BASE_NEEDS = {"email": ("@",), "ip": (r"\.[0-9]",), "card": (r"[0-9][\x20-]?[0-9]",), "phone": (r"\+[0-9]",)}
 CUES = {"email": "mail|contact|write|@", "ip": "ip|host|server|addr|login", "card": "card|visa|pay|credit|konto|iban",
         "phone": "tel|call|phone|fax|mobil|t.l.f"}
 TRAIN_DOCS, PRECISION, N_TREES, DEPTH = 10_000, 0.95, 16, 3
@@ -102,9 +97,29 @@ FEATURES = ("digits", "length", "groups", "longest", "shortest", "dots", "dashes
             "letters", "strict", "before", "after", "cue", "wide", "dated")
 
 
-def spans_of(text: Column, pattern: str, needs: tuple[str, ...]) -> Column:
+def worth_searching(text: Column, numeric: Column) -> dict[str, tuple[Column, Column]]:
+    """For each kind, whether valid base spans and candidates can occur: tests that each of them passes.
+
+    ``numeric`` says whether the text has a digit. Patterns decode the whole text, ``contains``
+    does not and comes first; the patterns begin with a rare character and pass over the rest.
+    """
+    at = text.contains("@")
+    bracket = text.contains("(") | text.contains("[") | text.contains("{")
+    return {
+        "email": (at, at | (bracket & text.rlike(r"(?i)[\[({]\x20?at\x20?[\])}]")) | text.rlike(r"(?i)\x20dot\x20")),
+        "ip": (numeric & text.rlike(r"\.[0-9]++\.[0-9]++\.[0-9]"),
+               (numeric & text.rlike(r"\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"))
+               | (text.contains(":") & text.rlike(":[0-9A-Fa-f]{1,4}:{1,2}[0-9A-Fa-f]{1,4}:"))),
+        "card": (numeric & text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), numeric & text.rlike("[0-9][0-9]")),
+        "phone": (numeric & text.contains("+"), numeric & text.rlike(r"[0-9](?:[\x20().\x2F-]{0,2}[0-9]){6}")),
+    }
+
+
+def spans_of(text: Column, pattern: str, worth: Column) -> Column:
     """Array of (s, e, v, l, r): start, end, match, and what stands left and right of it.
 
+    Texts that are not ``worth`` searching have none.
+
     Matches and the pieces between them come from the same search; starts are running
     sums of their lengths, in blocks so that long texts stay cheap.
     """
@@ -130,7 +145,6 @@ def spans_of(text: Column, pattern: str, needs: tuple[str, ...]) -> Column:
     p = F.lit(pattern)
     empty = F.array().cast("array<struct<s:int,e:int,v:string,l:string,r:string>>")
     pair = F.struct(F.split(text, pattern).alias("p"), F.regexp_extract_all(text, p, F.lit(0)).alias("m"))
-    worth = reduce(Column.__or__, [text.rlike(x) for x in needs])
     return F.when(worth, let(pair, lambda b: F.when(F.size(b["m"]) > 0, located(b)).otherwise(empty))).otherwise(empty)
 
 
@@ -189,12 +203,16 @@ def features(kind: str, span: Column) -> Column:
 def with_spans(docs: DataFrame, text: str, into: str) -> DataFrame:
     """Add the struct ``into``: for each kind the valid base spans and the candidates."""
     whole = whole_text(text)
-    fields = []
-    for kind in KINDS:
-        base = F.filter(spans_of(whole, BASE[kind], BASE_NEEDS[kind]), is_valid(kind))
-        fields += [F.transform(base, lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"))).alias(kind),
-                   spans_of(whole, CANDIDATES[kind], NEEDS[kind]).alias(f"{kind}_c")]
-    return docs.withColumn(into, F.struct(*fields))
+
+    def found(numeric: Column) -> Column:
+        fields = []
+        for kind, (base_worth, worth) in worth_searching(whole, numeric).items():
+            base = F.filter(spans_of(whole, BASE[kind], base_worth), is_valid(kind))
+            fields += [F.transform(base, lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"))).alias(kind),
+                       spans_of(whole, CANDIDATES[kind], worth).alias(f"{kind}_c")]
+        return F.struct(*fields)
+
+    return docs.withColumn(into, let(whole.rlike("[0-9]"), found))
 
 
 def overlaps(span: Column, others: Column) -> Column:
@@ -268,23 +286,23 @@ def impossible(kind: str, v: Column, elsewhere: Column) -> Column:
     }[kind]
 
 
-def labelled(found: DataFrame, into: str) -> DataFrame:
-    """(kind, y, features): rewritten base spans, and candidates that cannot be of their kind."""
+def labelled(found: DataFrame, into: str, fitted: Column) -> DataFrame:
+    """(fitted, kind, y, features): rewritten base spans, and candidates that cannot be of their kind."""
     others = {"card": ("ip", "phone"), "phone": ("ip", "card")}
     rows = []
     for kind in KINDS:
         spans = lambda k: F.col(f"{into}.{k}")
-        c = found.select(spans(kind).alias("base"), F.flatten(F.array(*[spans(k) for k in others.get(kind, ())])).alias("others")
+        c = found.select(fitted.alias("fitted"), spans(kind).alias("base"), F.flatten(F.array(*[spans(k) for k in others.get(kind, ())])).alias("others")
                          if kind in others else F.slice(spans(kind), 1, 0).alias("others"), F.explode(f"{into}.{kind}_c").alias("c"))
         same = F.exists("base", lambda o: (o["s"] == F.col("c.s")) & (o["e"] == F.col("c.e")))
         wrong = ~overlaps(F.col("c"), F.col("base")) & F.coalesce(
             impossible(kind, F.col("c.v"), overlaps(F.col("c"), F.col("others"))), F.lit(True))
-        c = c.select("c", F.when(same, True).when(wrong, False).alias("y")).filter("y is not null")
+        c = c.select("fitted", "c", F.when(same, True).when(wrong, False).alias("y")).filter("y is not null")
         forms, plain = rewritten(kind, F.col("c.v")), F.array("c.v")
         if kind == "card":  # a failed checksum stays one in any form, so that the form alone does not decide
             plain = F.when(F.length(digits(F.col("c.v"))).between(13, 19), F.concat(plain, forms)).otherwise(plain)
-        c = c.select("c", "y", F.explode(F.when(F.col("y"), forms).otherwise(plain)).alias("v"))
-        rows.append(c.select(F.lit(kind).alias("kind"), "y", features(kind, F.col("c").withField("v", F.col("v"))).alias("x")))
+        c = c.select("fitted", "c", "y", F.explode(F.when(F.col("y"), forms).otherwise(plain)).alias("v"))
+        rows.append(c.select("fitted", F.lit(kind).alias("kind"), "y", features(kind, F.col("c").withField("v", F.col("v"))).alias("x")))
     return reduce(DataFrame.unionAll, rows)
 
 
@@ -297,7 +315,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
           precision: float = PRECISION) -> Model:
     """Fit the trees on part of about ``max_docs`` documents, chosen by a hash of their key; calibrate on the others."""
     into = free_name(docs.select(key), "spans")
-    found = staged(with_spans(docs.select(key, text), text, into).select(key, into), "pii")
+    found = staged(with_spans(docs.select(*dict.fromkeys([key, text])), text, into).select(key, into), "pii")
     return train_on(found, into, key, max_docs, precision)
 
 
@@ -307,8 +325,10 @@ def train_on(found: DataFrame, into: str, key: str = "doc_id", max_docs: int = T
     chosen = F.shiftrightunsigned(F.xxhash64(key, F.lit("pii")), 11) * F.lit(2.0**-53) < share
     fitted = chosen & (F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(3)) != 0)
 
+    rows = labelled(found, into, fitted)
+
     def counts(part: Column, by: list) -> dict[str, np.ndarray]:
-        got = labelled(found.filter(part), into).groupBy("kind", "y", *by).count().collect()
+        got = rows.filter(part).groupBy("kind", "y", *by).count().collect()
         return {kind: np.array(sorted(tuple(r)[1:] for r in got if r["kind"] == kind), np.float64).reshape(-1, len(by) + 2) for kind in KINDS}
 
     seeds = found.sparkSession.createDataFrame(
@@ -320,13 +340,13 @@ def train_on(found: DataFrame, into: str, key: str = "doc_id", max_docs: int = T
     written = {kind: np.array(sorted(tuple(r)[1:] for r in examples if r["kind"] == kind), np.float64).reshape(-1, len(FEATURES) + 1)
                for kind in KINDS}
     trees, threshold = {}, {}
-    for kind, data in counts(fitted, [F.col(f"x.{n}") for n in FEATURES]).items():
+    for kind, data in counts(F.col("fitted"), [F.col(f"x.{n}") for n in FEATURES]).items():
         own = written[kind]
         trees[kind] = boosting.fit(
             np.concatenate([data[:, 1:-1], own[:, 1:]]), np.concatenate([data[:, 0], own[:, 0]]),
             np.concatenate([data[:, -1], seed_weights(own[:, 0], data[:, -1].sum())]), N_TREES, DEPTH, rate=0.3)
     score = reduce(lambda so_far, kind: so_far.when(F.col("kind") == kind, expression(trees[kind], F.col("x"))), KINDS, F)
-    for kind, data in counts(~fitted, [F.floor(score * SCORE_LEVELS).alias("level")]).items():
+    for kind, data in counts(~F.col("fitted"), [F.floor(score * SCORE_LEVELS).alias("level")]).items():
         own = written[kind]
         levels = np.concatenate([data[:, 1], np.floor(trees[kind].scores(own[:, 1:]) * SCORE_LEVELS)]) / SCORE_LEVELS
         threshold[kind] = max(LEAST_SCORE, calibrated(
